@@ -18,9 +18,10 @@ ColumnFn = Callable[[Column], Column]
 
 # --- fixed values -----------------------------------------------------------
 # Characters Python's ``\s`` matches in a str pattern, written for Java regex
-# (and RE2): ASCII blanks, the four information separators, NEL and every
-# Unicode separator.
-WS_CLASS = r"\t\n\x0b\f\r \x1c-\x1f\x85\p{Z}"
+# (and RE2): ASCII blanks, the four information separators, NEL and the
+# Unicode space separators (Zs, Zl, Zp), listed as code points.
+WS_CLASS = (r"\t\n\x0b\f\r \x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}"
+            r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
 WS_RUN = f"[{WS_CLASS}]+"
 # Hashtag word alternatives, in priority order.
 HASHTAG_WORDS = r"[A-Z][A-Z]+|[a-z][a-z]+|[0-9]+|[A-Z][a-z]+"
@@ -237,11 +238,20 @@ def _split_chunk(chunk: Column) -> Column:
             .otherwise(F.concat(head, words)))
 
 
+HASH_CHUNK = f"[^{WS_CLASS}]*#[^{WS_CLASS}]*"
+
+
 def split_hashtags(c: Column) -> Column:
-    """Replace every hashtag by its words until none is left."""
-    runs = F.regexp_extract_all(c, F.lit(f"[^{WS_CLASS}]+|[{WS_CLASS}]+"), 0)
-    out = F.array_join(F.transform(runs, lambda r: F.when(r.contains("#"), _split_chunk(r))
-                                   .otherwise(r)), "")
+    """Replace every hashtag by its words until none is left.
+
+    Only the blank-free chunks holding a '#' are rewritten: the text is cut
+    into the gaps between those chunks and the chunks themselves, and the
+    two arrays are zipped back together.
+    """
+    chunks = F.regexp_extract_all(c, F.lit(HASH_CHUNK), 0)
+    gaps = F.split(c, HASH_CHUNK, -1)
+    fixed = F.concat(F.transform(chunks, _split_chunk), F.array(F.lit("")))
+    out = F.array_join(F.zip_with(gaps, fixed, lambda g, x: F.concat(g, x)), "")
     return F.when(c.contains("#"), out).otherwise(c)
 
 
@@ -251,13 +261,6 @@ def remove_nonascii(c: Column) -> Column:
 
 
 # --- TXT-9 ------------------------------------------------------------------
-def clean_text(c: Column) -> Column:
-    """Full document cleaner (whitespace, ampersands, HTML, hashtags, ASCII)."""
-    c = collapse_whitespace(c)
-    c = add_missing_amps(c)
-    c = clean_html(c)
-    c = split_hashtags(c)
-    return remove_nonascii(c)
 
 
 # --- TXT-10 -----------------------------------------------------------------
@@ -318,10 +321,28 @@ class Pipeline:
         return self
 
     def run(self, c: Column) -> Column:
-        return functools.reduce(lambda acc, f: f(acc), self.steps, c)
+        """Compose the steps into one Column (fine for single use)."""
+        return functools.reduce(lambda acc, f: f(acc), self.flat_steps(), c)
 
     __call__ = run
 
+    def flat_steps(self) -> list[ColumnFn]:
+        out: list[ColumnFn] = []
+        for s in self.steps:
+            out.extend(s.flat_steps() if isinstance(s, Pipeline) else [s])
+        return out
+
+    def apply(self, df, col: str):
+        """Run the steps on column ``col`` of ``df``, one projection per step.
+
+        Steps read their input more than once (guards, split + extract); as
+        separate projections each input is computed once - Catalyst does not
+        merge a projection whose expensive output is referenced twice.
+        """
+        for step in self.flat_steps():
+            df = df.withColumn(col, step(F.col(col)))
+        return df
+
 
 def document_pipeline(preprocessor: ColumnFn | None = None,
                       fix_contractions: bool = True,
@@ -343,3 +364,14 @@ def concat_title_body(title: Column, body: Column, sep: str = " \n") -> Column:
 def concat_optional(summary: Column, body: Column, sep: str = "\n ") -> Column:
     """PRJ-2: body alone when the summary is null, else ``summary + sep + body``."""
     return F.when(summary.isNull(), body).otherwise(F.concat(summary, F.lit(sep), body))
+
+
+# --- TXT-9 ------------------------------------------------------------------
+CLEANER = Pipeline([collapse_whitespace, add_missing_amps, unescape_html, strip_tags,
+                    split_hashtags, remove_nonascii])
+
+
+def clean_text(c: Column) -> Column:
+    """Full document cleaner as one Column (whitespace, ampersands, HTML,
+    hashtags, ASCII).  For tables prefer ``CLEANER.apply(df, col)``."""
+    return CLEANER.run(c)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ColumnFn, document_pipeline
 from ..functions.tokens import STOPWORDS, replace_token, strip_bio_prefix, word_tokens
-from ..session import checkpoint
+from ..session import checkpoint, persist
 from .joins import BROADCAST_MAX_ROWS, skew_safe_lookup, sized_join
 from .ranking import exact_rank
 from .tagging import NullTagger, check_tagged, from_token_lists, tokenize
@@ -95,7 +95,7 @@ class TermPipeline:
             return docs.select("doc_id", F.transform(toks, lambda t: F.struct(
                 t.alias("token"), F.lit("O").alias("tag"))).alias("pairs"))
         pipe = document_pipeline(self.preprocessor, self.params.fix_contractions, self.contractions)
-        cleaned = docs.select("doc_id", pipe(F.col(text_col)).alias("text"))
+        cleaned = pipe.apply(docs.select("doc_id", F.col(text_col).alias("text")), "text")
         return self.tagger.tag(cleaned, "text")
 
     def _lemmatize(self, tagged: DataFrame) -> DataFrame:
@@ -206,7 +206,8 @@ class NerVectorizer:
         n_docs = src.count()
         counts = self.pipeline.counts(tagged)
         if keep_counts:
-            counts = checkpoint(counts)
+            # fit and transform both read the per-document counts
+            counts = persist(counts)
         vocab = self._vocabulary(counts, n_docs)
         return VectorizerModel(self, vocab, n_docs), counts
 

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_text
+from ..functions.text import CLEANER
 from ..operators.tagging import ShapeTagger
 from ..operators.vectorizer import NerVectorizer, VectorizerParams, builtin_token_filter
 from ..sources.tables import table
@@ -44,7 +44,7 @@ def documents(spark, sf):
 def ner_vectorizer(encoding: str = "double", **kw) -> NerVectorizer:
     """The survey's entry-A configuration: cleaner, shape tagger, token filter."""
     return NerVectorizer(VectorizerParams(encoding=encoding, **kw), tagger=ShapeTagger(),
-                         preprocessor=clean_text, token_filter=builtin_token_filter)
+                         preprocessor=CLEANER, token_filter=builtin_token_filter)
 
 
 # SQL: cleaned + shape-tagged tokens of `documents`, one row per token

@@ -70,7 +70,13 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     Survives executor loss, unlike a local checkpoint or a cache.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    if not eager:
+        return df.checkpoint(eager=False)
+    # cache first: writing the checkpoint is a second job over the same rows
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
