@@ -167,7 +167,9 @@ def unescape_html(c: Column) -> Column:
                 .when(p.rlike(r"^&[^\t\n\f <&#;]"), _named_ref(p))
                 .otherwise(p))
 
-    return F.when(c.contains("&"), F.array_join(F.transform(pieces, one), "")).otherwise(c)
+    # no guard on '&': a text without one is a single piece, and the input is
+    # referenced once, so composing this step never duplicates its input
+    return F.array_join(F.transform(pieces, one), "")
 
 
 def unescape_html_full(c: Column) -> Column:
@@ -179,11 +181,11 @@ def unescape_html_full(c: Column) -> Column:
 
     import pandas as pd
 
-    @F.pandas_udf("string")
-    def _unescape(s: pd.Series) -> pd.Series:
+    def _unescape(s):
         return s.map(lambda v: None if v is None else html.unescape(v))
 
-    return _unescape(c)
+    _unescape.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return F.pandas_udf(_unescape, "string")(c)
 
 
 # --- TXT-4 / TXT-5 ------------------------------------------------------------
@@ -339,9 +341,10 @@ class Pipeline:
         separate projections each input is computed once - Catalyst does not
         merge a projection whose expensive output is referenced twice.
         """
+        from .arrays import barrier
         for step in self.flat_steps():
             df = df.withColumn(col, step(F.col(col)))
-        return df
+        return barrier(df, col) if self.steps else df
 
 
 def document_pipeline(preprocessor: ColumnFn | None = None,
@@ -373,5 +376,6 @@ CLEANER = Pipeline([collapse_whitespace, add_missing_amps, unescape_html, strip_
 
 def clean_text(c: Column) -> Column:
     """Full document cleaner as one Column (whitespace, ampersands, HTML,
-    hashtags, ASCII).  For tables prefer ``CLEANER.apply(df, col)``."""
+    hashtags, ASCII).  For tables use ``CLEANER.apply(df, col)``: one
+    projection per step, so no step's input is evaluated twice."""
     return CLEANER.run(c)

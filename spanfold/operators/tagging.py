@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import barrier, explode_rows, posexplode_rows
 from ..functions.tokens import PAIR_TYPE, is_bio_tag, pairs_of, whitespace_tokens
 from .joins import sized_join
 
@@ -176,7 +177,7 @@ class GazetteerTagger:
             F.sequence(F.lit(1), F.least(F.lit(self.max_n), F.greatest(F.size("tokens"), F.lit(1)))),
             lambda n: F.when(F.size("tokens") >= n, grams(n)).otherwise(
                 F.array().cast("array<struct<start:int,n:int,key:string>>"))))
-        return toks.select("doc_id", F.explode(all_grams).alias("g")).select(
+        return explode_rows(toks, all_grams, "g", "doc_id").select(
             "doc_id", F.col("g.start").alias("start"), F.col("g.n").alias("n"), F.col("g.key").alias("key"))
 
     def spans(self, toks: DataFrame) -> DataFrame:
@@ -230,7 +231,7 @@ class ModelTagger:
 # --- NER-1 / ARR-1 / ARR-2 / ARR-3 ------------------------------------------------
 def to_long(tagged: DataFrame) -> DataFrame:
     """(doc_id, pairs) -> (doc_id, pos, token, tag), one row per token."""
-    return tagged.select("doc_id", F.posexplode("pairs").alias("pos", "p")).select(
+    return posexplode_rows(barrier(tagged, "pairs"), F.col("pairs"), "pos", "p", "doc_id").select(
         "doc_id", "pos", F.col("p.token").alias("token"), F.col("p.tag").alias("tag"))
 
 
@@ -280,12 +281,13 @@ def validate_tokenized(tokenized: DataFrame | None, tags: DataFrame | None = Non
         raise ValueError("Either raw documents or tokenized and bio_tags must be provided")
 
 
-def violations(df: DataFrame, tokens: str = "tokens", tags: str = "tags") -> DataFrame:
+def violations(df: DataFrame, tokens: str = "tokens", tags: str = "tags",
+               keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Rows whose token and tag lists differ in length or hold a non-BIO tag."""
     bad_len = F.size(tokens) != F.size(tags)
     bad_tag = F.exists(F.col(tags), lambda t: ~is_bio_tag(t))
     return df.where(bad_len | bad_tag).select(
-        "doc_id", bad_len.alias("length_mismatch"), bad_tag.alias("bad_tag"))
+        *keys, bad_len.alias("length_mismatch"), bad_tag.alias("bad_tag"))
 
 
 def check_tagged(df: DataFrame, tokens: str = "tokens", tags: str = "tags") -> None:

@@ -31,6 +31,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import barrier, explode_rows, posexplode_rows
 from ..functions.text import ColumnFn, document_pipeline
 from ..functions.tokens import STOPWORDS, replace_token, strip_bio_prefix, word_tokens
 from ..session import checkpoint, persist
@@ -103,7 +104,7 @@ class TermPipeline:
             return tagged
         # long form: one lookup join (broadcast when the lexicon is small), then regroup
         lex = self.lexicon.select(F.col("form").alias("token"), F.col("lemma")).dropDuplicates(["token"])
-        long = tagged.select("doc_id", "n_tokens", F.posexplode("pairs").alias("pos", "p")).select(
+        long = posexplode_rows(tagged, F.col("pairs"), "pos", "p", "doc_id", "n_tokens").select(
             "doc_id", "n_tokens", "pos", F.col("p.token").alias("token"), F.col("p.tag").alias("tag"))
         looked = sized_join(long, lex, ["token"], "left").select(
             "doc_id", "n_tokens", "pos", F.coalesce("lemma", "token").alias("token"), "tag")
@@ -152,9 +153,10 @@ class TermPipeline:
 
     def counts(self, tagged: DataFrame) -> DataFrame:
         """(doc_id, pairs) -> (doc_id, n_tokens, term, cnt, first)."""
+        tagged = barrier(tagged, "pairs")
         t = tagged.select("doc_id", F.size("pairs").alias("n_tokens"), "pairs")
         t = self._lemmatize(t)
-        terms = t.select("doc_id", "n_tokens", F.explode(self.encode(self.filter_pairs(F.col("pairs")))).alias("e"))
+        terms = explode_rows(t, self.encode(self.filter_pairs(F.col("pairs"))), "e", "doc_id", "n_tokens")
         return terms.groupBy("doc_id", "n_tokens", F.col("e.term").alias("term")).agg(
             F.count(F.lit(1)).alias("cnt"), F.min("e.first").alias("first"))
 
@@ -313,13 +315,17 @@ def builtin_token_filter(pairs: Column) -> Column:
     return F.filter(replaced, lambda x: x["token"].isNotNull() & (x["token"] != ""))
 
 
-def analyzer_tokens(vec: NerVectorizer, text: Column) -> Column:
-    """TOK-15 / UDF-5: the vectorizer's own cleaning and token steps, no tagger."""
+def analyzer_tokens(vec: NerVectorizer, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """TOK-15 / UDF-5: the vectorizer's own cleaning and token steps, no tagger.
+
+    (doc_id, text) -> (doc_id, tokens array<string>), all tags taken as ``O``.
+    """
     pl = vec.pipeline
     pipe = document_pipeline(pl.preprocessor, vec.params.fix_contractions, pl.contractions)
-    toks = tokenize_col(pipe(text))
+    cleaned = pipe.apply(docs.select("doc_id", F.col(text_col).alias("text")), "text")
+    toks = tokenize_col(F.col("text"))
     pairs = F.transform(toks, lambda t: F.struct(t.alias("token"), F.lit("O").alias("tag")))
-    return F.transform(pl.filter_pairs(pairs), lambda x: x["token"])
+    return cleaned.select("doc_id", F.transform(pl.filter_pairs(pairs), lambda x: x["token"]).alias("tokens"))
 
 
 def tokenize_col(text: Column) -> Column:

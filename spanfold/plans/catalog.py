@@ -7,76 +7,7 @@ columns carry the same names in both; doubles are rounded to 6 decimals.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import q_tagging, q_text, q_vectors  # noqa: F401  (registers)
+from .registry import ORACLES, QUERIES, register
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ..functions.text import CLEANER
-from ..operators.tagging import ShapeTagger
-from ..operators.vectorizer import NerVectorizer, VectorizerParams, builtin_token_filter
-from ..sources.tables import table
-from . import duck as D
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(name: str, oracle: str | None = None):
-    def deco(fn: Query) -> Query:
-        QUERIES[name] = fn
-        if oracle is not None:
-            ORACLES[name] = oracle
-        return fn
-    return deco
-
-
-def r6(c) -> F.Column:
-    return F.round(c, 6)
-
-
-# --- shared pieces -------------------------------------------------------------
-def documents(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text")
-
-
-def ner_vectorizer(encoding: str = "double", **kw) -> NerVectorizer:
-    """The survey's entry-A configuration: cleaner, shape tagger, token filter."""
-    return NerVectorizer(VectorizerParams(encoding=encoding, **kw), tagger=ShapeTagger(),
-                         preprocessor=CLEANER, token_filter=builtin_token_filter)
-
-
-# SQL: cleaned + shape-tagged tokens of `documents`, one row per token
-SQL_TAGGED_TOKENS = f"""
-d AS (SELECT doc_id, {D.tokens(D.clean('text'))} AS toks FROM documents),
-l AS (SELECT doc_id, toks, {D.shape_labels('toks')} AS labs FROM d),
-t AS (SELECT doc_id, toks, {D.bio_from_labels('labs')} AS tags FROM l),
-u AS (SELECT doc_id, len(toks) AS n_tokens, unnest(toks) AS tok, unnest(tags) AS tag FROM t)"""
-
-SQL_FILTERED = f"""{SQL_TAGGED_TOKENS},
-f0 AS (SELECT doc_id, n_tokens, lower(tok) AS tok, tag FROM u),
-f1 AS (SELECT doc_id, n_tokens, {D.replace_token('tok')} AS tok, tag FROM f0
-       WHERE NOT list_contains({D.STOP_LIST}, tok)),
-f AS (SELECT * FROM f1 WHERE tok IS NOT NULL AND tok <> '')"""
-
-
-def sql_weights(term_expr: str, bio: bool = False, max_df: str = "1.0 * n", min_df: str = "1") -> str:
-    terms = (f"SELECT doc_id, n_tokens, {term_expr} AS term FROM f" if not bio else
-             "SELECT doc_id, n_tokens, tok AS term FROM f UNION ALL "
-             "SELECT doc_id, n_tokens, regexp_replace(tag, '^[BI]-', '') AS term FROM f WHERE tag <> 'O'")
-    return f"""WITH {SQL_FILTERED},
-e AS ({terms}),
-c AS (SELECT doc_id, n_tokens, term, count(*) AS cnt FROM e GROUP BY ALL),
-n AS (SELECT count(*) AS n FROM documents),
-v AS (SELECT term, sum(cnt) AS cf FROM c GROUP BY term),
-vk AS (SELECT term, ln((1 + n) / (1 + cf)) + 1 AS idf FROM v, n WHERE cf >= {min_df} AND cf <= {max_df}),
-w AS (SELECT doc_id, term, (cnt / n_tokens) / idf AS w FROM c JOIN vk USING (term))
-SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w"""
-
-
-# --- flagship: TFW-2 Double weights -----------------------------------------------
-@register("tfw2_double_weights", sql_weights("CASE WHEN tag = 'O' THEN tok ELSE tok || '_NE' END"))
-def tfw2_double_weights(spark, sf):
-    out = ner_vectorizer("double").fit_transform(documents(spark, sf))
-    return out.select("doc_id", "term", r6("weight").alias("weight"))
+__all__ = ["QUERIES", "ORACLES", "register"]
