@@ -185,9 +185,9 @@ def fit_classifier(kind: str, train: DataFrame, params: dict, features: str = "f
     elif kind == "svc":
         svc = LinearSVC(featuresCol="_fv", labelCol="_label", regParam=1.0 / max(params.get("C", 1.0), 1e-12) / 1000,
                         maxIter=params.get("max_iter", 50), standardization=False)
-        if weight_col:
-            svc = svc.setWeightCol(weight_col)
         est = OneVsRest(classifier=svc, featuresCol="_fv", labelCol="_label")
+        if weight_col:
+            est = est.setWeightCol(weight_col)
     else:
         raise ValueError(f"unknown classifier {kind!r}")
     return est.fit(data)

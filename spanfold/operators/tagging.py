@@ -166,7 +166,9 @@ class GazetteerTagger:
         self.broadcast_max_rows = broadcast_max_rows
 
     def candidates(self, toks: DataFrame) -> DataFrame:
-        tokens = F.transform(F.col("tokens"), F.lower)
+        # lowercase once, as its own (barrier) column: every n-gram slices it
+        toks = barrier(toks.select("doc_id", F.transform(F.col("tokens"), F.lower).alias("tokens")), "tokens")
+        tokens = F.col("tokens")
 
         def grams(n: Column) -> Column:
             return F.transform(F.sequence(F.lit(0), F.size("tokens") - n),

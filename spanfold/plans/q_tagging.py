@@ -19,7 +19,7 @@ from .registry import r6, register
 
 
 def cleaned_documents(spark, sf):
-    return CLEANER.apply(documents(spark, sf), "text")
+    return CLEANER.apply(documents(spark, sf).repartition("doc_id"), "text")
 
 
 # --- NER-2 / NER-3b ------------------------------------------------------------------
