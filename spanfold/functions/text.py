@@ -222,25 +222,36 @@ def _split_chunk(chunk: Column) -> Column:
     walks i = 1..k: a one-case suffix just loses its '#'; the first suffix that
     is not one-case is replaced by its words and stops the walk; an empty last
     suffix (chunk ends in '#') is no hashtag and keeps its '#'.
+
+    s_i has an upper-case letter iff some part j >= i has one, i.e. iff i is at
+    most the last such part's index (same for lower case), so the walk needs
+    one pass over the parts, not one join per suffix.
     """
     parts = F.split(chunk, "#", -1)
     k = F.size(parts) - 1
-
-    def suffix(i: Column) -> Column:
-        return F.array_join(F.slice(parts, i + 1, k - i + 1), "#")
-
-    stops = F.filter(F.sequence(F.lit(1), F.greatest(k, F.lit(1))),
-                     lambda i: (i <= k) & ((suffix(i) == "") | ~_single_case(suffix(i))))
-    first = F.try_element_at(stops, F.lit(1))
+    last_up = F.array_max(F.transform(parts, lambda p, j: F.when(F.lower(p) != p, j)))
+    last_lo = F.array_max(F.transform(parts, lambda p, j: F.when(F.upper(p) != p, j)))
+
+    def stops(i: Column) -> Column:
+        has_up = F.coalesce(last_up >= i, F.lit(False))
+        has_lo = F.coalesce(last_lo >= i, F.lit(False))
+        empty_tail = (i == k) & (F.try_element_at(parts, k + 1) == "")
+        return empty_tail | (has_up == has_lo)
+
+    first = F.try_element_at(F.filter(F.sequence(F.lit(1), F.greatest(k, F.lit(1))),
+                                      lambda i: (i <= k) & stops(i)), F.lit(1))
+    suffix = F.array_join(F.slice(parts, first + 1, k - first + 1), "#")
     head = F.array_join(F.slice(parts, 1, first), "")
-    words = F.array_join(F.regexp_extract_all(suffix(first), F.lit(f"({HASHTAG_WORDS})"), 0), " ")
+    words = F.array_join(F.regexp_extract_all(suffix, F.lit(f"({HASHTAG_WORDS})"), 0), " ")
     return (F.when(k == 0, chunk)
             .when(first.isNull(), F.array_join(parts, ""))
-            .when(suffix(first) == "", F.concat(head, F.lit("#")))
+            .when(suffix == "", F.concat(head, F.lit("#")))
             .otherwise(F.concat(head, words)))
 
 
-HASH_CHUNK = f"[^{WS_CLASS}]*#[^{WS_CLASS}]*"
+# a whole blank-free chunk holding a '#': matches start only at a chunk start
+# (lookbehind) and never backtrack (possessive), so long runs stay linear
+HASH_CHUNK = f"(?<![^{WS_CLASS}])[^{WS_CLASS}#]*+#[^{WS_CLASS}]*+"
 
 
 def split_hashtags(c: Column) -> Column:

@@ -185,7 +185,9 @@ def fit_classifier(kind: str, train: DataFrame, params: dict, features: str = "f
     elif kind == "svc":
         svc = LinearSVC(featuresCol="_fv", labelCol="_label", regParam=1.0 / max(params.get("C", 1.0), 1e-12) / 1000,
                         maxIter=params.get("max_iter", 50), standardization=False)
-        est = OneVsRest(classifier=svc, featuresCol="_fv", labelCol="_label")
+        # one binary fit per class; classes are fitted concurrently
+        est = OneVsRest(classifier=svc, featuresCol="_fv", labelCol="_label",
+                        parallelism=params.get("parallelism", 8))
         if weight_col:
             est = est.setWeightCol(weight_col)
     else:

@@ -35,7 +35,8 @@ from ..functions.arrays import barrier, explode_rows, posexplode_rows
 from ..functions.text import ColumnFn, document_pipeline
 from ..functions.tokens import STOPWORDS, replace_token, strip_bio_prefix, word_tokens
 from ..session import checkpoint, persist
-from .joins import BROADCAST_MAX_ROWS, skew_safe_lookup, sized_join
+from .joins import BROADCAST_MAX_ROWS, skew_safe_lookup
+from .lexicon import lemmatize_rows
 from .ranking import exact_rank
 from .tagging import NullTagger, check_tagged, from_token_lists, tokenize
 
@@ -100,14 +101,12 @@ class TermPipeline:
         return self.tagger.tag(cleaned, "text")
 
     def _lemmatize(self, tagged: DataFrame) -> DataFrame:
+        """TOK-13 before lowering: long form, one lexicon join, regroup by document."""
         if not (self.params.lemmatize and self.lexicon is not None):
             return tagged
-        # long form: one lookup join (broadcast when the lexicon is small), then regroup
-        lex = self.lexicon.select(F.col("form").alias("token"), F.col("lemma")).dropDuplicates(["token"])
         long = posexplode_rows(tagged, F.col("pairs"), "pos", "p", "doc_id", "n_tokens").select(
             "doc_id", "n_tokens", "pos", F.col("p.token").alias("token"), F.col("p.tag").alias("tag"))
-        looked = sized_join(long, lex, ["token"], "left").select(
-            "doc_id", "n_tokens", "pos", F.coalesce("lemma", "token").alias("token"), "tag")
+        looked = lemmatize_rows(long, self.lexicon)
         g = looked.groupBy("doc_id", "n_tokens").agg(F.array_sort(F.collect_list(
             F.struct("pos", "token", "tag"))).alias("s"))
         kept = tagged.join(g, ["doc_id", "n_tokens"], "left_anti").select(

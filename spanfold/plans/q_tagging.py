@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import explode_rows, posexplode_rows
@@ -191,3 +192,67 @@ def sta7_entities_per_doc(spark, sf):
     n_ent = F.size(F.filter("pairs", lambda p: p["tag"].startswith("B-")))
     j = tagged.select("doc_id", n_ent.alias("n")).join(docs.select("doc_id", "lang"), "doc_id")
     return j.groupBy("lang").agg(r6(F.avg("n")).alias("avg_entities"))
+
+
+# --- TOK-13: lexicon lemmatization; TOK-17: BIO prefix ------------------------------------
+def plural_lexicon(toks: DataFrame) -> DataFrame:
+    """A lexicon derived from the corpus: a form ending in 's' whose stem is also a token."""
+    words = explode_rows(toks, F.col("tokens"), "w").select("w").distinct()
+    plural = words.where(F.col("w").endswith("s") & (F.length("w") > 3)).select(
+        F.col("w").alias("form"), F.expr("substring(w, 1, length(w) - 1)").alias("lemma"))
+    return plural.join(words.select(F.col("w").alias("lemma")), "lemma", "left_semi")
+
+
+@register("tok13_lemmatize", f"""WITH d AS (SELECT doc_id, {D.tokens(D.clean('text'))} AS toks FROM documents),
+w AS (SELECT DISTINCT unnest(toks) AS w FROM d),
+lx AS (SELECT w AS form, left(w, length(w) - 1) AS lemma FROM w
+       WHERE w LIKE '%s' AND length(w) > 3 AND left(w, length(w) - 1) IN (SELECT w FROM w)),
+u AS (SELECT doc_id, unnest(range(len(toks))) AS pos, unnest(toks) AS token FROM d)
+SELECT doc_id, pos, coalesce(lemma, token) AS token FROM u LEFT JOIN lx ON lx.form = u.token""")
+def tok13_lemmatize(spark, sf):
+    from ..operators.lexicon import lemmatize_rows
+    toks = checkpoint(tokenize(cleaned_documents(spark, sf)))
+    rows = posexplode_rows(toks, F.col("tokens"), "pos", "token", "doc_id")
+    out = lemmatize_rows(rows, plural_lexicon(toks))
+    return out.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "token")
+
+
+@register("tok17_strip_bio_prefix", f"""WITH {SQL_TAGGED_TOKENS}
+SELECT DISTINCT tag, regexp_replace(tag, '^[BI]-', '') AS entity_type FROM u""")
+def tok17_strip_bio_prefix(spark, sf):
+    from ..functions.tokens import strip_bio_prefix
+    tags = to_long(ShapeTagger().tag(cleaned_documents(spark, sf))).select("tag").distinct()
+    return tags.select("tag", strip_bio_prefix(F.col("tag")).alias("entity_type"))
+
+
+# --- NER-3c / UDF-3: a user model behind mapInPandas ------------------------------------------
+def acronym_model():
+    """A stand-in statistical model: runs of all-capital words (2+ letters) are ORG spans."""
+    import re
+    cap = re.compile(r"[A-Z]{2,}")
+
+    def spans(texts):
+        out = []
+        for t in texts:
+            toks, doc, start = t.split(), [], None
+            for i, w in enumerate(toks + [""]):
+                if cap.fullmatch(w):
+                    start = i if start is None else start
+                elif start is not None:
+                    doc.append((start, i, "ORG"))
+                    start = None
+            out.append(doc)
+        return out
+    return spans
+
+
+@register("ner3_model_tagger", f"""WITH d AS (SELECT doc_id, {D.tokens(D.clean('text'))} AS toks FROM documents),
+l AS (SELECT doc_id, toks, list_transform(toks, lambda w: CASE WHEN regexp_full_match(w, '[A-Z]{{2,}}')
+        THEN 'ORG' END) AS labs FROM d),
+t AS (SELECT doc_id, toks, {D.bio_from_labels('labs')} AS tags FROM l),
+u AS (SELECT doc_id, unnest(range(len(toks))) AS pos, unnest(toks) AS token, unnest(tags) AS tag FROM t)
+SELECT doc_id, pos, token, tag FROM u WHERE tag <> 'O'""")
+def ner3_model_tagger(spark, sf):
+    from ..operators.tagging import ModelTagger
+    long = to_long(ModelTagger(acronym_model).tag(cleaned_documents(spark, sf)))
+    return long.where(F.col("tag") != "O").withColumn("pos", F.col("pos").cast("bigint"))
