@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -141,6 +142,12 @@ def greedy_spans(candidates: Column) -> Column:
     return F.aggregate(ordered, init, step)["kept"]
 
 
+def _gram_struct(n: int):
+    def make(key: Column, i: Column) -> Column:
+        return F.struct(i.alias("start"), F.lit(n).alias("n"), key.alias("key"))
+    return make
+
+
 class GazetteerTagger:
     """NER-3a: phrase-table tagger.
 
@@ -166,20 +173,21 @@ class GazetteerTagger:
         self.broadcast_max_rows = broadcast_max_rows
 
     def candidates(self, toks: DataFrame) -> DataFrame:
-        # lowercase once, as its own (barrier) column: every n-gram slices it
-        toks = barrier(toks.select("doc_id", F.transform(F.col("tokens"), F.lower).alias("tokens")), "tokens")
-        tokens = F.col("tokens")
-
-        def grams(n: Column) -> Column:
-            return F.transform(F.sequence(F.lit(0), F.size("tokens") - n),
-                               lambda s: F.struct(s.alias("start"), n.alias("n"),
-                                                  F.array_join(F.slice(tokens, s + 1, n), " ").alias("key")))
-
-        all_grams = F.flatten(F.transform(
-            F.sequence(F.lit(1), F.least(F.lit(self.max_n), F.greatest(F.size("tokens"), F.lit(1)))),
-            lambda n: F.when(F.size("tokens") >= n, grams(n)).otherwise(
-                F.array().cast("array<struct<start:int,n:int,key:string>>"))))
-        return explode_rows(toks, all_grams, "g", "doc_id").select(
+        """(doc_id, start, n, key) for every n-gram up to ``max_n`` (lowercase).
+
+        Keys of length n extend those of length n-1 by one token (``zip_with``),
+        so building them is linear in tokens x max_n.
+        """
+        low = barrier(toks.select("doc_id", F.transform(F.col("tokens"), F.lower).alias("t")), "t")
+        t = F.col("t")
+        grams, cur = [], t
+        for n in range(1, self.max_n + 1):
+            if n > 1:
+                cur = F.zip_with(cur, F.slice(t, n, F.greatest(F.size(t) - n + 1, F.lit(1))),
+                                 lambda a, b: F.concat(a, F.lit(" "), b))
+            grams.append(F.transform(cur, _gram_struct(n)))
+        all_grams = F.filter(F.concat(*grams), lambda g: g["key"].isNotNull())
+        return explode_rows(low, all_grams, "g", "doc_id").select(
             "doc_id", F.col("g.start").alias("start"), F.col("g.n").alias("n"), F.col("g.key").alias("key"))
 
     def spans(self, toks: DataFrame) -> DataFrame:
@@ -193,7 +201,8 @@ class GazetteerTagger:
         return per_doc.select("doc_id", greedy_spans(F.col("cands")).alias("spans"))
 
     def tag(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        toks = tokenize(docs, text_col)
+        # the tokens feed both the n-gram candidates and the final tags
+        toks = tokenize(docs, text_col).persist(StorageLevel.MEMORY_AND_DISK)
         joined = toks.join(self.spans(toks), "doc_id", "left")
         spans = F.coalesce(F.col("spans"), F.array().cast("array<struct<start:int,n:int,label:string>>"))
         tags = bio_from_spans(F.size("tokens"), spans)

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import explode_rows, posexplode_rows
+from ..functions.arrays import barrier, explode_rows, posexplode_rows
 from ..functions.text import CLEANER
 from ..functions.tokens import whitespace_tokens
 from ..operators.sampling import number_rows
 from ..operators.tagging import (GazetteerTagger, NullTagger, ShapeTagger, spans_to_bio, to_long,
                                  tokenize, violations)
 from ..operators.vectorizer import NerVectorizer, VectorizerParams
-from ..session import checkpoint
+from ..session import checkpoint, spread
 from ..sources.tables import table
 from . import duck as D
 from .common import SQL_TAGGED_TOKENS, documents, sql_weights
@@ -177,21 +177,26 @@ def arr5_number_documents(spark, sf):
 @register("sta6_avg_words_per_document", f"""WITH {SQL_TAGGED_TOKENS}
 SELECT lang, round(avg(len(toks)), 6) AS avg_words FROM d JOIN documents USING (doc_id) GROUP BY lang""")
 def sta6_avg_words_per_document(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    t = tokenize(CLEANER.apply(docs.select("doc_id", "text"), "text"))
-    j = t.join(docs.select("doc_id", "lang"), "doc_id")
-    return j.groupBy("lang").agg(r6(F.avg(F.size("tokens"))).alias("avg_words"))
+    """The class travels with the text: no join back, one partial aggregate by lang."""
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text", "lang"))
+    t = CLEANER.apply(docs, "text").select("lang", F.size(whitespace_tokens(F.col("text"))).alias("n"))
+    return t.groupBy("lang").agg(r6(F.avg("n")).alias("avg_words"))
 
 
 @register("sta7_entities_per_doc", f"""WITH {SQL_TAGGED_TOKENS}
 SELECT lang, round(avg(len(list_filter(tags, lambda g: starts_with(g, 'B-')))), 6) AS avg_entities
 FROM t JOIN documents USING (doc_id) GROUP BY lang""")
 def sta7_entities_per_doc(spark, sf):
-    docs = table(spark, sf, "documents")
-    tagged = ShapeTagger().tag(CLEANER.apply(docs.select("doc_id", "text"), "text"))
-    n_ent = F.size(F.filter("pairs", lambda p: p["tag"].startswith("B-")))
-    j = tagged.select("doc_id", n_ent.alias("n")).join(docs.select("doc_id", "lang"), "doc_id")
-    return j.groupBy("lang").agg(r6(F.avg("n")).alias("avg_entities"))
+    """Entities (B- tags) per document, zero-entity documents included, averaged by class."""
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text", "lang"))
+    toks = barrier(CLEANER.apply(docs, "text").select(
+        "lang", whitespace_tokens(F.col("text")).alias("tokens")), "tokens")
+    labs = barrier(toks.select("lang", ShapeTagger().labels(F.col("tokens")).alias("l")), "l")
+    starts = F.size(F.filter(F.sequence(F.lit(0), F.size("l") - 1), lambda i: F.try_element_at("l", i + 1).isNotNull()
+                             & ~F.try_element_at("l", i + 1).eqNullSafe(
+                                 F.when(i > 0, F.try_element_at("l", F.greatest(i, F.lit(1)))))))
+    n = F.when(F.size("l") > 0, starts).otherwise(F.lit(0))
+    return labs.select("lang", n.alias("n")).groupBy("lang").agg(r6(F.avg("n")).alias("avg_entities"))
 
 
 # --- TOK-13: lexicon lemmatization; TOK-17: BIO prefix ------------------------------------

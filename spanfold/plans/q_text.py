@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..functions.arrays import explode_rows, posexplode_rows
 from ..functions import tokens as K
 from ..operators.vectorizer import analyzer_tokens
+from ..session import spread
 from ..sources.tables import table
 from . import duck as D
 from .common import SQL_FILTERED, documents, ner_vectorizer
@@ -77,7 +78,7 @@ def txt8_remove_nonascii(spark, sf):
 
 @register("txt9_clean_documents", f"SELECT doc_id, {D.clean('text')} AS text FROM documents")
 def txt9_clean_documents(spark, sf):
-    return T.CLEANER.apply(documents(spark, sf), "text")
+    return T.CLEANER.apply(spread(documents(spark, sf)), "text")
 
 
 @register("txt9_clean_pages", f"SELECT page_id, {D.clean('html')} AS html FROM pages")

@@ -89,3 +89,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def persist(df: DataFrame) -> DataFrame:
     """Cache a frame that feeds two actions; lost blocks are recomputed."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core on small inputs: round-robin only when the input has
+    fewer partitions than the default parallelism.
+
+    A large input (many files / splits) is left alone, so no shuffle of the
+    raw data is added where the scan is already parallel.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
