@@ -14,6 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import sized_join
 from .ranking import exact_rank
 
 
@@ -22,32 +23,56 @@ def seeded_key(key: Column | str, seed: int) -> Column:
     return F.md5(F.concat(k.cast("string"), F.lit(f"-{seed}")))
 
 
-def stratified_sample(df: DataFrame, label: str, n: int, seed: int, key: str = "doc_id") -> DataFrame:
+def _cut_keys(df: DataFrame, key: str, seed: int, n: int, group_by: list[str]) -> DataFrame:
+    """The (hash, key) of the n-th row in seeded order, per group.
+
+    Only the narrow key columns are ranked; the result has one row per group.
+    """
+    keys = df.select(*group_by, key, seeded_key(key, seed).alias("_h"))
+    ranked = exact_rank(keys, ["_h", key], group_by=group_by, name="_rn")
+    return ranked.where(F.col("_rn") == n)
+
+
+def _at_or_before(h: Column, k: Column, cut_h: Column, cut_k: Column) -> Column:
+    return (h < cut_h) | ((h == cut_h) & (k <= cut_k))
+
+
+def stratified_sample(df: DataFrame, label: str, n: int, seed: int, key: str = "doc_id",
+                      max_classes: int = 1_000_000) -> DataFrame:
     """SMP-1: exactly ``n`` rows per class, without replacement.
 
     Raises ValueError when a class holds fewer than ``n`` rows (checked on the
-    small per-class count table first).
+    small per-class count table first).  The rows kept are those at or before
+    each class's n-th (hash, key): a filter on the input after a join with a
+    per-class cut table (broadcast under a checked row bound), so the rows
+    themselves are never ranked or shuffled for the ranking.
     """
     sizes = df.groupBy(label).count().where(F.col("count") < n).limit(1).collect()
     if sizes:
         raise ValueError(f"class {sizes[0][label]!r} has {sizes[0]['count']} rows, fewer than {n}")
-    h = df.withColumn("_h", seeded_key(key, seed))
-    ranked = exact_rank(h, ["_h", key], group_by=[label], name="_rn")
-    return ranked.where(F.col("_rn") <= n).drop("_h", "_rn")
+    cuts = _cut_keys(df, key, seed, n, [label]).select(
+        label, F.col("_h").alias("_cut_h"), F.col(key).alias("_cut_k"))
+    j = sized_join(df.withColumn("_h", seeded_key(key, seed)), cuts, [label], max_rows=max_classes)
+    return j.where(_at_or_before(F.col("_h"), F.col(key), F.col("_cut_h"), F.col("_cut_k"))).drop(
+        "_h", "_cut_h", "_cut_k")
 
 
 def train_test_split(df: DataFrame, test_size: float, seed: int, key: str = "doc_id") -> DataFrame:
     """SMP-2: exact random split; adds ``split`` = 'test' for ceil(test_size * N) rows.
 
     Not stratified.  The order is the seeded hash, so the split is the same on
-    any cluster layout.
+    any cluster layout.  Only the keys are ranked, to find the (hash, key) of
+    the last test row; the split itself is a per-row comparison with that one
+    cut, so the input is neither joined nor shuffled.
     """
     n = df.count()
     n_test = math.ceil(test_size * n)
-    h = df.withColumn("_h", seeded_key(key, seed))
-    ranked = exact_rank(h, ["_h", key], name="_rn")
-    return ranked.withColumn("split", F.when(F.col("_rn") <= n_test, F.lit("test")).otherwise(F.lit("train"))
-                             ).drop("_h", "_rn")
+    h = seeded_key(key, seed)
+    if n_test == 0:
+        return df.withColumn("split", F.lit("train"))
+    cut = _cut_keys(df, key, seed, n_test, []).select("_h", key).first()
+    test = _at_or_before(h, F.col(key), F.lit(cut["_h"]), F.lit(cut[key]))
+    return df.withColumn("split", F.when(test, F.lit("test")).otherwise(F.lit("train")))
 
 
 def seeded_shuffle(df: DataFrame, seed: int, key: str = "doc_id", name: str = "shuffle_pos") -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import barrier, explode_rows, posexplode_rows
 from ..functions.text import ColumnFn, document_pipeline
 from ..functions.tokens import STOPWORDS, replace_token, strip_bio_prefix, word_tokens
-from ..session import checkpoint, persist
+from ..session import by_document, checkpoint, persist
 from .joins import BROADCAST_MAX_ROWS, skew_safe_lookup
 from .lexicon import lemmatize_rows
 from .ranking import exact_rank
@@ -192,8 +192,8 @@ class NerVectorizer:
                 raise ValueError("tokenized input needs both 'tokens' and 'tags' columns")
             if self.validate:
                 check_tagged(tokenized)
-            return from_token_lists(tokenized.repartition("doc_id"))
-        return self.pipeline.tag(raw_documents.select("doc_id", text_col).repartition("doc_id"), text_col)
+            return from_token_lists(by_document(tokenized))
+        return self.pipeline.tag(by_document(raw_documents.select("doc_id", text_col)), text_col)
 
     # --- fit ----------------------------------------------------------------------
     def fit(self, raw_documents: DataFrame | None = None, tokenized: DataFrame | None = None,

@@ -12,7 +12,7 @@ from ..operators.sampling import number_rows
 from ..operators.tagging import (GazetteerTagger, NullTagger, ShapeTagger, spans_to_bio, to_long,
                                  tokenize, violations)
 from ..operators.vectorizer import NerVectorizer, VectorizerParams
-from ..session import checkpoint, spread
+from ..session import by_document, checkpoint, spread
 from ..sources.tables import table
 from . import duck as D
 from .common import SQL_TAGGED_TOKENS, documents, sql_weights
@@ -20,7 +20,7 @@ from .registry import r6, register
 
 
 def cleaned_documents(spark, sf):
-    return CLEANER.apply(documents(spark, sf).repartition("doc_id"), "text")
+    return CLEANER.apply(by_document(documents(spark, sf)), "text")
 
 
 # --- NER-2 / NER-3b ------------------------------------------------------------------

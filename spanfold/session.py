@@ -102,3 +102,14 @@ def spread(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
+
+
+def by_document(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Hash-partition by ``key`` into ``spark.sql.shuffle.partitions`` parts.
+
+    An explicit number keeps AQE from coalescing: the rows are few bytes but
+    CPU-heavy (cleaning, tagging), so small byte sizes must not collapse the
+    work into a couple of tasks.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, key)
