@@ -68,12 +68,17 @@ def roc_curve(df: DataFrame, truth: str, score: str, positive=1) -> DataFrame:
     g = g.withColumn("_desc", -F.col(score))
     g = prefix_sum(g, "pos", ["_desc"], name="tp")
     g = prefix_sum(g, "neg", ["_desc"], name="fp")
-    tot = df.agg(F.sum(F.when(F.col(truth) == F.lit(positive), 1).otherwise(0)).alias("P"),
-                 F.sum(F.when(F.col(truth) == F.lit(positive), 0).otherwise(1)).alias("N"))
-    j = g.crossJoin(F.broadcast(tot))   # one-row totals
-    return j.select(F.col(score).alias("threshold"),
-                    F.try_divide(F.col("fp").cast("double"), F.col("N")).alias("fpr"),
-                    F.try_divide(F.col("tp").cast("double"), F.col("P")).alias("tpr"))
+    P, N = _totals(df, truth, positive)
+    return g.select(F.col(score).alias("threshold"),
+                    F.try_divide(F.col("fp").cast("double"), F.lit(N)).alias("fpr"),
+                    F.try_divide(F.col("tp").cast("double"), F.lit(P)).alias("tpr"))
+
+
+def _totals(df: DataFrame, truth: str, positive) -> tuple[int, int]:
+    """(positives, negatives): two scalars from one aggregate."""
+    r = df.agg(F.sum(F.when(F.col(truth) == F.lit(positive), 1).otherwise(0)).alias("P"),
+               F.sum(F.when(F.col(truth) == F.lit(positive), 0).otherwise(1)).alias("N")).first()
+    return int(r["P"] or 0), int(r["N"] or 0)
 
 
 def average_precision(df: DataFrame, truth: str, score: str, positive=1) -> DataFrame:
@@ -82,11 +87,10 @@ def average_precision(df: DataFrame, truth: str, score: str, positive=1) -> Data
     g = g.withColumn("_desc", -F.col(score))
     g = prefix_sum(g, "pos", ["_desc"], name="tp")
     g = prefix_sum(g, "neg", ["_desc"], name="fp")
-    tot = df.agg(F.sum(F.when(F.col(truth) == F.lit(positive), 1).otherwise(0)).alias("P"))
-    j = g.crossJoin(F.broadcast(tot))
+    P, _ = _totals(df, truth, positive)
     prec = F.col("tp") / (F.col("tp") + F.col("fp"))
-    step = F.col("pos") / F.col("P")
-    return j.agg(F.sum(step * prec).alias("average_precision"))
+    step = F.try_divide(F.col("pos").cast("double"), F.lit(P))
+    return g.agg(F.sum(step * prec).alias("average_precision"))
 
 
 def metric_grid(long: DataFrame, row: str, col: str, value: str) -> DataFrame:

@@ -155,15 +155,16 @@ def ner8_tag_once_two_encodings(spark, sf):
 
 
 # --- ARR-3 / ARR-5 -------------------------------------------------------------------------
-@register("arr3_regroup_turns", f"""SELECT conv_id, count(*) AS n_tokens, string_agg(token, ' ' ORDER BY turn, pos) AS text
+@register("arr3_regroup_turns", f"""SELECT conv_id, turn, count(*) AS n_tokens,
+  string_agg(token, ' ' ORDER BY pos) AS text
 FROM (SELECT conv_id, turn, unnest(range(len(toks))) AS pos, unnest(toks) AS token
-      FROM (SELECT conv_id, turn, {D.tokens('text')} AS toks FROM conversations)) GROUP BY conv_id""")
+      FROM (SELECT conv_id, turn, {D.tokens('text')} AS toks FROM conversations)) GROUP BY conv_id, turn""")
 def arr3_regroup_turns(spark, sf):
-    """Token rows -> one ordered list per conversation (a group is one conversation)."""
+    """Token rows -> one ordered list per sentence (here a turn: one source row, a bounded group)."""
     c = table(spark, sf, "conversations").select("conv_id", "turn", whitespace_tokens(F.col("text")).alias("t"))
     rows = posexplode_rows(c, F.col("t"), "pos", "token", "conv_id", "turn")
-    g = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "pos", "token"))).alias("s"))
-    return g.select("conv_id", F.size("s").cast("bigint").alias("n_tokens"),
+    g = rows.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("s"))
+    return g.select("conv_id", "turn", F.size("s").cast("bigint").alias("n_tokens"),
                     F.array_join(F.transform("s", lambda x: x["token"]), " ").alias("text"))
 
 
