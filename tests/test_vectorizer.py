@@ -127,3 +127,20 @@ def test_min_max_df_types(spark):
     docs = _docs(spark)
     m = NerVectorizer(tagger=NullTagger(), filter_stopwords=False, min_df=2, max_df=1.0).fit(docs)
     assert {r.term for r in m.vocabulary.collect()} == {"dolor", "in", "ut", "Ut"} - {"Ut"} | {"ut"}
+
+
+def test_large_vocabulary_path_equals_broadcast_path(spark):
+    """Above the broadcast bound the lookup splits hot terms (broadcast) from the
+    rest (salted shuffle join); the weights must not change."""
+    from spanfold.functions.text import CLEANER
+    from spanfold.operators.tagging import ShapeTagger
+    from spanfold.operators.vectorizer import builtin_token_filter
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+
+    def run(bound):
+        v = NerVectorizer(VectorizerParams(encoding="bio"), tagger=ShapeTagger(), preprocessor=CLEANER,
+                          token_filter=builtin_token_filter, broadcast_max_rows=bound)
+        return {(r.doc_id, r.term): round(r.weight, 9) for r in v.fit_transform(docs).collect()}
+
+    small = run(50)          # forces the hot/cold split: the vocabulary has thousands of terms
+    assert small == run(10_000_000)
