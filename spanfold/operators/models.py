@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..session import persist
 from .sampling import seeded_key
 
 
@@ -99,6 +99,8 @@ def knn(train: DataFrame, test: DataFrame, params: KnnParams, key: str = "id",
     tr = tr.withColumn("_dp", to_pivots(F.col("t_vec")))
     tr = tr.withColumn("cell", F.array_position("_dp", F.array_min("_dp")).cast("int")) \
            .withColumn("_d", F.array_min("_dp")).drop("_dp")
+    # read by the cell statistics and by both probe rounds
+    tr = persist(tr)
     cells = tr.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("_d").alias("radius")).collect()
     info = {r["cell"]: (int(r["n"]), float(r["radius"])) for r in cells}
     buckets = {c: max(1, math.ceil(n / params.bucket_rows)) for c, (n, _) in info.items()}
@@ -107,7 +109,7 @@ def knn(train: DataFrame, test: DataFrame, params: KnnParams, key: str = "id",
     radii = F.array(*[F.lit(info.get(c, (0, 0.0))[1]) for c in ids])
     nbuck = F.array(*[F.lit(buckets.get(c, 1)) for c in ids])
     tr = tr.withColumn("bucket", F.pmod(F.xxhash64("t_id"), F.try_element_at(nbuck, F.col("cell"))).cast("int"))
-    tr = checkpoint(tr.drop("_d"))
+    tr = tr.drop("_d")
 
     q = test.select(F.col(key).alias("q_id"), F.col(vec).alias("q_vec"))
     q = q.withColumn("_lb", F.transform(to_pivots(F.col("q_vec")), lambda d, i: F.struct(
@@ -117,7 +119,7 @@ def knn(train: DataFrame, test: DataFrame, params: KnnParams, key: str = "id",
     # round 1: nearest cells (by lower bound) until they hold k rows
     cum = F.transform("_lb", lambda s, i: F.struct(s["cell"].alias("cell"), s["lb"].alias("lb"), F.aggregate(
         F.slice("_lb", 1, i), F.lit(0).cast("bigint"), lambda acc, y: acc + y["n"]).alias("before")))
-    q = checkpoint(q.withColumn("_lb", cum))
+    q = q.withColumn("_lb", cum)
 
     def probe(cells_col: Column, qdf: DataFrame) -> DataFrame:
         pairs = qdf.select("q_id", "q_vec", F.explode(cells_col).alias("cell"))
@@ -134,7 +136,7 @@ def knn(train: DataFrame, test: DataFrame, params: KnnParams, key: str = "id",
         return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
     first_cells = F.transform(F.filter("_lb", lambda s: s["before"] < k), lambda s: s["cell"])
-    r1 = checkpoint(top_k(probe(first_cells, q)))
+    r1 = persist(top_k(probe(first_cells, q)))   # read for the k-th distance and the union
     kth = r1.groupBy("q_id").agg(F.max("dist").alias("r"), F.count(F.lit(1)).alias("got"))
     q2 = q.join(kth, "q_id", "left")
     # round 2: every other cell whose lower bound does not exceed the k-th distance
