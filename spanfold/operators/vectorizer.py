@@ -46,7 +46,7 @@ PUNCTUATION = r"^[\p{P}\p{S}]+$"
 
 @dataclass(frozen=True)
 class VectorizerParams:
-    encoding: str = "double"              # double | bio | plain
+    encoding: object = "double"           # double | bio | plain | Column function (UDF-4)
     min_df: int | float = 1
     max_df: int | float = 1.0
     filter_stopwords: bool = True
@@ -130,8 +130,14 @@ class TermPipeline:
         return pairs
 
     def encode(self, pairs: Column) -> Column:
-        """VEC-1/VEC-2: array<struct<term, first>> with first = (position, sub)."""
+        """VEC-1/VEC-2: array<struct<term, first>> with first = (position, sub).
+
+        UDF-4: ``encoding`` may also be a function ``pairs -> array<struct<term
+        string, first bigint>>`` built from Column expressions.
+        """
         enc = self.params.encoding
+        if callable(enc):
+            return enc(pairs)
 
         def key(i: Column, sub: int) -> Column:
             return (i * 2 + sub).cast("bigint")

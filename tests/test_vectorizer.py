@@ -144,3 +144,14 @@ def test_large_vocabulary_path_equals_broadcast_path(spark):
 
     small = run(50)          # forces the hot/cold split: the vocabulary has thousands of terms
     assert small == run(10_000_000)
+
+
+def test_custom_encoding_hook(spark):
+    """UDF-4: a user term encoding (entity type only, for tagged tokens)."""
+    def types_only(pairs):
+        kept = F.filter(pairs, lambda x: x["tag"] != "O")
+        return F.transform(kept, lambda x, i: F.struct(F.regexp_replace(x["tag"], "^[BI]-", "").alias("term"),
+                                                       (i * 2).cast("bigint").alias("first")))
+    v = NerVectorizer(VectorizerParams(encoding=types_only, filter_stopwords=False, max_df=20))
+    got = _as_dict(v.fit_transform(tokenized=_tok(spark)))
+    assert set(got) == {0, 1} and set(got[0]) == {"PER", "GPE"} and set(got[1]) == {"GPE"}
