@@ -28,12 +28,10 @@ HASHTAG_WORDS = r"[A-Z][A-Z]+|[a-z][a-z]+|[0-9]+|[A-Z][a-z]+"
 # Tag pattern: non-greedy, does not cross a newline.
 HTML_TAG = r"<[^\n]*?>"
 NON_ASCII = r"[^\x00-\x7F]"
-# Missing ampersand repairs: (pattern, replacement); the blank is consumed.
-MISSING_AMPS = (
-    (f"[{WS_CLASS}](#[0-9]+;)", "&$1"),
-    (f"[{WS_CLASS}]amp;", "&amp;"),
-    (f"[{WS_CLASS}]quot;", "&quot;"),
-)
+# Missing ampersand repairs: blank + "#ddd;", "amp;" or "quot;" -> "&" + the
+# same text; the blank is consumed.  Each repair writes "&" before what it
+# matched, so the three rules run as one pass.
+MISSING_AMP = f"[{WS_CLASS}](#[0-9]+;|amp;|quot;)"
 # Named character references.  Latin-1 names map to U+00A0.. in this order.
 LATIN1_ENTITY_NAMES = (
     "nbsp iexcl cent pound curren yen brvbar sect uml copy ordf laquo not shy "
@@ -105,9 +103,7 @@ def collapse_whitespace(c: Column) -> Column:
 # --- TXT-2 ------------------------------------------------------------------
 def add_missing_amps(c: Column) -> Column:
     """Blank + ``#ddd;``/``amp;``/``quot;`` becomes an entity; the blank goes."""
-    for pattern, repl in MISSING_AMPS:
-        c = F.regexp_replace(c, pattern, repl)
-    return c
+    return F.regexp_replace(c, MISSING_AMP, "&$1")
 
 
 # --- TXT-3 ------------------------------------------------------------------

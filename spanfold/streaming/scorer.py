@@ -22,7 +22,8 @@ def score_stream(spark: SparkSession, model: VectorizerModel, source_dir: str, s
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         out = model.transform(batch.select("doc_id", "text"))
-        out.write.mode("append").parquet(f"{sink_dir}/batch_id={batch_id}")
+        # one folder per batch id, overwritten on a retry: the sink stays exactly-once
+        out.write.mode("overwrite").parquet(f"{sink_dir}/batch_id={batch_id}")
 
     q = (stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_dir)
          .trigger(availableNow=True).start())
