@@ -15,7 +15,7 @@ def documents(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "text")
 
 
-def ner_vectorizer(encoding: str = "double", **kw) -> NerVectorizer:
+def entity_vectorizer(encoding: str = "double", **kw) -> NerVectorizer:
     """The survey's entry-A configuration: cleaner, shape tagger, token filter."""
     return NerVectorizer(VectorizerParams(encoding=encoding, **kw), tagger=ShapeTagger(),
                          preprocessor=CLEANER, token_filter=builtin_token_filter)

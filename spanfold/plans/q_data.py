@@ -21,7 +21,7 @@ from ..sources import io as IO
 from ..sources.tables import SPLIT_SCHEMA, SourceSpec, first_rows, read_corpus_csv, table
 from ..streaming.scorer import read_scores, score_stream
 from . import duck as D
-from .common import SPLIT_SEED, SQL_SPLIT, documents, ner_vectorizer, sql_weights
+from .common import SPLIT_SEED, SQL_SPLIT, documents, entity_vectorizer, sql_weights
 from .registry import r6, register
 
 SHUFFLE_SEED = 19178
@@ -473,7 +473,7 @@ register("mod5_linear_svc")(_rows_only_model("svc", {"C": 0.01, "max_iter": 20})
 def stream_score_documents(spark, sf):
     """Fit on the table, then score the same documents arriving as a file stream."""
     docs = documents(spark, sf)
-    model = ner_vectorizer("double").fit(docs)
+    model = entity_vectorizer("double").fit(docs)
     src = scratch_path(spark, "stream-src")
     docs.repartition(4, "doc_id").write.parquet(src)
     sink, ckpt = scratch_path(spark, "stream-sink"), scratch_path(spark, "stream-ckpt")

@@ -11,7 +11,7 @@ from ..operators.vectorizer import analyzer_tokens
 from ..session import spread
 from ..sources.tables import table
 from . import duck as D
-from .common import SQL_FILTERED, documents, ner_vectorizer
+from .common import SQL_FILTERED, documents, entity_vectorizer
 from .registry import register
 
 # Literal cases appended with concat where the tables lack a rule's input.
@@ -199,7 +199,7 @@ k AS (SELECT doc_id, pos, {D.replace_token('tok')} AS token, tag FROM u)
 SELECT doc_id, pos, token, tag FROM k WHERE token IS NOT NULL AND token <> ''""")
 def tok11_token_filter(spark, sf):
     """TOK-11 on the tagged tokens: placeholders, drop the rest, tags stay aligned."""
-    v = ner_vectorizer("double")
+    v = entity_vectorizer("double")
     tagged = v.pipeline.tag(documents(spark, sf))
     kept = F.filter(F.transform("pairs", lambda p, i: F.struct(
         K.replace_token(p["token"]).alias("token"), p["tag"].alias("tag"), i.cast("bigint").alias("pos"))),
@@ -218,7 +218,7 @@ def tok12_wordnet_class(spark, sf):
 
 @register("tok14_filter_sentence", f"WITH {SQL_FILTERED} SELECT doc_id, fpos AS pos, tok AS token, tag FROM f")
 def tok14_filter_sentence(spark, sf):
-    v = ner_vectorizer("double")
+    v = entity_vectorizer("double")
     tagged = v.pipeline.tag(documents(spark, sf))
     rows = posexplode_rows(tagged, v.pipeline.filter_pairs(F.col("pairs")), "pos", "p", "doc_id")
     return rows.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.col("p.token").alias("token"),
@@ -228,7 +228,7 @@ def tok14_filter_sentence(spark, sf):
 @register("tok15_analyzer", f"""WITH {SQL_FILTERED}
 SELECT doc_id, fpos AS pos, tok AS token FROM f""")
 def tok15_analyzer(spark, sf):
-    v = ner_vectorizer("double")
+    v = entity_vectorizer("double")
     d = analyzer_tokens(v, documents(spark, sf))
     return posexplode_rows(d, F.col("tokens"), "pos", "token", "doc_id").withColumn(
         "pos", F.col("pos").cast("bigint"))

@@ -8,13 +8,13 @@ from ..operators.sampling import top_k_per_group, train_test_split
 from ..operators.vectorizer import NerVectorizer, VectorizerParams, standard_vectorizer
 from ..functions.tokens import word_tokens
 from . import duck as D
-from .common import (SPLIT_SEED, SQL_SPLIT, SQL_TERMS, SQL_WORDS, documents, ner_vectorizer,
+from .common import (SPLIT_SEED, SQL_SPLIT, SQL_TERMS, SQL_WORDS, documents, entity_vectorizer,
                      sql_counts, sql_weights)
 from .registry import r6, register
 
 
 def _counts(spark, sf, encoding):
-    v = ner_vectorizer(encoding)
+    v = entity_vectorizer(encoding)
     return v.pipeline.counts(v.tagged(documents(spark, sf)))
 
 
@@ -40,7 +40,7 @@ n AS (SELECT count(*) AS n FROM documents),
 v AS (SELECT term, sum(cnt) AS cf FROM c GROUP BY term)
 SELECT term, cf FROM v, n WHERE cf >= 2 AND cf <= 0.05 * n""")
 def voc2_bounded_vocabulary(spark, sf):
-    m = ner_vectorizer("double", min_df=2, max_df=0.05).fit(documents(spark, sf))
+    m = entity_vectorizer("double", min_df=2, max_df=0.05).fit(documents(spark, sf))
     return m.vocabulary.select("term", "cf")
 
 
@@ -49,7 +49,7 @@ n AS (SELECT count(*) AS n FROM documents),
 v AS (SELECT term, sum(cnt) AS cf FROM c GROUP BY term)
 SELECT term, round(ln((1 + n) / (1 + cf)) + 1, 6) AS idf FROM v, n WHERE cf >= 1 AND cf <= 1.0 * n""")
 def voc3_idf(spark, sf):
-    m = ner_vectorizer("double").fit(documents(spark, sf))
+    m = entity_vectorizer("double").fit(documents(spark, sf))
     return m.get_idf().select("term", r6("idf").alias("idf"))
 
 
@@ -61,7 +61,7 @@ v1 AS (SELECT v.term, v.cf, v.d0, (SELECT min(first) FROM c WHERE c.term = v.ter
 SELECT term, (row_number() OVER (ORDER BY d0, f0, term) - 1)::INTEGER AS feature_idx
 FROM v1, n WHERE cf >= 1 AND cf <= 1.0 * n""")
 def voc5_feature_index(spark, sf):
-    m = ner_vectorizer("double").fit(documents(spark, sf))
+    m = entity_vectorizer("double").fit(documents(spark, sf))
     return m.feature_index()
 
 
@@ -75,27 +75,27 @@ def tfw1_term_frequency(spark, sf):
 
 @register("tfw2_double_weights", sql_weights("double"))
 def tfw2_double_weights(spark, sf):
-    out = ner_vectorizer("double").fit_transform(documents(spark, sf))
+    out = entity_vectorizer("double").fit_transform(documents(spark, sf))
     return out.select("doc_id", "term", r6("weight").alias("weight"))
 
 
 @register("tfw2_bio_weights", sql_weights("bio"))
 def tfw2_bio_weights(spark, sf):
-    out = ner_vectorizer("bio").fit_transform(documents(spark, sf))
+    out = entity_vectorizer("bio").fit_transform(documents(spark, sf))
     return out.select("doc_id", "term", r6("weight").alias("weight"))
 
 
 @register("tfw3_tf_only_weights", sql_weights("double", weight="cnt / n_tokens"))
 def tfw3_tf_only_weights(spark, sf):
     docs = documents(spark, sf)
-    m = ner_vectorizer("double").fit(docs)
+    m = entity_vectorizer("double").fit(docs)
     out = m.transform(docs, use_idf=False)
     return out.select("doc_id", "term", r6("weight").alias("weight"))
 
 
 @register("tfw4_unnormalized_weights", sql_weights("double", normalize=False))
 def tfw4_unnormalized_weights(spark, sf):
-    out = ner_vectorizer("double", normalize=False).fit_transform(documents(spark, sf))
+    out = entity_vectorizer("double", normalize=False).fit_transform(documents(spark, sf))
     return out.select("doc_id", "term", r6("weight").alias("weight"))
 
 
@@ -112,7 +112,7 @@ def fit2_train_test_weights(spark, sf):
     split = train_test_split(documents(spark, sf), 0.2, SPLIT_SEED)
     train = split.where("split = 'train'").drop("split")
     test = split.where("split = 'test'").drop("split")
-    model = ner_vectorizer("double").fit(train)
+    model = entity_vectorizer("double").fit(train)
     return model.transform(test).select("doc_id", "term", r6("weight").alias("weight"))
 
 
@@ -224,7 +224,7 @@ def sta4_features_per_representation(spark, sf):
     """STA-4: vocabulary size per representation (the target is not a feature)."""
     docs = documents(spark, sf)
     out = None
-    for state, vec in (("double", ner_vectorizer("double")), ("bio", ner_vectorizer("bio")),
+    for state, vec in (("double", entity_vectorizer("double")), ("bio", entity_vectorizer("bio")),
                        ("std", standard_vectorizer())):
         m = vec.fit(docs)
         row = m.vocabulary.agg(F.count(F.lit(1)).alias("n_features")).select(

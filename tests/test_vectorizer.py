@@ -70,8 +70,8 @@ def test_input_validation_for_fit(spark, tokenized, tags, raw):
         v.fit(raw_documents=raw_df, tokenized=frame())
 
 
-SENTENCES = ["Lorem ipsum dolor sit amet consectetur", "Sed do eiusmod tempor incididunt ut labore",
-             "Ut enim ad minim veniam quis nostrud", "Duis aute irure dolor in reprehenderit in voluptate"]
+SENTENCES = ["Quick brown foxes jump over lazy dogs", "Pack my box with five dozen liquor jugs",
+             "Sphinx of black quartz judge my vow", "Bright vixens jump in the dozy fowl quack in the pond"]
 
 
 def _docs(spark, texts=SENTENCES):
@@ -126,7 +126,8 @@ def test_min_max_df_types(spark):
     """int bounds are counts, float bounds are shares of the documents."""
     docs = _docs(spark)
     m = NerVectorizer(tagger=NullTagger(), filter_stopwords=False, min_df=2, max_df=1.0).fit(docs)
-    assert {r.term for r in m.vocabulary.collect()} == {"dolor", "in", "ut", "Ut"} - {"Ut"} | {"ut"}
+    # occurrence counts >= 2 and <= 1.0 * 4 documents
+    assert {r.term for r in m.vocabulary.collect()} == {"jump", "my", "in", "the"}
 
 
 def test_large_vocabulary_path_equals_broadcast_path(spark):
