@@ -13,9 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# nulls are written as \N so that an empty string reads back as an empty string
+NULL_TOKEN = "\\N"
+
+
 def write_csv(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), mode: str = "errorifexists") -> None:
     """SNK-1: CSV with header; quotes doubled; blanks kept; texts may hold newlines."""
-    w = (df.write.mode(mode).option("header", True).option("escape", '"')
+    w = (df.write.mode(mode).option("header", True).option("escape", '"').option("nullValue", NULL_TOKEN)
          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -24,7 +28,7 @@ def write_csv(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), mode
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, encoding: str = "UTF-8") -> DataFrame:
     return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("escape", '"').option("encoding", encoding)
+            .option("escape", '"').option("encoding", encoding).option("nullValue", NULL_TOKEN)
             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
             .option("mode", "FAILFAST").csv(path))
 
@@ -44,7 +48,6 @@ def validate_or_save_vocabulary(vocab: DataFrame, path: str, shape_only: bool =
     ``shape_only=True`` compares only the number of terms.
     """
     spark = vocab.sparkSession
-    from py4j.protocol import Py4JJavaError  # noqa: F401
     try:
         stored = spark.read.parquet(path)
         exists = True

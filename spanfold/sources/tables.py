@@ -36,7 +36,9 @@ def read_corpus_csv(spark: SparkSession, path: str, schema: T.StructType = SPLIT
     fields; ``encoding`` covers ISO-8859-1 sources.
     """
     return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("escape", '"').option("encoding", encoding).option("mode", "FAILFAST").csv(path))
+            .option("escape", '"').option("encoding", encoding).option("nullValue", "\\N")
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+            .option("mode", "FAILFAST").csv(path))
 
 
 def first_rows(df: DataFrame, n: int, order_col: str = "doc_id") -> DataFrame:
