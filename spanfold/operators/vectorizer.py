@@ -24,7 +24,6 @@ Compatibility modes (defaults = the observed behaviour):
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -345,4 +344,4 @@ def doc_count_idf(n_docs: int, freq: Column, add_one: bool = True) -> Column:
 
 __all__ = ["VectorizerParams", "NerVectorizer", "VectorizerModel", "TermPipeline", "double_vectorizer",
            "bio_vectorizer", "standard_vectorizer", "builtin_token_filter", "analyzer_tokens",
-           "bound", "tokenize", "math"]
+           "bound", "tokenize"]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from ..functions.text import CLEANER
 from ..operators.tagging import ShapeTagger

@@ -21,23 +21,23 @@ def _counts(spark, sf, encoding):
 # --- VEC-1 / VEC-2 --------------------------------------------------------------
 @register("vec1_double_terms", f"WITH {sql_counts('double')} SELECT doc_id, term, cnt, n_tokens FROM c")
 def vec1_double_terms(spark, sf):
-    return _counts(spark, sf, "double").select("doc_id", "term", "cnt", "n_tokens")
+    return _counts(spark, sf, "double").select("doc_id", "term", "cnt", F.col("n_tokens").cast("bigint"))
 
 
 @register("vec2_bio_terms", f"WITH {sql_counts('bio')} SELECT doc_id, term, cnt, n_tokens FROM c")
 def vec2_bio_terms(spark, sf):
-    return _counts(spark, sf, "bio").select("doc_id", "term", "cnt", "n_tokens")
+    return _counts(spark, sf, "bio").select("doc_id", "term", "cnt", F.col("n_tokens").cast("bigint"))
 
 
 # --- VOC-1..5 ---------------------------------------------------------------------
-@register("voc1_term_counts", f"WITH {sql_counts('double')} SELECT term, sum(cnt) AS cf FROM c GROUP BY term")
+@register("voc1_term_counts", f"WITH {sql_counts('double')} SELECT term, sum(cnt)::BIGINT AS cf FROM c GROUP BY term")
 def voc1_term_counts(spark, sf):
     return _counts(spark, sf, "double").groupBy("term").agg(F.sum("cnt").alias("cf"))
 
 
 @register("voc2_bounded_vocabulary", f"""WITH {sql_counts('double')},
 n AS (SELECT count(*) AS n FROM documents),
-v AS (SELECT term, sum(cnt) AS cf FROM c GROUP BY term)
+v AS (SELECT term, sum(cnt)::BIGINT AS cf FROM c GROUP BY term)
 SELECT term, cf FROM v, n WHERE cf >= 2 AND cf <= 0.05 * n""")
 def voc2_bounded_vocabulary(spark, sf):
     m = entity_vectorizer("double", min_df=2, max_df=0.05).fit(documents(spark, sf))
@@ -165,7 +165,7 @@ def std5_textbook_tfidf(spark, sf):
     return v.fit_transform(documents(spark, sf)).select("doc_id", "term", r6("weight").alias("weight"))
 
 
-@register("std6_document_total", f"WITH {SQL_WORDS} SELECT doc_id, sum(cnt) AS total FROM c GROUP BY doc_id")
+@register("std6_document_total", f"WITH {SQL_WORDS} SELECT doc_id, sum(cnt)::BIGINT AS total FROM c GROUP BY doc_id")
 def std6_document_total(spark, sf):
     v = standard_vectorizer()
     c = v.pipeline.counts(v.tagged(documents(spark, sf)))
@@ -200,7 +200,7 @@ def srt1_top_terms(spark, sf):
 
 
 @register("arr6_dense_pivot", f"WITH {SQL_WORDS} SELECT doc_id, "
-          + ", ".join(f"sum(CASE WHEN term = '{t}' THEN cnt ELSE 0 END) AS t_{t}" for t in NAMED)
+          + ", ".join(f"sum(CASE WHEN term = '{t}' THEN cnt ELSE 0 END)::BIGINT AS t_{t}" for t in NAMED)
           + " FROM c GROUP BY doc_id")
 def arr6_dense_pivot(spark, sf):
     """Bounded pivot: one column per named term; never the whole vocabulary."""

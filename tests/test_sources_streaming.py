@@ -1,7 +1,6 @@
 """Sinks, stored representations and the streaming scorer."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from spanfold.session import scratch_path
 from spanfold.sources import io as IO
