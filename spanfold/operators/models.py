@@ -197,6 +197,30 @@ def fit_classifier(kind: str, train: DataFrame, params: dict, features: str = "f
     return est.fit(data)
 
 
+def random_fourier_features(df: DataFrame, dim: int, n_components: int = 128, gamma: float | None = None,
+                            seed: int = 12890, vec: str = "features", out: str = "features") -> DataFrame:
+    """MOD-5 (rbf): z(x) = sqrt(2/D) cos(W x + b), W ~ N(0, 2 gamma), b ~ U(0, 2 pi).
+
+    A linear model on z approximates an RBF-kernel model.  W is a seeded
+    (D x dim) literal - bounded by the parameters, not by the data - so the
+    projection is one in-row expression, no join.  ``gamma`` defaults to
+    1 / dim (unit-variance inputs).
+    """
+    import numpy as np
+    g = gamma if gamma is not None else 1.0 / dim
+    rng = np.random.default_rng(seed)
+    w = (rng.normal(size=(n_components, dim)) * math.sqrt(2.0 * g)).tolist()
+    b = rng.uniform(0.0, 2.0 * math.pi, size=n_components).tolist()
+    scale = math.sqrt(2.0 / n_components)
+    x = F.col(vec)
+
+    def project(row: Column, i: Column) -> Column:
+        dot = F.aggregate(F.zip_with(row, x, lambda a, c: a * c), F.lit(0.0), lambda acc, v: acc + v)
+        return F.cos(dot + F.try_element_at(F.lit(b), i + 1)) * scale
+
+    return df.withColumn(out, F.transform(F.lit(w), project))
+
+
 def predict(model, df: DataFrame, key: str, features: str = "features") -> DataFrame:
     from pyspark.ml.functions import array_to_vector
     data = df.withColumn("_fv", array_to_vector(F.col(features)))

@@ -60,3 +60,14 @@ def test_balanced_weights(spark):
     df = spark.createDataFrame([(0,), (0,), (0,), (1,)], "label int")
     got = {r.label: r.class_weight for r in ML.balanced_weights(df, "label").collect()}
     assert math.isclose(got[0], 4 / 6) and math.isclose(got[1], 2.0)
+
+
+def test_random_fourier_features_approximate_rbf_kernel(spark):
+    rnd = random.Random(11)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(4)]) for i in range(6)]
+    df = spark.createDataFrame(rows, "id long, features array<double>")
+    z = {r.id: r.features for r in ML.random_fourier_features(df, 4, n_components=4000, gamma=0.3, seed=3).collect()}
+    for (i, x), (j, y) in zip(rows, rows[1:]):
+        approx = sum(a * b for a, b in zip(z[i], z[j]))
+        exact = math.exp(-0.3 * sum((a - b) ** 2 for a, b in zip(x, y)))
+        assert abs(approx - exact) < 0.06
