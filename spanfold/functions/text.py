@@ -163,9 +163,9 @@ def unescape_html(c: Column) -> Column:
                 .when(p.rlike(r"^&[^\t\n\f <&#;]"), _named_ref(p))
                 .otherwise(p))
 
-    # no guard on '&': a text without one is a single piece, and the input is
-    # referenced once, so composing this step never duplicates its input
-    return F.array_join(F.transform(pieces, one), "")
+    # texts without '&' skip the split; as its own projection (Pipeline.apply)
+    # the input is an attribute, so the second reference costs nothing
+    return F.when(c.contains("&"), F.array_join(F.transform(pieces, one), "")).otherwise(c)
 
 
 def unescape_html_full(c: Column) -> Column:
