@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.sampling import top_k_per_group, train_test_split
+from ..operators.sampling import number_rows, top_k_per_group, train_test_split
 from ..operators.vectorizer import NerVectorizer, VectorizerParams, standard_vectorizer
 from ..functions.tokens import word_tokens
 from . import duck as D
@@ -178,9 +178,14 @@ def flt2_nonzero_weights(spark, sf):
     return std1_standard_tfidf(spark, sf).where(F.col("weight") != 0)
 
 
-@register("flt3_one_document", STD_SQL + " SELECT * FROM std WHERE doc_id = 12")
+@register("flt3_one_document", STD_SQL + """ SELECT std.* FROM std JOIN (
+  SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p FROM documents) WHERE p = 12)
+  USING (doc_id)""")
 def flt3_one_document(spark, sf):
-    return std1_standard_tfidf(spark, sf).where(F.col("doc_id") == 12)
+    """FLT-3: the weights of the document at position 12 (0-based, in doc_id order),
+    after weighting the whole table."""
+    pos = number_rows(documents(spark, sf).select("doc_id"), "doc_id", "p").where(F.col("p") == 12)
+    return std1_standard_tfidf(spark, sf).join(pos.select("doc_id"), "doc_id", "left_semi")
 
 
 NAMED = ("the", "and", "of", "de", "la", "und", "los")
