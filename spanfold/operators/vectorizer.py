@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import barrier, explode_rows, posexplode_rows
 from ..functions.text import ColumnFn, document_pipeline
-from ..functions.tokens import STOPWORDS, replace_token, strip_bio_prefix, word_tokens
+from ..functions.tokens import (STOPWORDS, filter_pairs, strip_bio_prefix, whitespace_tokens,
+                                word_tokens)
 from ..session import by_document, checkpoint, persist
 from .joins import BROADCAST_MAX_ROWS, skew_safe_lookup
 from .lexicon import lemmatize_rows
@@ -312,11 +313,8 @@ def standard_vectorizer(min_df: int | float = 1, max_df: int | float = 1.0, norm
     return NerVectorizer(params, analyzer=kw.pop("analyzer", word_tokens), **kw)
 
 
-def builtin_token_filter(pairs: Column) -> Column:
-    """TOK-11 as a pairs hook: placeholders, drop non-alphanumeric tokens."""
-    replaced = F.transform(pairs, lambda x: F.struct(replace_token(x["token"]).alias("token"),
-                                                     x["tag"].alias("tag")))
-    return F.filter(replaced, lambda x: x["token"].isNotNull() & (x["token"] != ""))
+# TOK-11 as the ``token_filter`` hook: placeholders, drop non-alphanumeric tokens
+builtin_token_filter = filter_pairs
 
 
 def analyzer_tokens(vec: NerVectorizer, docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -327,21 +325,11 @@ def analyzer_tokens(vec: NerVectorizer, docs: DataFrame, text_col: str = "text")
     pl = vec.pipeline
     pipe = document_pipeline(pl.preprocessor, vec.params.fix_contractions, pl.contractions)
     cleaned = pipe.apply(docs.select("doc_id", F.col(text_col).alias("text")), "text")
-    toks = tokenize_col(F.col("text"))
+    toks = whitespace_tokens(F.col("text"))
     pairs = F.transform(toks, lambda t: F.struct(t.alias("token"), F.lit("O").alias("tag")))
     return cleaned.select("doc_id", F.transform(pl.filter_pairs(pairs), lambda x: x["token"]).alias("tokens"))
 
 
-def tokenize_col(text: Column) -> Column:
-    from ..functions.tokens import whitespace_tokens
-    return whitespace_tokens(text)
-
-
-def doc_count_idf(n_docs: int, freq: Column, add_one: bool = True) -> Column:
-    r = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + freq))
-    return r + 1.0 if add_one else r
-
-
 __all__ = ["VectorizerParams", "NerVectorizer", "VectorizerModel", "TermPipeline", "double_vectorizer",
            "bio_vectorizer", "standard_vectorizer", "builtin_token_filter", "analyzer_tokens",
            "bound", "tokenize"]
