@@ -113,3 +113,36 @@ def by_document(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, key)
+
+
+def scale_conf(input_bytes: float, executors: int, cores_per_executor: int = 4,
+               executor_memory_gb: float = 16.0) -> dict[str, str]:
+    """Session settings sized for a given input (the work is CPU-heavy per byte).
+
+    * splits of 64 MB give cleaning/tagging tasks of a few seconds each;
+    * shuffle partitions target ~256 MB each after the document repartition
+      (at least 2 waves of tasks, at most 200,000 partitions);
+    * each task's share of executor memory must hold one partition's
+      per-document arrays several times over, which the bounds above keep;
+    * AQE coalesces only where the plan allows it (document repartitions use
+      an explicit count) and splits skewed join partitions;
+    * automatic broadcasts stay small: the large lookups here broadcast only
+      after their own row-count check.
+    """
+    slots = max(1, executors * cores_per_executor)
+    shuffle = int(min(200_000, max(2 * slots, input_bytes / (256 * 1024 ** 2))))
+    per_task_mb = executor_memory_gb * 1024 / cores_per_executor
+    split_mb = 64 if per_task_mb >= 1024 else 32
+    return {
+        "spark.sql.files.maxPartitionBytes": f"{split_mb}m",
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.default.parallelism": str(2 * slots),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+        "spark.sql.autoBroadcastJoinThreshold": "64m",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    }
