@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import prefix_sum
+from .ranking import exact_rank, prefix_sum
 
 
 def binary_precision(df: DataFrame, truth: str, pred: str, positive) -> DataFrame:
@@ -97,3 +97,54 @@ def metric_grid(long: DataFrame, row: str, col: str, value: str) -> DataFrame:
     """MET-7: long metrics (row, col, value) -> one column per ``col`` value."""
     cols = sorted(r[0] for r in long.select(col).distinct().collect())
     return long.groupBy(row).pivot(col, cols).agg(F.first(value))
+
+
+def class_roc_points(scores: DataFrame, truth: str, cls: str, score: str) -> DataFrame:
+    """One-vs-rest ROC points per class: (cls, fpr, tpr_min, tpr_max), starting at (0, 0).
+
+    Points at one false-positive rate are collapsed; tpr_min/tpr_max are the
+    lowest and highest true-positive rate reached there.
+    """
+    pos = scores.withColumn("_is", (F.col(truth) == F.col(cls)).cast("int"))
+    g = _score_groups(pos, "_is", score, 1, [cls]).withColumn("_desc", -F.col(score))
+    g = prefix_sum(g, "pos", ["_desc"], group_by=[cls], name="tp")
+    g = prefix_sum(g, "neg", ["_desc"], group_by=[cls], name="fp")
+    tot = g.groupBy(cls).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
+    pts = g.join(F.broadcast(tot), cls)   # one row per class
+    pts = pts.select(cls, F.try_divide(F.col("fp").cast("double"), F.col("_N")).alias("fpr"),
+                     F.try_divide(F.col("tp").cast("double"), F.col("_P")).alias("tpr"))
+    origin = tot.select(cls, F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    return pts.unionByName(origin).groupBy(cls, "fpr").agg(F.min("tpr").alias("tpr_min"),
+                                                           F.max("tpr").alias("tpr_max"))
+
+
+def macro_roc_curve(scores: DataFrame, truth: str, cls: str, score: str, buckets: int = 1024) -> DataFrame:
+    """MET-5 (multi-class): mean one-vs-rest TPR on the union of all classes' FPR values.
+
+    Each class's curve is read at every union point: the highest TPR where the
+    class has that FPR, else linear interpolation between its neighbouring
+    points (highest TPR on the left, lowest on the right).  The interval
+    lookup is a range join done as an equi-join on (class, FPR bucket) plus a
+    filter, so no class's points meet in one task.
+    """
+    pts = class_roc_points(scores, truth, cls, score)
+    ranked = exact_rank(pts, ["fpr"], group_by=[cls], name="_r")
+    left = ranked.select(cls, "_r", F.col("fpr").alias("x0"), F.col("tpr_max").alias("y0"))
+    right = ranked.select(cls, (F.col("_r") - 1).alias("_r"), F.col("fpr").alias("x1"),
+                          F.col("tpr_min").alias("y1"))
+    seg = left.join(right, [cls, "_r"])
+    b = F.lit(buckets)
+    seg = seg.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("x0") * b).cast("int"),
+                                                        F.floor(F.col("x1") * b).cast("int"))))
+    xs = pts.select(F.col("fpr").alias("x")).distinct()
+    classes = pts.select(cls).distinct()
+    cls_list = [r[0] for r in classes.collect()]   # the class labels (bounded)
+    q = xs.select("x", F.explode(F.array(*[F.lit(c) for c in cls_list])).alias(cls))
+    exact = q.join(pts.select(cls, F.col("fpr").alias("x"), "tpr_max"), [cls, "x"], "left")
+    q2 = exact.withColumn("bucket", F.floor(F.col("x") * b).cast("int"))
+    j = q2.join(seg.select(cls, "bucket", "x0", "y0", "x1", "y1"), [cls, "bucket"], "left").where(
+        F.col("tpr_max").isNotNull() | ((F.col("x0") < F.col("x")) & (F.col("x") < F.col("x1"))))
+    y = F.coalesce(F.col("tpr_max"),
+                   F.col("y0") + (F.col("x") - F.col("x0")) * (F.col("y1") - F.col("y0")) / (F.col("x1") - F.col("x0")))
+    per = j.select(cls, "x", y.alias("y")).dropDuplicates([cls, "x"])
+    return per.groupBy("x").agg(F.avg("y").alias("tpr")).select(F.col("x").alias("fpr"), "tpr")

@@ -347,6 +347,26 @@ def met5_roc_curve(spark, sf):
     return out.select("threshold", r6("fpr").alias("fpr"), r6("tpr").alias("tpr"))
 
 
+@register("met5_macro_roc_curve", f"""WITH {SQL_KEYWORD},
+g AS (SELECT cls, score, sum(CASE WHEN truth = cls THEN 1 ELSE 0 END) AS pos,
+             sum(CASE WHEN truth = cls THEN 0 ELSE 1 END) AS neg FROM ks GROUP BY cls, score),
+c AS (SELECT cls, sum(pos) OVER (PARTITION BY cls ORDER BY score DESC) AS tp,
+             sum(neg) OVER (PARTITION BY cls ORDER BY score DESC) AS fp,
+             sum(pos) OVER (PARTITION BY cls) AS p, sum(neg) OVER (PARTITION BY cls) AS n FROM g),
+pts0 AS (SELECT cls, fp / n AS fpr, tp / p AS tpr FROM c UNION ALL SELECT DISTINCT cls, 0.0, 0.0 FROM ks),
+pts AS (SELECT cls, fpr, min(tpr) AS tpr_min, max(tpr) AS tpr_max FROM pts0 GROUP BY cls, fpr),
+q AS (SELECT cl.cls, xs.x FROM (SELECT DISTINCT cls FROM pts) cl, (SELECT DISTINCT fpr AS x FROM pts) xs),
+lo AS (SELECT q.cls, q.x, p.fpr AS x0, p.tpr_max AS y0 FROM q ASOF JOIN pts p ON q.cls = p.cls AND q.x >= p.fpr),
+ev AS (SELECT lo.cls, lo.x, CASE WHEN lo.x0 = lo.x THEN lo.y0
+              ELSE lo.y0 + (lo.x - lo.x0) * (h.tpr_min - lo.y0) / (h.fpr - lo.x0) END AS y
+       FROM lo ASOF LEFT JOIN pts h ON lo.cls = h.cls AND lo.x < h.fpr)
+SELECT round(x, 6) AS fpr, round(avg(y), 6) AS tpr FROM ev GROUP BY x""")
+def met5_macro_roc_curve(spark, sf):
+    """MET-5, multi-class: the macro one-vs-rest ROC curve of the keyword guess."""
+    out = M.macro_roc_curve(keyword_scores(spark, sf), "truth", "cls", "score")
+    return out.select(r6("fpr").alias("fpr"), r6("tpr").alias("tpr"))
+
+
 @register("met6_average_precision", f"""WITH {SQL_BINARY},
 g AS (SELECT score, sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS pos,
              sum(CASE WHEN quality = 1 THEN 0 ELSE 1 END) AS neg FROM bn GROUP BY score),

@@ -71,3 +71,32 @@ def test_random_fourier_features_approximate_rbf_kernel(spark):
         approx = sum(a * b for a, b in zip(z[i], z[j]))
         exact = math.exp(-0.3 * sum((a - b) ** 2 for a, b in zip(x, y)))
         assert abs(approx - exact) < 0.06
+
+
+def test_macro_roc_curve_matches_interpolation(spark):
+    import numpy as np
+    rnd = random.Random(8)
+    classes = ["a", "b", "c"]
+    rows = []
+    for i in range(150):
+        t = rnd.choice(classes)
+        for c in classes:
+            rows.append((i, t, c, float(rnd.randint(0, 9))))
+    df = spark.createDataFrame(rows, "id long, truth string, cls string, score double")
+    got = {round(r.fpr, 9): r.tpr for r in M.macro_roc_curve(df, "truth", "cls", "score", buckets=16).collect()}
+    curves = {}
+    for c in classes:
+        sc = [(s, t == c) for i, t, cc, s in rows if cc == c]
+        P = sum(1 for _, p in sc if p)
+        N = len(sc) - P
+        fpr, tpr, tp, fp = [0.0], [0.0], 0, 0
+        for level in sorted({s for s, _ in sc}, reverse=True):
+            tp += sum(1 for s, p in sc if s == level and p)
+            fp += sum(1 for s, p in sc if s == level and not p)
+            fpr.append(fp / N)
+            tpr.append(tp / P)
+        curves[c] = (fpr, tpr)
+    xs = sorted({x for f, _ in curves.values() for x in f})
+    exp = {round(x, 9): float(np.mean([np.interp(x, f, t) for f, t in curves.values()])) for x in xs}
+    assert set(got) == set(exp)
+    assert all(abs(got[x] - exp[x]) < 1e-9 for x in exp)
