@@ -56,3 +56,28 @@ def test_token_rules(spark, batch):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(batch)], "i int, t string")
     got = [r[0] for r in df.orderBy("i").select(K.replace_token(F.col("t"))).collect()]
     assert got == [replace_by_definition(t) for t in batch]
+
+
+def _numeric_ref(draw_cp, hex_form, semi):
+    body = (f"#x{draw_cp:x}" if hex_form else f"#{draw_cp}")
+    return "&" + body + (";" if semi else "")
+
+
+pieces = st.one_of(
+    st.builds(_numeric_ref,
+              st.one_of(st.integers(0, 0x2FF), st.integers(0x80, 0x9F), st.integers(0xD7F0, 0xE010),
+                        st.integers(0xFDC0, 0xFFFF), st.integers(0x10FFF0, 0x110010),
+                        st.integers(10 ** 7, 10 ** 12)),
+              st.booleans(), st.booleans()),
+    st.sampled_from(sorted(T.ENTITIES)).map(lambda n: "&" + n),
+    st.text(alphabet="xyz ;#", min_size=0, max_size=3),
+)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.lists(pieces, min_size=1, max_size=6).map("".join), min_size=50, max_size=150))
+def test_entity_decoding(spark, batch):
+    import html
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(batch)], "i int, t string")
+    got = [r[0] for r in df.orderBy("i").select(T.unescape_html(F.col("t"))).collect()]
+    assert got == [html.unescape(t) for t in batch]
