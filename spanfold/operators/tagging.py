@@ -76,7 +76,11 @@ class ShapeTagger:
                 if name == "NAME":
                     cond = cond & ~initial
                 expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
-            return expr
+            # every rule starts with an upper-case letter: tokens starting with an
+            # ASCII lower-case letter or digit (most of them) skip the regexes
+            first = F.substring(tok, 1, 1)
+            plain = ((first >= "a") & (first <= "z")) | ((first >= "0") & (first <= "9"))
+            return F.when(~plain, expr)
 
         return F.transform(F.sequence(F.lit(0), F.size(tokens) - 1), label)
 
