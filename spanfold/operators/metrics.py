@@ -93,9 +93,15 @@ def average_precision(df: DataFrame, truth: str, score: str, positive=1) -> Data
     return g.agg(F.sum(step * prec).alias("average_precision"))
 
 
-def metric_grid(long: DataFrame, row: str, col: str, value: str) -> DataFrame:
-    """MET-7: long metrics (row, col, value) -> one column per ``col`` value."""
-    cols = sorted(r[0] for r in long.select(col).distinct().collect())
+def metric_grid(long: DataFrame, row: str, col: str, value: str, max_columns: int = 10_000) -> DataFrame:
+    """MET-7: long metrics (row, col, value) -> one column per ``col`` value.
+
+    The column names are collected (one per metric), so their number is checked.
+    """
+    names = long.select(col).distinct().limit(max_columns + 1).collect()
+    if len(names) > max_columns:
+        raise ValueError(f"more than {max_columns} metric columns; keep the long form")
+    cols = sorted(r[0] for r in names)
     return long.groupBy(row).pivot(col, cols).agg(F.first(value))
 
 

@@ -170,7 +170,9 @@ class GazetteerTagger:
         norm = norm.where(F.col("key") != "").withColumn(
             "n", F.size(F.split("key", " ")))
         # one label per phrase: the smallest, so the result is deterministic
-        self.table = norm.groupBy("key").agg(F.min("label").alias("label"), F.first("n").alias("n"))
+        # read three times (longest phrase, size check, lookup): cached
+        self.table = norm.groupBy("key").agg(F.min("label").alias("label"), F.first("n").alias("n")) \
+            .persist(StorageLevel.MEMORY_AND_DISK)
         if max_n is None:
             max_n = self.table.agg(F.max("n")).first()[0] or 1
         self.max_n = int(max_n)
