@@ -112,6 +112,10 @@ def by_document(df: DataFrame, key: str = "doc_id") -> DataFrame:
     work into a couple of tasks.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sc = df.sparkSession.sparkContext
+    if sc.master.startswith("local"):
+        # one machine: more than two tasks per core only adds task overhead
+        n = min(n, 2 * sc.defaultParallelism)
     return df.repartition(n, key)
 
 
