@@ -103,7 +103,8 @@ def minimax_cuts(ends: DataFrame, shards: int, total: int, largest: int, buckets
                 spans[-1][1:] = [last, k]
             else:
                 spans.append([first, last, k])
-        width = max(1, -(-sum(z - x + 1 for x, z, _ in spans) // buckets))
+        widest = max(known.buckets[k][1] - known.buckets[k][0] for k in open_)
+        width = max(1, min(-(-sum(z - x + 1 for x, z, _ in spans) // buckets), widest // 2))
         where = reduce(lambda p, q: p | q, [F.col("cum").between(x, z) for x, z, _ in spans])
         gone = set(open_)
         known = _Ends([x for k, x in enumerate(known.buckets) if k not in gone] 

@@ -83,7 +83,7 @@ t AS (SELECT host, h, text, min(doc_id) AS doc FROM n GROUP BY host, h, text),
 c AS (SELECT host, h, count(*) AS n, arg_min(text, doc) AS first FROM t GROUP BY host, h HAVING count(*) >= 20),
 b AS (SELECT c.* FROM c JOIN hosts USING (host) WHERE c.n > 0.05 * hosts.n),
 gone AS (SELECT n.doc_id, count(*) AS n, sum(n.w) AS w FROM n JOIN b USING (host, h) WHERE n.text <> b.first GROUP BY n.doc_id),
-f AS (SELECT d.doc_id, len(d.w) AS n_words, list_sum(list_transform(d.w, x -> length(x))) AS word_chars,
+f AS (SELECT d.doc_id, len(d.w) AS n_words, list_sum(list_transform(d.w, lambda x: length(x))) AS word_chars,
         length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS n_symbols,
         coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
         coalesce(gone.n, 0) AS n_removed_lines, len(d.w) - coalesce(gone.w, 0) AS n_left
@@ -101,9 +101,9 @@ s AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1:i + 5], ' ') AS g
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
 links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
-both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
-r AS (SELECT doc_id, doc_id AS at FROM n UNION SELECT r.doc_id, both.b FROM r JOIN both ON both.a = r.at)
+edges AS (SELECT a, b FROM links UNION ALL SELECT b AS a, a AS b FROM links),
+r AS (SELECT doc_id, doc_id AS node FROM n UNION SELECT r.doc_id, e.b FROM r JOIN edges e ON e.a = r.node)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.c, d.doc_id) AS component_id
-FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(at) AS c FROM r GROUP BY doc_id) m USING (doc_id)"""
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(node) AS c FROM r GROUP BY doc_id) m USING (doc_id)"""
 
 ORACLES = {"op1_line_frequency": OP1_SQL, "op8_partenum_join": OP8_SQL}
