@@ -22,7 +22,7 @@ def odd_rows():
         (7, plain, "en", "b", 1), (8, plain + " tail", "en", "b", 1),
         (9, "a b", "en", "a", 3), (10, "a b", "en", "a", 3), (11, "äöü ßé 東京 語", "de", "c", 9),
         (12, "<|endoftext|> x <|startoftext|> ý 'S don't", "en", "c", 1),
-        (13, "1.2.3.4 +1 (456) 555-2186 a@b.co 4111 1111 1111 1111 " + "9" * 5000, "en", "c", 1),
+        (13, "1.2.3.4 +1 (456) 555-2186 a@b.co 4111 1111 1111 1111, " + "9" * 5000, "en", "c", 1),
         (14, " \x0b\x0c\r\n.,;", "fr", "c", 1), (15, "x" * 70_000 + "@" * 300, "fr", "c", 1),
     ]
     return rows

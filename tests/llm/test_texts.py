@@ -175,7 +175,7 @@ def test_licence_rows(spark):
     by = {r.doc_id: r for r in out}
     assert by[30].labels == "cc-by,mit,reserved" and by[30].score == 1.0 and by[33].labels == "mit"
     assert by[32].labels == "" and all(0 <= r.score <= 1 for r in out)
-    assert all(set(r.base_labels.split(",")) <= set(r.labels.split(",")) for r in out)
+    assert all(not r.base_labels or set(r.base_labels.split(",")) <= set(r.labels.split(",")) for r in out)
     assert license_automaton.scan(frame(spark, rows).limit(0)).count() == 0
 
 
@@ -269,7 +269,7 @@ def test_token_files_round_trip(spark, tmp_path):
             assert r.start == at and (r.n_tokens, r.ids_crc32) in want[r.doc_id]
             at += r.n_tokens
         meta = token_files.read_metadata(spark, path)
-        assert "tokens" not in meta._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1].split("\n")[0]
+        assert "tokens:array" not in meta._jdf.queryExecution().executedPlan().toString()
         one = token_files.read_tokens(spark, path).where("doc_id = 1005").first()
         assert list(one.tokens) == ids_of(dict((r[0], r[1]) for r in rows)[1005]) + [1]
     import pyarrow.parquet as pq
