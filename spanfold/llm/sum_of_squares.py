@@ -91,7 +91,7 @@ def pack(docs: DataFrame, length: int = 2048, end_id: int = 0, tokenizer: str |
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, packer = WordIds(path), SumOfSquares(length)
+        words, packer = WordIds.shared(path), SumOfSquares(length)
         task, made = TaskContext.get().partitionId(), 0
         rows: list[tuple] = []
 

@@ -41,7 +41,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 1, tokenizer: str | N
     ordered = rows.repartitionByRange(partitions_of(docs), "doc_id", "h").sortWithinPartitions("doc_id", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part_no, start = WordIds(file), TaskContext.get().partitionId(), 0
+        words, part_no, start = WordIds.shared(file), TaskContext.get().partitionId(), 0
         for part, texts in slices(batches):
             found = [np.append(x, np.uint32(end_id)) for x in words.encode(texts)]
             sizes = np.fromiter(map(len, found), np.int64, len(found))

@@ -1,9 +1,12 @@
-"""Token ids of texts with the word-level BPE file, one library call per distinct word.
+"""Token ids of texts with the word-level BPE file, one library call for many new words.
 
 The tokenizer's normalizer and pre-tokenizer never look across white space, so
 the ids of a text are those of its white-space separated words in a row.  A
 worker keeps the ids of the words it has met (bounded; it starts anew beyond
-the bound) and asks the library only for new ones.
+the bound) and asks the library only for new ones.  New words of letters are
+sent many at a time, in a line: each ends with exactly one word-end token.  A
+word of letters before closing marks has the ids of both (a change from
+letters to marks always starts a new pre-token).
 """
 
 from __future__ import annotations
@@ -12,50 +15,107 @@ import numpy as np
 
 from .common import load_tokenizer
 
-MAX_WORDS = 400_000
+MAX_WORDS = 600_000
 MAX_IDS = 8_000_000
+MARKS = b".,!?;:"
+_shared: dict[str, WordIds] = {}
 
 
 class WordIds:
     def __init__(self, path: str):
         self.tokenizer = load_tokenizer(path)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.is_end = np.zeros(max(vocab.values()) + 1, bool)
+        for token, i in vocab.items():
+            self.is_end[i] = token.endswith("</w>")
         self._reset()
 
+    @classmethod
+    def shared(cls, path: str) -> WordIds:
+        """The worker process's own instance: later tasks find the words of earlier ones."""
+        if path not in _shared:
+            _shared[path] = cls(path)
+        return _shared[path]
+
     def _reset(self) -> None:
         self.at: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 14, np.int64)      # ends[k]: end of word k's ids
         self.n_ids = 0
 
-    def _learn(self, words: list[bytes]) -> None:
-        for k in range(0, len(words), 20_000):
-            some = words[k:k + 20_000]
+    def _keep(self, words: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
+        first = len(self.at)
+        while self.n_ids + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        while first + len(words) + 1 > len(self.ends):
+            self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
+        self.ids[self.n_ids:self.n_ids + len(ids)] = ids
+        self.ends[first + 1:first + 1 + len(words)] = self.n_ids + ends
+        self.n_ids += len(ids)
+        self.at.update(zip(words, range(first, first + len(words))))
+
+    def _one_by_one(self, words: list[bytes]) -> None:
+        for k in range(0, len(words), 10_000):
+            some = words[k:k + 10_000]
             found = [e.ids for e in self.tokenizer.encode_batch_fast(
                 [w.decode("utf-8", "surrogatepass") for w in some], add_special_tokens=False)]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
-            total, first = int(sizes.sum()), len(self.at)
-            while self.n_ids + total > len(self.ids):
-                self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-            while first + len(some) + 1 > len(self.ends):
-                self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
-            self.ids[self.n_ids:self.n_ids + total] = np.fromiter((i for x in found for i in x), np.uint32, total)
-            self.ends[first + 1:first + 1 + len(some)] = self.n_ids + np.cumsum(sizes)
-            self.n_ids += total
-            self.at.update(zip(some, range(first, first + len(some))))
+            self._keep(some, np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum())), np.cumsum(sizes))
+
+    def _in_lines(self, words: list[bytes], line: int = 500) -> None:
+        for k in range(0, len(words), 40 * line):
+            lines = [words[j:j + line] for j in range(k, min(len(words), k + 40 * line), line)]
+            found = self.tokenizer.encode_batch_fast([b" ".join(x).decode("utf-8") for x in lines],
+                                                     add_special_tokens=False)
+            for some, e in zip(lines, found):
+                ids = np.array(e.ids, np.uint32)
+                ends = np.flatnonzero(self.is_end[ids]) + 1
+                if len(ends) == len(some):
+                    self._keep(some, ids, ends)
+                else:                                # some word's lower case is more than letters
+                    self._one_by_one(some)
+
+    def _learn(self, words: list[bytes]) -> None:
+        plain, whole, split = set(), [], []
+        for w in words:
+            stem = w.rstrip(MARKS)
+            if not stem or not (stem.isalpha() or stem.decode("utf-8", "surrogatepass").isalpha()):
+                whole.append(w)
+            elif len(stem) == len(w):
+                plain.add(w)
+            else:
+                split.append((w, stem, w[len(stem):]))
+                if stem not in self.at:
+                    plain.add(stem)
+        marks = {m for _, _, m in split if m not in self.at}
+        self._one_by_one(whole + sorted(marks.difference(whole)))
+        self._in_lines(sorted(plain))
+        if split:
+            a = np.fromiter((self.at[s] for _, s, _ in split), np.int64, len(split))
+            b = np.fromiter((self.at[m] for _, _, m in split), np.int64, len(split))
+            both = np.stack((a, b), axis=1).ravel()
+            ids, sizes = self._ids_of(both)
+            self._keep([w for w, _, _ in split], ids, np.cumsum(sizes)[1::2])
+
+    def _ids_of(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        start, size = self.ends[k], self.ends[k + 1] - self.ends[k]
+        shift = np.repeat(start - (np.cumsum(size) - size), size)
+        return self.ids[shift + np.arange(len(shift))], size
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of every whole text (null: none), as 32-bit integers."""
         if len(self.at) > MAX_WORDS or self.n_ids > MAX_IDS:
             self._reset()
-        split = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
+        split = []
+        for t in texts:
+            raw = t.encode("utf-8", "surrogatepass") if t else b""
+            # the normalizer lower-cases all but special tokens
+            split.append((raw if b"<|" in raw else raw.lower()).split())
         new = set().union(*split).difference(self.at) if split else set()
         if new:
             self._learn(sorted(new))
-        out = []
-        for words in split:
-            k = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-            start, size = self.ends[k], self.ends[k + 1] - self.ends[k]
-            total = np.cumsum(size)
-            shift = np.repeat(start - (total - size), size)
-            out.append(self.ids[shift + np.arange(len(shift))])
-        return out
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        k = np.fromiter((i for words in split for i in map(self.at.__getitem__, words)), np.int64, int(counts.sum()))
+        ids, sizes = self._ids_of(k)
+        ends = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(counts)))].tolist()
+        return [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
