@@ -15,12 +15,13 @@ subset shares a signature that is not empty.  The few other sets are cut anew
 under further seeds; what is left after the last emits its empty subsets too.
 No link is lost.
 
-Candidates are not expanded to all pairs: of each signature group first every
-member is tested against the smallest one.  Only groups that still hold several
-components are then searched for pairs across components, streaming through
-rows sorted by signature; sizes and a 64-cell count vector (its L1 distance
-never exceeds the sets' distance) drop most, and exact intersections of the
-whole sets decide.  Equal sets are one class throughout.
+Candidates are not expanded to all pairs: first every class is tested against
+the smallest one that it meets in a signature group.  Only groups that still
+hold several components are searched further, streaming through rows sorted by
+signature: first the nearest pair of each member and other component, then, where components
+are still apart, all pairs across.  Sizes and a 128-cell count vector (its L1
+distance never exceeds the sets' distance) drop most, and exact intersections
+of the whole sets decide.  Equal sets are one class throughout.
 
 Cases: null or empty text, or one without words, has size 0 and is linked with
 nothing (its own component); a text shorter than ``width`` words has its whole
@@ -48,7 +49,7 @@ from .components import components
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _LOW = np.uint64(0xFFFFFFFF)
-CELLS = 64
+CELLS = 128
 SEEDS = 4
 
 
@@ -119,6 +120,14 @@ def band_of(size: int) -> int:
     return next(i for i, (_, most) in enumerate(bands(max(size, 1) * 2)) if size <= most)
 
 
+def _dealt(h: np.ndarray, n1: int, n2: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of hashes by cell, and their cells in that order."""
+    cell = (((h >> np.uint64(32)) * np.uint64(n1)) >> np.uint64(32)) * np.uint64(n2) + (
+        ((h & _LOW) * np.uint64(n2)) >> np.uint64(32))
+    order = np.argsort(cell, kind="stable")
+    return order, cell[order]
+
+
 def signatures(values: np.ndarray) -> np.ndarray:
     """All signatures of a set, for its band and, where it may link upwards, the next one."""
     size = len(values)
@@ -132,10 +141,12 @@ def signatures(values: np.ndarray) -> np.ndarray:
         n1, n2, _, subsets, slack = band_plan(edges[tag][1])
         for seed in range(SEEDS):
             h = values if not seed else _mix(values + np.uint64(seed * int(_M3) % (1 << 64)))
-            cell = (((h >> np.uint64(32)) * np.uint64(n1)) >> np.uint64(32)) * np.uint64(n2) + (
-                ((h & _LOW) * np.uint64(n2)) >> np.uint64(32))
-            order = np.argsort(cell, kind="stable")
-            ends = np.searchsorted(cell[order], np.arange(n1 * n2 + 1, dtype=np.uint64))
+            if n2 == 1 and not seed:         # hashes are in order, and so are their parts
+                order = slice(None)
+                cells = (h >> np.uint64(32)) * np.uint64(n1) >> np.uint64(32)
+            else:
+                order, cells = _dealt(h, n1, n2)
+            ends = np.searchsorted(cells, np.arange(n1 * n2 + 1, dtype=np.uint64))
             run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(values[order] ^ _M3), dtype=np.uint64)))
             sums = (run[ends[1:]] - run[ends[:-1]]).reshape(n1, n2)
             counts = (ends[1:] - ends[:-1]).reshape(n1, n2)
@@ -159,8 +170,8 @@ def signatures(values: np.ndarray) -> np.ndarray:
 
 
 def _sketch(values: np.ndarray) -> np.ndarray:
-    counts = np.bincount((values >> np.uint64(58)).astype(np.int64), minlength=CELLS)
-    return np.minimum(counts, 32767).astype(np.int16)
+    counts = np.bincount((values >> np.uint64(57)).astype(np.int64), minlength=CELLS)
+    return np.minimum(counts, 255).astype(np.uint8)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -174,16 +185,14 @@ def describe(docs: DataFrame, width: int = 5) -> DataFrame:
         cache = _WordHashes()
         for part, texts in slices(batches):
             sets = [shingle_set(t, cache, width) for t in texts]
-            vec = np.concatenate([_sketch(s) for s in sets])
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(np.arange(0, len(vec) + 1, CELLS), pa.int32()),
-                                          pa.array(vec, pa.int16()))],
+                 pa.array([_sketch(s).tobytes() for s in sets], pa.binary())],
                 ["doc_id", "n", "cid", "vec"])
 
     kind = docs.schema[ID].dataType.simpleString()
-    return _texts(docs).mapInArrow(run, f"doc_id {kind}, n long, cid long, vec array<short>")
+    return _texts(docs).mapInArrow(run, f"doc_id {kind}, n long, cid long, vec binary")
 
 
 def signature_rows(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -247,47 +256,88 @@ def shared_signatures(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "sig long, cid long, hub long")
 
 
-def _across(groups: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components within a signature that sizes and vectors allow."""
+def _vectors(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
+
+
+def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes and count vectors allow the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (_vectors(batch.column(k)) for k in (4, 5))
+                n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+                ok = pa.array(9 * np.abs(x - y).sum(axis=1) <= n)
+                yield pa.RecordBatch.from_arrays([batch.column(k).filter(ok) for k in (0, 1)], ["a", "b"])
+
+    x = classes.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("vec").alias("va"))
+    y = classes.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("vec").alias("vb"))
+    near = 5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")
+    rows = pairs.join(x, "a").join(y, "b").where(near).select("a", "b", "na", "nb", "va", "vb")
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _across(groups: DataFrame, best: bool) -> DataFrame:
+    """Pairs (a, b) of different components within a signature that sizes and vectors allow.
+
+    ``best``: of each member and other component only the pair with the nearest vectors.
+    """
 
     def pairs(members: list) -> Iterator[pa.RecordBatch]:
         cid = np.concatenate([m[0] for m in members])
         comp = np.concatenate([m[1] for m in members])
         n = np.concatenate([m[2] for m in members])
-        vec = np.concatenate([m[3] for m in members]).astype(np.int32)
-        step = 256
+        vec = np.concatenate([m[3] for m in members])
+        step, found = 256, []
         for i in range(0, len(cid), step):
             for j in range(i, len(cid), step):
                 a, b = slice(i, i + step), slice(j, j + step)
                 x, y = np.nonzero((comp[a, None] != comp[None, b])
                                   & (5 * np.minimum(n[a, None], n[None, b]) >= 4 * np.maximum(n[a, None], n[None, b])))
-                if not len(x):
-                    continue
                 x, y = x + i, y + j
                 if i == j:
                     x, y = x[x < y], y[x < y]
-                apart = np.concatenate([np.abs(vec[x[k:k + 20000]] - vec[y[k:k + 20000]]).sum(axis=1)
-                                        for k in range(0, len(x), 20000)] or [np.zeros(0, np.int64)])
-                ok = 9 * apart <= n[x] + n[y]
-                if ok.any():
-                    p, q = cid[x[ok]], cid[y[ok]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))],
-                                                     ["a", "b"])
+                for k in range(0, len(x), 20_000):
+                    p, q = x[k:k + 20_000], y[k:k + 20_000]
+                    far = 9 * np.abs(vec[p] - vec[q]).sum(axis=1) - n[p] - n[q]
+                    ok = far <= 0
+                    if ok.any():
+                        found.append((p[ok], q[ok], far[ok]))
+                if found and (not best or len(found) > 100):
+                    if not best:
+                        yield from rows(cid, found)
+                    found = nearest(comp, found) if best else []
+        if found:
+            yield from rows(cid, nearest(comp, found))
+
+    def nearest(comp: np.ndarray, found: list) -> list:
+        p, q, far = (np.concatenate([f[k] for f in found]) for k in range(3))
+        order = np.argsort(far, kind="stable")
+        _, first = np.unique(np.stack((p, comp[q]))[:, order], axis=1, return_index=True)
+        _, second = np.unique(np.stack((q, comp[p]))[:, order], axis=1, return_index=True)
+        keep = np.intersect1d(order[first], order[second])
+        return [(p[keep], q[keep], far[keep])]
+
+    def rows(cid: np.ndarray, found: list) -> Iterator[pa.RecordBatch]:
+        for x, y, _ in found:
+            p, q = cid[x], cid[y]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
-        at = None
+        last = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             sig, cid, comp, n = (batch.column(k).to_numpy() for k in range(4))
-            vec = batch.column(4).flatten().to_numpy().reshape(-1, CELLS)
+            vec = _vectors(batch.column(4))
             cuts = [0, *(np.nonzero(sig[1:] != sig[:-1])[0] + 1).tolist(), len(sig)]
             for lo, hi in zip(cuts[:-1], cuts[1:]):
-                if lo == hi:
-                    continue
-                if sig[lo] != at:
+                if sig[lo] != last:
                     if held:
                         yield from pairs(held)
-                    held, at = [], sig[lo]
+                    held, last = [], sig[lo]
                 held.append((cid[lo:hi], comp[lo:hi], n[lo:hi], vec[lo:hi]))
         if held:
             yield from pairs(held)
@@ -332,30 +382,28 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
                                                  F.first("vec").alias("vec")))
     shared = checkpoint(shared_signatures(signature_rows(docs, width)))
 
-    # round 1: every member against the smallest of its group
-    star = shared.where("hub <> cid").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
-    x = classes.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("vec").alias("va"))
-    y = classes.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("vec").alias("vb"))
-    apart = F.aggregate(F.zip_with("va", "vb", lambda p, q: F.abs(p.cast("int") - q.cast("int"))), F.lit(0),
-                        lambda s, d: s + d)
-    star = star.join(x, "a").join(y, "b").where(
-        (5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")) & (9 * apart <= F.col("na") + F.col("nb"))
-    ).select("a", "b")
-    star = checkpoint(star)
-    links = checkpoint(_verify(star, docs, classes, width))
+    # round 1: every member against the smallest class that it meets in a group
+    star = shared.where("hub <> cid").groupBy(F.col("cid").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
+    tested = checkpoint(_plausible(star, classes))
+    links = checkpoint(_verify(tested, docs, classes, width))
     found = checkpoint(components(links))
 
-    # round 2: pairs across components in the groups that still hold several
-    of = shared.join(found.withColumnRenamed("node", "cid"), "cid", "left").select(
-        "sig", "cid", F.coalesce("comp", "cid").alias("comp"))
-    of = checkpoint(of)
-    mixed = of.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
-    groups = of.join(mixed, "sig").join(classes.select("cid", "n", "vec"), "cid")
-    tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    across = checkpoint(_across(groups).join(tested, ["a", "b"], "left_anti"))
-    more = checkpoint(_verify(across, docs, classes, width))
-    if more.take(1):
-        found = checkpoint(components(more.unionByName(found.select(F.col("node").alias("a"), F.col("comp").alias("b")))))
+    # round 2: across the components left in a group, the nearest pair of each member; round 3: all pairs left
+    for best in (True, False):
+        of = checkpoint(shared.join(found.withColumnRenamed("node", "cid"), "cid", "left").select(
+            "sig", "cid", F.coalesce("comp", "cid").alias("comp")))
+        mixed = of.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(
+            "lo <> hi").select("sig")
+        groups = of.join(mixed, "sig").join(classes.select("cid", "n", "vec"), "cid")
+        done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        across = checkpoint(_across(groups, best).join(done, ["a", "b"], "left_anti"))
+        if not across.take(1):
+            continue
+        more = checkpoint(_verify(across, docs, classes, width))
+        tested = tested.unionByName(across)
+        if more.take(1):
+            found = checkpoint(components(more.unionByName(
+                found.select(F.col("node").alias("a"), F.col("comp").alias("b")))))
 
     least = found.join(classes.select(F.col("cid").alias("node"), "rep"), "node").groupBy("comp").agg(
         F.min("rep").alias("component_id"))

@@ -60,7 +60,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 1, tokenizer: str | N
         .option("parquet.page.row.count.limit", page_rows)
         .option("parquet.writer.version", "v2" if encoding == "delta" else "v1")
         .option("parquet.enable.dictionary", str(encoding == "dictionary").lower())
-        .option("compression", "zstd").parquet(path))
+        .option("compression", "zstd").option("parquet.compression.codec.zstd.level", 1).parquet(path))
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:

@@ -11,6 +11,8 @@ letters to marks always starts a new pre-token).
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 
 from .common import load_tokenizer
@@ -60,7 +62,7 @@ class WordIds:
             found = [e.ids for e in self.tokenizer.encode_batch_fast(
                 [w.decode("utf-8", "surrogatepass") for w in some], add_special_tokens=False)]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self._keep(some, np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum())), np.cumsum(sizes))
+            self._keep(some, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), np.cumsum(sizes))
 
     def _in_lines(self, words: list[bytes], line: int = 500) -> None:
         for k in range(0, len(words), 40 * line):
@@ -75,9 +77,12 @@ class WordIds:
                 else:                                # some word's lower case is more than letters
                     self._one_by_one(some)
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _learn(self, words: set[bytes]) -> None:
         plain, whole, split = set(), [], []
         for w in words:
+            if w.isalpha():
+                plain.add(w)
+                continue
             stem = w.rstrip(MARKS)
             if not stem or not (stem.isalpha() or stem.decode("utf-8", "surrogatepass").isalpha()):
                 whole.append(w)
@@ -88,8 +93,8 @@ class WordIds:
                 if stem not in self.at:
                     plain.add(stem)
         marks = {m for _, _, m in split if m not in self.at}
-        self._one_by_one(whole + sorted(marks.difference(whole)))
-        self._in_lines(sorted(plain))
+        self._one_by_one([*whole, *marks.difference(whole)])
+        self._in_lines(list(plain))
         if split:
             a = np.fromiter((self.at[s] for _, s, _ in split), np.int64, len(split))
             b = np.fromiter((self.at[m] for _, _, m in split), np.int64, len(split))
@@ -113,9 +118,9 @@ class WordIds:
             split.append((raw if b"<|" in raw else raw.lower()).split())
         new = set().union(*split).difference(self.at) if split else set()
         if new:
-            self._learn(sorted(new))
+            self._learn(new)
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        k = np.fromiter((i for words in split for i in map(self.at.__getitem__, words)), np.int64, int(counts.sum()))
+        k = np.fromiter(map(self.at.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
         ids, sizes = self._ids_of(k)
         ends = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(counts)))].tolist()
         return [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
