@@ -15,11 +15,15 @@ subset shares a signature that is not empty.  The few other sets are cut anew
 under further seeds; what is left after the last emits its empty subsets too.
 No link is lost.
 
+Shingles that many texts share (a common passage) would make unrelated sets agree.
+The sets are first cut without them: what is left differs in no more elements,
+so the bound holds; sets of which too little is left are cut as a whole.
+
 Candidates are not expanded to all pairs: first every class is tested against
-the smallest one that it meets in a signature group.  Only groups that still
+the nearest of the smallest classes of its signature groups.  Only groups that still
 hold several components are searched further, streaming through rows sorted by
 signature: first the nearest pair of each member and other component, then, where components
-are still apart, all pairs across.  Sizes and a 128-cell count vector (its L1
+are still apart, all pairs across.  Sizes and a 512-cell count vector (its L1
 distance never exceeds the sets' distance) drop most, and exact intersections
 of the whole sets decide.  Equal sets are one class throughout.
 
@@ -49,7 +53,7 @@ from .components import components
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _LOW = np.uint64(0xFFFFFFFF)
-CELLS = 128
+CELLS = 512
 SEEDS = 4
 
 
@@ -67,6 +71,9 @@ class _WordHashes(dict):
         return h
 
 
+_WORDS = _WordHashes()       # a worker's own: later tasks find the words of earlier ones
+
+
 def shingle_set(text: str | None, cache: dict, width: int = 5) -> np.ndarray:
     """Sorted distinct hashes of the shingles of the whole text."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -78,7 +85,10 @@ def shingle_set(text: str | None, cache: dict, width: int = 5) -> np.ndarray:
     h = np.full(n - span + 1, span, np.uint64)
     for k in range(span):
         h = h * _STEP + w[k:n - span + 1 + k]
-    return np.unique(_mix(h))
+    h = np.sort(_mix(h))
+    new = np.ones(len(h), bool)
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    return h if new.all() else h[new]
 
 
 def set_id(values: np.ndarray) -> int:
@@ -110,7 +120,7 @@ def band_plan(most: int) -> tuple[int, int, int, tuple[tuple[int, ...], ...], in
         n1 = k // 2 + 1 + slack
     else:                 # large sets: whole parts
         k2, n2 = 0, 1
-        slack = 1 + k // 10
+        slack = 1 + k // 7
         n1 = k + 1 + slack
     return n1, n2, k2, tuple(combinations(range(n2), n2 - k2)), slack
 
@@ -128,7 +138,15 @@ def _dealt(h: np.ndarray, n1: int, n2: int) -> tuple[np.ndarray, np.ndarray]:
     return order, cell[order]
 
 
-def signatures(values: np.ndarray) -> np.ndarray:
+def without(values: np.ndarray, hot: np.ndarray | None) -> np.ndarray:
+    """The (ascending) values that are not among the (ascending) hot ones."""
+    if hot is None or not len(hot):
+        return values
+    at = np.minimum(np.searchsorted(hot, values), len(hot) - 1)
+    return values[hot[at] != values]
+
+
+def signatures(values: np.ndarray, hot: np.ndarray | None = None) -> np.ndarray:
     """All signatures of a set, for its band and, where it may link upwards, the next one."""
     size = len(values)
     if not size:
@@ -136,18 +154,20 @@ def signatures(values: np.ndarray) -> np.ndarray:
     own = band_of(size)
     edges = bands(size * 4)
     tags = [own] + ([own + 1] if size * 5 // 4 >= edges[own + 1][0] else [])
+    rare = without(values, hot)
     out = []
     for tag in tags:
         n1, n2, _, subsets, slack = band_plan(edges[tag][1])
         for seed in range(SEEDS):
-            h = values if not seed else _mix(values + np.uint64(seed * int(_M3) % (1 << 64)))
+            part = rare if seed < SEEDS // 2 else values
+            h = part if not seed else _mix(part + np.uint64(seed * int(_M3) % (1 << 64)))
             if n2 == 1 and not seed:         # hashes are in order, and so are their parts
                 order = slice(None)
                 cells = (h >> np.uint64(32)) * np.uint64(n1) >> np.uint64(32)
             else:
                 order, cells = _dealt(h, n1, n2)
             ends = np.searchsorted(cells, np.arange(n1 * n2 + 1, dtype=np.uint64))
-            run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(values[order] ^ _M3), dtype=np.uint64)))
+            run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(part[order], dtype=np.uint64)))
             sums = (run[ends[1:]] - run[ends[:-1]]).reshape(n1, n2)
             counts = (ends[1:] - ends[:-1]).reshape(n1, n2)
             parts = np.arange(n1, dtype=np.uint64)
@@ -170,7 +190,7 @@ def signatures(values: np.ndarray) -> np.ndarray:
 
 
 def _sketch(values: np.ndarray) -> np.ndarray:
-    counts = np.bincount((values >> np.uint64(57)).astype(np.int64), minlength=CELLS)
+    counts = np.bincount((values >> np.uint64(55)).astype(np.int64), minlength=CELLS)
     return np.minimum(counts, 255).astype(np.uint8)
 
 
@@ -179,27 +199,44 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def describe(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, n, cid, vec): set size, class id of equal sets (null if empty) and count vector."""
+    """(doc_id, n, cid): set size and class id of equal sets (null if empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _WordHashes()
+        cache = _WORDS
         for part, texts in slices(batches):
             sets = [shingle_set(t, cache, width) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
-                 pa.array([_sketch(s).tobytes() for s in sets], pa.binary())],
-                ["doc_id", "n", "cid", "vec"])
+                 pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n", "cid"])
 
     kind = docs.schema[ID].dataType.simpleString()
-    return _texts(docs).mapInArrow(run, f"doc_id {kind}, n long, cid long, vec binary")
+    return _texts(docs).mapInArrow(run, f"doc_id {kind}, n long, cid long")
+
+
+def hot_shingles(docs: DataFrame, width: int = 5, one_of: int = 16, least: int = 8, most: int = 500_000) -> np.ndarray:
+    """Shingles in many texts, ascending: at least ``least`` among one text in ``one_of``, the ``most`` most frequent.
 
+    They only tell which elements signatures leave out first; any choice is exact.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = _WORDS
+        for _, texts in slices(batches):
+            sets = {len(s) and set_id(s): s for s in (shingle_set(t, cache, width) for t in texts)}
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(list(sets.values())).view(np.int64))], ["h"])
 
-def signature_rows(docs: DataFrame, width: int = 5) -> DataFrame:
+    some = docs.select(F.col(TEXT).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(one_of)) == 0)
+    found = some.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= least).orderBy(
+        F.desc("count"), "h").limit(most).select("h").toArrow()
+    return np.sort(found.column("h").to_numpy().view(np.uint64))
+
+
+def signature_rows(docs: DataFrame, width: int = 5, hot=None) -> DataFrame:
     """(sig, cid) for every class seen in a task (copies within a task emit once)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, seen = _WordHashes(), set()
+        cache, seen = _WORDS, set()
+        frequent = None if hot is None else hot.value
         for _, texts in slices(batches):
             sigs, owner = [], []
             for t in texts:
@@ -209,7 +246,7 @@ def signature_rows(docs: DataFrame, width: int = 5) -> DataFrame:
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(cid)
-                s = signatures(values)
+                s = signatures(values, frequent)
                 sigs.append(s)
                 owner.append(np.full(len(s), cid, np.int64))
             if sigs:
@@ -261,21 +298,22 @@ def _vectors(column: pa.Array) -> np.ndarray:
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sizes and count vectors allow the similarity."""
+    """The pairs (a, b) whose sizes and count vectors allow the similarity, and how far they are (0 at most)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x, y = (_vectors(batch.column(k)) for k in (4, 5))
                 n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-                ok = pa.array(9 * np.abs(x - y).sum(axis=1) <= n)
-                yield pa.RecordBatch.from_arrays([batch.column(k).filter(ok) for k in (0, 1)], ["a", "b"])
+                far = 9 * np.abs(x - y).sum(axis=1) - n
+                rows = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far)], ["a", "b", "far"])
+                yield rows.filter(pa.array(far <= 0))
 
     x = classes.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("vec").alias("va"))
     y = classes.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("vec").alias("vb"))
     near = 5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")
     rows = pairs.join(x, "a").join(y, "b").where(near).select("a", "b", "na", "nb", "va", "vb")
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long, far long")
 
 
 def _across(groups: DataFrame, best: bool) -> DataFrame:
@@ -306,10 +344,10 @@ def _across(groups: DataFrame, best: bool) -> DataFrame:
                         found.append((p[ok], q[ok], far[ok]))
                 if found and (not best or len(found) > 100):
                     if not best:
-                        yield from rows(cid, found)
+                        yield from rows(cid, comp, found)
                     found = nearest(comp, found) if best else []
         if found:
-            yield from rows(cid, nearest(comp, found))
+            yield from rows(cid, comp, nearest(comp, found))
 
     def nearest(comp: np.ndarray, found: list) -> list:
         p, q, far = (np.concatenate([f[k] for f in found]) for k in range(3))
@@ -319,10 +357,11 @@ def _across(groups: DataFrame, best: bool) -> DataFrame:
         keep = np.intersect1d(order[first], order[second])
         return [(p[keep], q[keep], far[keep])]
 
-    def rows(cid: np.ndarray, found: list) -> Iterator[pa.RecordBatch]:
-        for x, y, _ in found:
-            p, q = cid[x], cid[y]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
+    def rows(cid: np.ndarray, comp: np.ndarray, found: list) -> Iterator[pa.RecordBatch]:
+        for x, y, far in found:
+            x, y = np.where(cid[x] < cid[y], x, y), np.where(cid[x] < cid[y], y, x)
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (cid[x], cid[y], comp[x], comp[y], far)],
+                                             ["a", "b", "ca", "cb", "far"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -344,30 +383,53 @@ def _across(groups: DataFrame, best: bool) -> DataFrame:
 
     dealt = groups.select("sig", "cid", "comp", "n", "vec").repartition(partitions_of(groups), "sig"
                                                                         ).sortWithinPartitions("sig", "comp")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    found = dealt.mapInArrow(run, "a long, b long, ca long, cb long, far long")
+    if best:         # of all groups
+        found = found.groupBy("a", "cb").agg(F.min(F.struct("far", "b", "ca")).alias("m")).select(
+            "a", "cb", "m.far", "m.b", "m.ca").groupBy("b", "ca").agg(F.min(F.struct("far", "a")).alias("m")).select(
+            "m.a", "b")
+    return found.select("a", "b").distinct()
+
+
+def _class_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Texts of the wanted classes (cid, rep): one document each, all where the id is null."""
+    named = sized_join(_texts(docs), wanted.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct(),
+                       "doc_id", "left_semi")
+    return named.union(_texts(docs).where("doc_id is null")).select("text")
+
+
+def sketches(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(cid, n, vec) of the wanted classes: set size and count vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = _WORDS
+        for _, texts in slices(batches):
+            sets = [s for s in (shingle_set(t, cache, width) for t in texts) if len(s)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([_sketch(s).tobytes() for s in sets], pa.binary())], ["cid", "n", "vec"])
+
+    got = _class_texts(docs, wanted).mapInArrow(run, "cid long, n long, vec binary")
+    return got.join(wanted.select("cid"), "cid", "left_semi").dropDuplicates(["cid"])
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the similarity."""
     ids = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-    wanted = checkpoint(classes.select("cid", "rep").join(ids, "cid").select("cid", "rep"))
+    wanted = checkpoint(classes.select("cid", "rep").join(ids, "cid"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _WordHashes()
-        for part, texts in slices(batches):
-            sets = [shingle_set(t, cache, width).view(np.int64) for t in texts]
-            ends = np.cumsum([0, *(len(s) for s in sets)])
+        cache = _WORDS
+        for _, texts in slices(batches):
+            sets = [s for s in (shingle_set(t, cache, width) for t in texts) if len(s)]
+            ends = np.cumsum([0, *map(len, sets)])
+            flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([set_id(s.view(np.uint64)) if len(s) else None for s in sets], pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))], ["cid", "s"])
+                [pa.array([set_id(s) for s in sets], pa.int64()),
+                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["cid", "s"])
 
-    # classes whose only id is null are looked up with a null id
-    named = sized_join(_texts(docs), wanted.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct(),
-                       "doc_id", "left_semi")
-    unnamed = _texts(docs).where("doc_id is null")
-    sets = named.union(unnamed).select("text").mapInArrow(run, "cid long, s array<long>")
-    sets = sets.join(wanted.select("cid"), "cid", "left_semi").dropDuplicates(["cid"])
-    sets = checkpoint(sets)
+    sets = _class_texts(docs, wanted).mapInArrow(run, "cid long, s array<long>")
+    sets = checkpoint(sets.join(wanted.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]))
     both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a").join(
         sets.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
@@ -378,14 +440,17 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     table = checkpoint(describe(docs, width))
     full = table.where("n > 0")
-    classes = checkpoint(full.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"),
-                                                 F.first("vec").alias("vec")))
-    shared = checkpoint(shared_signatures(signature_rows(docs, width)))
-
-    # round 1: every member against the smallest class that it meets in a group
-    star = shared.where("hub <> cid").groupBy(F.col("cid").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
-    tested = checkpoint(_plausible(star, classes))
-    links = checkpoint(_verify(tested, docs, classes, width))
+    classes = checkpoint(full.groupBy("cid").agg(F.min("doc_id").alias("rep")))
+    hot = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs, width))
+    shared = checkpoint(shared_signatures(signature_rows(docs, width, hot)))
+    wanted = checkpoint(shared.select("cid").distinct().join(classes, "cid"))
+    vectors = checkpoint(sketches(docs, wanted, width))
+
+    # round 1: every class against the nearest of the smallest classes of its groups
+    star = shared.where("hub <> cid").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
+    tested = checkpoint(_plausible(star, vectors).groupBy("b").agg(F.min(F.struct("far", "a")).alias("m")).select(
+        F.col("m.a").alias("a"), "b"))
+    links = checkpoint(_verify(tested, docs, wanted, width))
     found = checkpoint(components(links))
 
     # round 2: across the components left in a group, the nearest pair of each member; round 3: all pairs left
@@ -394,12 +459,12 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
             "sig", "cid", F.coalesce("comp", "cid").alias("comp")))
         mixed = of.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(
             "lo <> hi").select("sig")
-        groups = of.join(mixed, "sig").join(classes.select("cid", "n", "vec"), "cid")
+        groups = of.join(mixed, "sig").join(vectors, "cid")
         done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        across = checkpoint(_across(groups, best).join(done, ["a", "b"], "left_anti"))
+        across = checkpoint(checkpoint(_across(groups, best)).join(done, ["a", "b"], "left_anti"))
         if not across.take(1):
             continue
-        more = checkpoint(_verify(across, docs, classes, width))
+        more = checkpoint(_verify(across, docs, wanted, width))
         tested = tested.unionByName(across)
         if more.take(1):
             found = checkpoint(components(more.unionByName(

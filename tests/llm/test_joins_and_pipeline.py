@@ -58,7 +58,9 @@ def test_linked_sets_share_a_signature():
                     best = (gone, more)
             gone, more = best or (0, 0)
             b = np.unique(np.concatenate((rng.permutation(a)[gone:], rng.integers(0, 1 << 63, more).astype(np.uint64))))
-            assert set(partenum.signatures(a).tolist()) & set(partenum.signatures(b).tolist())
+            for share in (0.0, 0.3, 0.9, 1.0):         # whatever is called hot
+                hot = np.unique(rng.permutation(np.union1d(a, b))[:int(share * (n + more))])
+                assert set(partenum.signatures(a, hot).tolist()) & set(partenum.signatures(b, hot).tolist())
 
 
 def test_components_by_brute_force(spark):
