@@ -22,8 +22,8 @@ so the bound holds; sets of which too little is left are cut as a whole.
 Candidates are not expanded to all pairs: first every class is tested against
 the nearest of the smallest classes of its signature groups.  Only groups that still
 hold several components are searched further, streaming through rows sorted by
-signature: first the nearest pair of each member and other component, then, where components
-are still apart, all pairs across.  Sizes and a 512-cell count vector (its L1
+signature: first the nearest pair of each member and other component is tested,
+then, where components are still apart, all pairs across.  Sizes and a 256-cell count vector (its L1
 distance never exceeds the sets' distance) drop most, and exact intersections
 of the whole sets decide.  Equal sets are one class throughout.
 
@@ -53,7 +53,8 @@ from .components import components
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _LOW = np.uint64(0xFFFFFFFF)
-CELLS = 512
+CELLS = 256
+COARSE = 64
 SEEDS = 4
 
 
@@ -190,7 +191,7 @@ def signatures(values: np.ndarray, hot: np.ndarray | None = None) -> np.ndarray:
 
 
 def _sketch(values: np.ndarray) -> np.ndarray:
-    counts = np.bincount((values >> np.uint64(55)).astype(np.int64), minlength=CELLS)
+    counts = np.bincount((values >> np.uint64(56)).astype(np.int64), minlength=CELLS)
     return np.minimum(counts, 255).astype(np.uint8)
 
 
@@ -316,21 +317,18 @@ def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, far long")
 
 
-def _across(groups: DataFrame, best: bool) -> DataFrame:
-    """Pairs (a, b) of different components within a signature that sizes and vectors allow.
-
-    ``best``: of each member and other component only the pair with the nearest vectors.
-    """
+def _across(groups: DataFrame) -> DataFrame:
+    """Pairs (a, b, far) of different components within a signature that sizes and vectors allow."""
 
     def pairs(members: list) -> Iterator[pa.RecordBatch]:
-        cid = np.concatenate([m[0] for m in members])
-        comp = np.concatenate([m[1] for m in members])
-        n = np.concatenate([m[2] for m in members])
-        vec = np.concatenate([m[3] for m in members])
-        step, found = 256, []
+        cid, comp, n, vec = (np.concatenate([m[k] for m in members]) for k in range(4))
+        coarse = vec.reshape(len(vec), COARSE, -1).sum(axis=2, dtype=np.int16)
+        step = 256
         for i in range(0, len(cid), step):
             for j in range(i, len(cid), step):
                 a, b = slice(i, i + step), slice(j, j + step)
+                if comp[i] == comp[min(len(comp), j + step) - 1]:      # rows are in the order of components
+                    continue
                 x, y = np.nonzero((comp[a, None] != comp[None, b])
                                   & (5 * np.minimum(n[a, None], n[None, b]) >= 4 * np.maximum(n[a, None], n[None, b])))
                 x, y = x + i, y + j
@@ -338,30 +336,13 @@ def _across(groups: DataFrame, best: bool) -> DataFrame:
                     x, y = x[x < y], y[x < y]
                 for k in range(0, len(x), 20_000):
                     p, q = x[k:k + 20_000], y[k:k + 20_000]
-                    far = 9 * np.abs(vec[p] - vec[q]).sum(axis=1) - n[p] - n[q]
-                    ok = far <= 0
-                    if ok.any():
-                        found.append((p[ok], q[ok], far[ok]))
-                if found and (not best or len(found) > 100):
-                    if not best:
-                        yield from rows(cid, comp, found)
-                    found = nearest(comp, found) if best else []
-        if found:
-            yield from rows(cid, comp, nearest(comp, found))
-
-    def nearest(comp: np.ndarray, found: list) -> list:
-        p, q, far = (np.concatenate([f[k] for f in found]) for k in range(3))
-        order = np.argsort(far, kind="stable")
-        _, first = np.unique(np.stack((p, comp[q]))[:, order], axis=1, return_index=True)
-        _, second = np.unique(np.stack((q, comp[p]))[:, order], axis=1, return_index=True)
-        keep = np.intersect1d(order[first], order[second])
-        return [(p[keep], q[keep], far[keep])]
-
-    def rows(cid: np.ndarray, comp: np.ndarray, found: list) -> Iterator[pa.RecordBatch]:
-        for x, y, far in found:
-            x, y = np.where(cid[x] < cid[y], x, y), np.where(cid[x] < cid[y], y, x)
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (cid[x], cid[y], comp[x], comp[y], far)],
-                                             ["a", "b", "ca", "cb", "far"])
+                    for v in (coarse, vec):
+                        far = 9 * np.abs(v[p] - v[q]).sum(axis=1, dtype=np.int64) - n[p] - n[q]
+                        p, q, far = p[far <= 0], q[far <= 0], far[far <= 0]
+                    if len(p):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.minimum(cid[p], cid[q])), pa.array(np.maximum(cid[p], cid[q])), pa.array(far)],
+                            ["a", "b", "far"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -383,12 +364,22 @@ def _across(groups: DataFrame, best: bool) -> DataFrame:
 
     dealt = groups.select("sig", "cid", "comp", "n", "vec").repartition(partitions_of(groups), "sig"
                                                                         ).sortWithinPartitions("sig", "comp")
-    found = dealt.mapInArrow(run, "a long, b long, ca long, cb long, far long")
-    if best:         # of all groups
-        found = found.groupBy("a", "cb").agg(F.min(F.struct("far", "b", "ca")).alias("m")).select(
-            "a", "cb", "m.far", "m.b", "m.ca").groupBy("b", "ca").agg(F.min(F.struct("far", "a")).alias("m")).select(
-            "m.a", "b")
-    return found.select("a", "b").distinct()
+    return dealt.mapInArrow(run, "a long, b long, far long").groupBy("a", "b").agg(F.first("far").alias("far"))
+
+
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs of different components, with these (ca, cb)."""
+    x = found.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
+    y = found.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
+    return pairs.join(x, "a", "left").join(y, "b", "left").select(
+        "a", "b", "far", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
+
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """Of each member and other component the nearest pair."""
+    one = pairs.groupBy("a", "cb").agg(F.min(F.struct("far", "b", "ca")).alias("m")).select(
+        "a", "m.far", "m.b", "m.ca")
+    return one.groupBy("b", "ca").agg(F.min(F.struct("far", "a")).alias("m")).select("m.a", "b")
 
 
 def _class_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -453,19 +444,19 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     links = checkpoint(_verify(tested, docs, wanted, width))
     found = checkpoint(components(links))
 
-    # round 2: across the components left in a group, the nearest pair of each member; round 3: all pairs left
-    for best in (True, False):
-        of = checkpoint(shared.join(found.withColumnRenamed("node", "cid"), "cid", "left").select(
-            "sig", "cid", F.coalesce("comp", "cid").alias("comp")))
-        mixed = of.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(
-            "lo <> hi").select("sig")
-        groups = of.join(mixed, "sig").join(vectors, "cid")
-        done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        across = checkpoint(checkpoint(_across(groups, best)).join(done, ["a", "b"], "left_anti"))
-        if not across.take(1):
-            continue
-        more = checkpoint(_verify(across, docs, wanted, width))
-        tested = tested.unionByName(across)
+    # across the components left in a group: first the nearest pair of each member, then all pairs left
+    of = checkpoint(shared.join(found.withColumnRenamed("node", "cid"), "cid", "left").select(
+        "sig", "cid", F.coalesce("comp", "cid").alias("comp")))
+    mixed = of.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
+    left = checkpoint(_across(of.join(mixed, "sig").join(vectors, "cid")))
+    tried = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for choose in (_nearest, lambda pairs: pairs.select("a", "b")):
+        left = checkpoint(_apart(left.join(tried.distinct(), ["a", "b"], "left_anti"), found))
+        if not left.take(1):
+            break
+        tried = checkpoint(choose(left))
+        more = checkpoint(_verify(tried, docs, wanted, width))
+        left = left.select("a", "b", "far")
         if more.take(1):
             found = checkpoint(components(more.unionByName(
                 found.select(F.col("node").alias("a"), F.col("comp").alias("b")))))
