@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import sized_join
-from ..session import checkpoint
+from ..session import checkpoint, scratch_path
 from .common import ID, TEXT, partitions_of, slices
 from .components import components
 
@@ -56,6 +56,7 @@ _LOW = np.uint64(0xFFFFFFFF)
 CELLS = 256
 COARSE = 64
 SEEDS = 4
+BROADCAST_BYTES = 24 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -214,7 +215,7 @@ def describe(docs: DataFrame, width: int = 5) -> DataFrame:
     return _texts(docs).mapInArrow(run, f"doc_id {kind}, n long, cid long")
 
 
-def hot_shingles(docs: DataFrame, width: int = 5, one_of: int = 16, least: int = 8, most: int = 500_000) -> np.ndarray:
+def hot_shingles(docs: DataFrame, width: int = 5, one_of: int = 32, least: int = 5, most: int = 500_000) -> np.ndarray:
     """Shingles in many texts, ascending: at least ``least`` among one text in ``one_of``, the ``most`` most frequent.
 
     They only tell which elements signatures leave out first; any choice is exact.
@@ -320,47 +321,37 @@ def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def _across(groups: DataFrame) -> DataFrame:
     """Pairs (a, b, far) of different components within a signature that sizes and vectors allow."""
 
-    def pairs(members: list) -> Iterator[pa.RecordBatch]:
-        cid, comp, n, vec = (np.concatenate([m[k] for m in members]) for k in range(4))
+    def pairs(sig, cid, comp, n, vec) -> Iterator[pa.RecordBatch]:
         coarse = vec.reshape(len(vec), COARSE, -1).sum(axis=2, dtype=np.int16)
-        step = 256
-        for i in range(0, len(cid), step):
-            for j in range(i, len(cid), step):
-                a, b = slice(i, i + step), slice(j, j + step)
-                if comp[i] == comp[min(len(comp), j + step) - 1]:      # rows are in the order of components
-                    continue
-                x, y = np.nonzero((comp[a, None] != comp[None, b])
-                                  & (5 * np.minimum(n[a, None], n[None, b]) >= 4 * np.maximum(n[a, None], n[None, b])))
-                x, y = x + i, y + j
-                if i == j:
-                    x, y = x[x < y], y[x < y]
-                for k in range(0, len(x), 20_000):
-                    p, q = x[k:k + 20_000], y[k:k + 20_000]
-                    for v in (coarse, vec):
-                        far = 9 * np.abs(v[p] - v[q]).sum(axis=1, dtype=np.int64) - n[p] - n[q]
-                        p, q, far = p[far <= 0], q[far <= 0], far[far <= 0]
-                    if len(p):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.minimum(cid[p], cid[q])), pa.array(np.maximum(cid[p], cid[q])), pa.array(far)],
-                            ["a", "b", "far"])
+        for d in range(1, len(sig)):                # rows d apart in the same group
+            same = sig[d:] == sig[:-d]
+            if not same.any():
+                break
+            p = np.flatnonzero(same & (comp[d:] != comp[:-d])
+                               & (5 * np.minimum(n[d:], n[:-d]) >= 4 * np.maximum(n[d:], n[:-d])))
+            q = p + d
+            for v in (coarse, vec):
+                far = 9 * np.abs(v[p] - v[q]).sum(axis=1, dtype=np.int64) - n[p] - n[q]
+                p, q, far = p[far <= 0], q[far <= 0], far[far <= 0]
+            if len(p):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.minimum(cid[p], cid[q])), pa.array(np.maximum(cid[p], cid[q])), pa.array(far)],
+                    ["a", "b", "far"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-        last = None
+        held = None                                 # the rows of the last group, which may go on
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig, cid, comp, n = (batch.column(k).to_numpy() for k in range(4))
-            vec = _vectors(batch.column(4))
-            cuts = [0, *(np.nonzero(sig[1:] != sig[:-1])[0] + 1).tolist(), len(sig)]
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                if sig[lo] != last:
-                    if held:
-                        yield from pairs(held)
-                    held, last = [], sig[lo]
-                held.append((cid[lo:hi], comp[lo:hi], n[lo:hi], vec[lo:hi]))
-        if held:
-            yield from pairs(held)
+            cols = [*(batch.column(k).to_numpy() for k in range(4)), _vectors(batch.column(4))]
+            if held is not None:
+                cols = [np.concatenate((x, y)) for x, y in zip(held, cols)]
+            last = int(np.searchsorted(cols[0], cols[0][-1], "left"))
+            if last:
+                yield from pairs(*(x[:last] for x in cols))
+            held = [x[last:] for x in cols]
+        if held is not None:
+            yield from pairs(*held)
 
     dealt = groups.select("sig", "cid", "comp", "n", "vec").repartition(partitions_of(groups), "sig"
                                                                         ).sortWithinPartitions("sig", "comp")
@@ -389,6 +380,15 @@ def _class_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return named.union(_texts(docs).where("doc_id is null")).select("text")
 
 
+def _written_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, text) of the wanted classes' documents, as a table in the shared folder."""
+    named = sized_join(_texts(docs), wanted.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct(),
+                       "doc_id", "left_semi")
+    path = scratch_path(docs.sparkSession, "partenum-texts")
+    named.unionByName(_texts(docs).where("doc_id is null")).write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
 def sketches(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(cid, n, vec) of the wanted classes: set size and count vector."""
 
@@ -421,8 +421,10 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -
 
     sets = _class_texts(docs, wanted).mapInArrow(run, "cid long, s array<long>")
     sets = checkpoint(sets.join(wanted.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]))
-    both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a").join(
-        sets.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
+    x, y = (sets.select(F.col("cid").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
+    if 8 * (sets.agg(F.sum(F.size("s"))).first()[0] or 0) <= BROADCAST_BYTES:
+        x, y = F.broadcast(x), F.broadcast(y)       # few sets in many pairs
+    both = pairs.join(x, "a").join(y, "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(100 * common >= 80 * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
@@ -435,13 +437,14 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     hot = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs, width))
     shared = checkpoint(shared_signatures(signature_rows(docs, width, hot)))
     wanted = checkpoint(shared.select("cid").distinct().join(classes, "cid"))
-    vectors = checkpoint(sketches(docs, wanted, width))
+    texts = _written_texts(docs, wanted)
+    vectors = checkpoint(sketches(texts, wanted, width))
 
     # round 1: every class against the nearest of the smallest classes of its groups
     star = shared.where("hub <> cid").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
     tested = checkpoint(_plausible(star, vectors).groupBy("b").agg(F.min(F.struct("far", "a")).alias("m")).select(
         F.col("m.a").alias("a"), "b"))
-    links = checkpoint(_verify(tested, docs, wanted, width))
+    links = checkpoint(_verify(tested, texts, wanted, width))
     found = checkpoint(components(links))
 
     # across the components left in a group: first the nearest pair of each member, then all pairs left
@@ -455,7 +458,7 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
         if not left.take(1):
             break
         tried = checkpoint(choose(left))
-        more = checkpoint(_verify(tried, docs, wanted, width))
+        more = checkpoint(_verify(tried, texts, wanted, width))
         left = left.select("a", "b", "far")
         if more.take(1):
             found = checkpoint(components(more.unionByName(
