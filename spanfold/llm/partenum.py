@@ -41,6 +41,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,7 +57,7 @@ _LOW = np.uint64(0xFFFFFFFF)
 CELLS = 256
 COARSE = 64
 SEEDS = 4
-BROADCAST_BYTES = 24 << 20
+BROADCAST_BYTES = 8 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -67,7 +68,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 700_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -200,21 +201,6 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col(ID).alias("doc_id"), F.col(TEXT).alias("text"))
 
 
-def describe(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, n, cid): set size and class id of equal sets (null if empty)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _WORDS
-        for part, texts in slices(batches):
-            sets = [shingle_set(t, cache, width) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n", "cid"])
-
-    kind = docs.schema[ID].dataType.simpleString()
-    return _texts(docs).mapInArrow(run, f"doc_id {kind}, n long, cid long")
-
-
 def hot_shingles(docs: DataFrame, width: int = 5, one_of: int = 32, least: int = 5, most: int = 500_000) -> np.ndarray:
     """Shingles in many texts, ascending: at least ``least`` among one text in ``one_of``, the ``most`` most frequent.
 
@@ -234,16 +220,23 @@ def hot_shingles(docs: DataFrame, width: int = 5, one_of: int = 32, least: int =
 
 
 def signature_rows(docs: DataFrame, width: int = 5, hot=None) -> DataFrame:
-    """(sig, cid) for every class seen in a task (copies within a task emit once)."""
+    """Two kinds of rows (sig, cid, n) in one pass over the texts.
+
+    n null: a signature of a class (copies within a task emit once).  Else a
+    document: sig is its class, cid its id, n its set size (-1 - size without an id).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, seen = _WORDS, set()
         frequent = None if hot is None else hot.value
-        for _, texts in slices(batches):
-            sigs, owner = [], []
+        for part, texts in slices(batches):
+            sigs, owner, sizes, classes = [], [], [], []
             for t in texts:
                 values = shingle_set(t, cache, width)
-                if not len(values) or (cid := set_id(values)) in seen:
+                cid = set_id(values) if len(values) else xxhash.xxh32_intdigest(str(len(seen) + len(sizes)))
+                sizes.append(len(values))
+                classes.append(cid)
+                if not len(values) or cid in seen:
                     continue
                 if len(seen) > 1_000_000:
                     seen.clear()
@@ -253,19 +246,31 @@ def signature_rows(docs: DataFrame, width: int = 5, hot=None) -> DataFrame:
                 owner.append(np.full(len(s), cid, np.int64))
             if sigs:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(owner))], ["sig", "cid"])
+                    [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(owner)),
+                     pa.nulls(sum(map(len, sigs)), pa.int64())], ["sig", "cid", "n"])
+            ids = part.column("doc_id").to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(classes, pa.int64()), pa.array([i or 0 for i in ids], pa.int64()),
+                 pa.array([-1 - n if i is None else n for i, n in zip(ids, sizes)], pa.int64())], ["sig", "cid", "n"])
 
-    return docs.select(F.col(TEXT).alias("text")).mapInArrow(run, "sig long, cid long")
+    rows = docs.select(F.col(ID).cast("long").alias("doc_id"), F.col(TEXT).alias("text"))
+    return rows.mapInArrow(run, "sig long, cid long, n long")
 
 
 def shared_signatures(rows: DataFrame) -> DataFrame:
-    """(sig, cid, hub) of signatures that at least two classes share; hub: their smallest class."""
+    """(sig, cid, hub, n): signatures that at least two classes share (hub: their smallest class), and all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["sig", "cid", "hub", "n"]
         held = None                       # last row so far: sig, cid, hub, has a neighbour
         for batch in batches:
-            sig = batch.column(0).to_numpy()
-            cid = batch.column(1).to_numpy()
+            document = batch.column(2).is_valid()
+            some = batch.filter(document)
+            if some.num_rows:
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0), some.column(1), pa.nulls(some.num_rows, pa.int64()), some.column(2)], names)
+            batch = batch.filter(pc.invert(document))
+            sig, cid = (batch.column(k).to_numpy() for k in range(2))
             if held is not None:
                 sig, cid = np.concatenate(([held[0]], sig)), np.concatenate(([held[1]], cid))
             new = np.ones(len(sig), bool)
@@ -287,12 +292,14 @@ def shared_signatures(rows: DataFrame) -> DataFrame:
             out = near.copy()
             out[-1] = False
             if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (sig, cid, hub)], ["sig", "cid", "hub"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[out]) for x in (sig, cid, hub)),
+                                                  pa.nulls(int(out.sum()), pa.int64())], names)
         if held is not None and held[3]:
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in held[:3]], ["sig", "cid", "hub"])
+            yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in held[:3]),
+                                              pa.nulls(1, pa.int64())], names)
 
     dealt = rows.repartition(partitions_of(rows), "sig").sortWithinPartitions("sig", "cid")
-    return dealt.mapInArrow(run, "sig long, cid long, hub long")
+    return dealt.mapInArrow(run, "sig long, cid long, hub long, n long")
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -431,11 +438,15 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -
 
 def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    table = checkpoint(describe(docs, width))
+    hot = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs, width))
+    both = checkpoint(shared_signatures(signature_rows(docs, width, hot)))
+    shared = both.where("n is null").select("sig", "cid", "hub")
+    size = F.when(F.col("n") < 0, -1 - F.col("n")).otherwise(F.col("n"))
+    table = both.where("n is not null").select(
+        F.when(F.col("n") >= 0, F.col("cid")).cast(docs.schema[ID].dataType).alias("doc_id"), size.alias("n"),
+        F.when(size > 0, F.col("sig")).alias("cid"))
     full = table.where("n > 0")
     classes = checkpoint(full.groupBy("cid").agg(F.min("doc_id").alias("rep")))
-    hot = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs, width))
-    shared = checkpoint(shared_signatures(signature_rows(docs, width, hot)))
     wanted = checkpoint(shared.select("cid").distinct().join(classes, "cid"))
     texts = _written_texts(docs, wanted)
     vectors = checkpoint(sketches(texts, wanted, width))
