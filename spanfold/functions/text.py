@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Callable, Sequence
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,36 +33,6 @@ NON_ASCII = r"[^\x00-\x7F]"
 # same text; the blank is consumed.  Each repair writes "&" before what it
 # matched, so the three rules run as one pass.
 MISSING_AMP = f"[{WS_CLASS}](#[0-9]+;|amp;|quot;)"
-# Named character references.  Latin-1 names map to U+00A0.. in this order.
-LATIN1_ENTITY_NAMES = (
-    "nbsp iexcl cent pound curren yen brvbar sect uml copy ordf laquo not shy "
-    "reg macr deg plusmn sup2 sup3 acute micro para middot cedil sup1 ordm raquo "
-    "frac14 frac12 frac34 iquest Agrave Aacute Acirc Atilde Auml Aring AElig "
-    "Ccedil Egrave Eacute Ecirc Euml Igrave Iacute Icirc Iuml ETH Ntilde Ograve "
-    "Oacute Ocirc Otilde Ouml times Oslash Ugrave Uacute Ucirc Uuml Yacute THORN "
-    "szlig agrave aacute acirc atilde auml aring aelig ccedil egrave eacute ecirc "
-    "euml igrave iacute icirc iuml eth ntilde ograve oacute ocirc otilde ouml "
-    "divide oslash ugrave uacute ucirc uuml yacute thorn yuml"
-).split()
-OTHER_ENTITIES = {
-    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'",
-    "AMP": "&", "LT": "<", "GT": ">", "QUOT": '"', "COPY": "©", "REG": "®",
-    "OElig": "Œ", "oelig": "œ", "Scaron": "Š", "scaron": "š",
-    "Yuml": "Ÿ", "fnof": "ƒ", "circ": "ˆ", "tilde": "˜",
-    "ensp": " ", "emsp": " ", "thinsp": " ", "zwnj": "‌",
-    "zwj": "‍", "lrm": "‎", "rlm": "‏", "ndash": "–",
-    "mdash": "—", "lsquo": "‘", "rsquo": "’", "sbquo": "‚",
-    "ldquo": "“", "rdquo": "”", "bdquo": "„", "dagger": "†",
-    "Dagger": "‡", "bull": "•", "hellip": "…", "permil": "‰",
-    "prime": "′", "Prime": "″", "lsaquo": "‹", "rsaquo": "›",
-    "oline": "‾", "euro": "€", "trade": "™", "larr": "←",
-    "uarr": "↑", "rarr": "→", "darr": "↓", "harr": "↔",
-    "minus": "−", "infin": "∞", "ne": "≠", "le": "≤",
-    "ge": "≥", "Tab": "\t", "NewLine": "\n",
-}
-# Names that HTML also accepts without the closing semicolon.
-LEGACY_NO_SEMICOLON = tuple(LATIN1_ENTITY_NAMES) + (
-    "amp", "AMP", "lt", "LT", "gt", "GT", "quot", "QUOT", "COPY", "REG")
 # Numeric references 0x80..0x9F are read as windows-1252 (HTML rule).
 WINDOWS_1252_C1 = {
     0x80: "€", 0x81: "\x81", 0x82: "‚", 0x83: "ƒ", 0x84: "„",
@@ -74,24 +45,13 @@ WINDOWS_1252_C1 = {
 }
 
 
-def _entity_table() -> dict[str, str]:
-    table = {}
-    for i, name in enumerate(LATIN1_ENTITY_NAMES):
-        table[name + ";"] = chr(0xA0 + i)
-    for name, value in OTHER_ENTITIES.items():
-        table[name + ";"] = value
-    for name in LEGACY_NO_SEMICOLON:
-        table[name] = table[name + ";"]
-    return table
-
-
-ENTITIES = _entity_table()
+# the whole HTML5 table, from the standard library: names with ";" and the old names without
+ENTITIES = dict(html5)
+LEGACY_NO_SEMICOLON = tuple(n for n in ENTITIES if not n.endswith(";"))
 
 
 def _map_literal(d: dict) -> Column:
-    keys = list(d.keys())
-    return F.map_from_arrays(F.array(*[F.lit(k) for k in keys]),
-                             F.array(*[F.lit(d[k]) for k in keys]))
+    return F.map_from_arrays(F.lit(list(d)), F.lit(list(d.values())))
 
 
 # --- TXT-1 ------------------------------------------------------------------
@@ -119,8 +79,7 @@ def _codepoint_to_str(cp: Column) -> Column:
 def _numeric_ref(piece: Column) -> Column:
     body = F.regexp_replace(piece, r"^&#|;$", "")
     is_hex = body.startswith("x") | body.startswith("X")
-    digits = F.regexp_replace(F.when(is_hex, F.substring(body, 2, 64)).otherwise(body),
-                              "^0+", "")
+    digits = F.regexp_replace(body, "^[xX]?0*", "")
     too_long = F.when(is_hex, F.length(digits) > 6).otherwise(F.length(digits) > 7)
     cp = F.when(digits == "", F.lit(0)).otherwise(
         F.when(is_hex, F.conv(digits, 16, 10)).otherwise(digits).cast("bigint"))

@@ -185,7 +185,10 @@ def fit_classifier(kind: str, train: DataFrame, params: dict, features: str = "f
                                      featureSubsetStrategy=str(mf), seed=params.get("random_state", 0),
                                      maxDepth=params.get("max_depth", 30))
     elif kind == "svc":
-        svc = LinearSVC(featuresCol="_fv", labelCol="_label", regParam=1.0 / max(params.get("C", 1.0), 1e-12) / 1000,
+        # the loss is a mean: C counts against the sum of the weights
+        total = data.agg(F.sum(weight_col) if weight_col else F.count(F.lit(1))).first()[0] or 1
+        svc = LinearSVC(featuresCol="_fv", labelCol="_label",
+                        regParam=1.0 / (max(params.get("C", 1.0), 1e-12) * total),
                         maxIter=params.get("max_iter", 50), standardization=False)
         # one binary fit per class; classes are fitted concurrently
         est = OneVsRest(classifier=svc, featuresCol="_fv", labelCol="_label",

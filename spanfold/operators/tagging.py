@@ -45,10 +45,10 @@ class NullTagger:
         return t.select("doc_id", all_outside(F.col("tokens")).alias("pairs"))
 
 
-# --- fixed values: shape rules (pattern, label), first hit wins --------------
+# --- fixed values: shape rules (pattern, label, not at a sentence's start), first hit wins
 SHAPE_RULES = (
-    (r"^\p{Lu}{2,}$", "ORG"),        # acronym
-    (r"^\p{Lu}\p{Ll}+$", "NAME"),    # capitalised word, not sentence-initial
+    (r"^\p{Lu}{2,}$", "ORG", False),       # acronym
+    (r"^\p{Lu}\p{Ll}+$", "NAME", True),    # capitalised word
 )
 SENTENCE_END = r"[.!?]$"
 
@@ -62,42 +62,43 @@ class ShapeTagger:
     ``B-`` on the first, ``I-`` on the rest.
     """
 
-    def __init__(self, rules: Iterable[tuple[str, str]] = SHAPE_RULES):
-        self.rules = tuple(rules)
+    def __init__(self, rules: Iterable[tuple] = SHAPE_RULES):
+        """``rules``: (pattern, label) or (pattern, label, not at a sentence's start)."""
+        self.rules = tuple((*r, False)[:3] for r in rules)
 
     def labels(self, tokens: Column) -> Column:
-        def label(i: Column) -> Column:
-            tok = F.try_element_at(tokens, i + 1)
+        def label(tok: Column, i: Column) -> Column:
             prev = F.try_element_at(tokens, F.greatest(i, F.lit(1)))
             initial = (i == 0) | prev.rlike(SENTENCE_END)
             expr = None
-            for pattern, name in self.rules:
+            for pattern, name, inside_only in self.rules:
                 cond = tok.rlike(pattern)
-                if name == "NAME":
+                if inside_only:
                     cond = cond & ~initial
                 expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
-            # every rule starts with an upper-case letter: tokens starting with an
+            if expr is None:
+                return F.lit(None).cast("string")
+            if self.rules != SHAPE_RULES:
+                return expr
+            # both built-in rules start with an upper-case letter: tokens starting with an
             # ASCII lower-case letter or digit (most of them) skip the regexes
             first = F.substring(tok, 1, 1)
             plain = ((first >= "a") & (first <= "z")) | ((first >= "0") & (first <= "9"))
             return F.when(~plain, expr)
 
-        return F.transform(F.sequence(F.lit(0), F.size(tokens) - 1), label)
+        return F.transform(tokens, label)
 
     def tag(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         t = tokenize(docs, text_col).withColumn("labels", self.labels(F.col("tokens")))
         lab = F.col("labels")
 
-        def bio(i: Column) -> Column:
-            cur = F.try_element_at(lab, i + 1)
+        def bio(cur: Column, i: Column) -> Column:
             prev = F.when(i > 0, F.try_element_at(lab, F.greatest(i, F.lit(1))))
             return (F.when(cur.isNull(), F.lit("O"))
                     .when(prev.eqNullSafe(cur), F.concat(F.lit("I-"), cur))
                     .otherwise(F.concat(F.lit("B-"), cur)))
 
-        tags = F.transform(F.sequence(F.lit(0), F.size(F.col("tokens")) - 1), bio)
-        tags = F.when(F.size("tokens") > 0, tags).otherwise(F.array().cast("array<string>"))
-        return t.select("doc_id", pairs_of(F.col("tokens"), tags).alias("pairs"))
+        return t.select("doc_id", pairs_of(F.col("tokens"), F.transform(lab, bio)).alias("pairs"))
 
 
 def bio_from_spans(n_tokens: Column, spans: Column) -> Column:
@@ -301,8 +302,9 @@ def validate_tokenized(tokenized: DataFrame | None, tags: DataFrame | None = Non
 def violations(df: DataFrame, tokens: str = "tokens", tags: str = "tags",
                keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Rows whose token and tag lists differ in length or hold a non-BIO tag."""
-    bad_len = F.size(tokens) != F.size(tags)
-    bad_tag = F.exists(F.col(tags), lambda t: ~is_bio_tag(t))
+    # a null list, or a null tag in a list, is a violation too
+    bad_len = F.coalesce(F.size(tokens) != F.size(tags), F.lit(True)) | F.col(tokens).isNull() | F.col(tags).isNull()
+    bad_tag = F.coalesce(F.exists(F.col(tags), lambda t: F.coalesce(~is_bio_tag(t), F.lit(True))), F.lit(True))
     return df.where(bad_len | bad_tag).select(
         *keys, bad_len.alias("length_mismatch"), bad_tag.alias("bad_tag"))
 

@@ -193,10 +193,8 @@ def sta7_entities_per_doc(spark, sf):
     toks = barrier(CLEANER.apply(docs, "text").select(
         "lang", whitespace_tokens(F.col("text")).alias("tokens")), "tokens")
     labs = barrier(toks.select("lang", ShapeTagger().labels(F.col("tokens")).alias("l")), "l")
-    starts = F.size(F.filter(F.sequence(F.lit(0), F.size("l") - 1), lambda i: F.try_element_at("l", i + 1).isNotNull()
-                             & ~F.try_element_at("l", i + 1).eqNullSafe(
-                                 F.when(i > 0, F.try_element_at("l", F.greatest(i, F.lit(1)))))))
-    n = F.when(F.size("l") > 0, starts).otherwise(F.lit(0))
+    n = F.size(F.filter("l", lambda x, i: x.isNotNull() & ~x.eqNullSafe(
+        F.when(i > 0, F.try_element_at("l", F.greatest(i, F.lit(1)))))))
     return labs.select("lang", n.alias("n")).groupBy("lang").agg(r6(F.avg("n")).alias("avg_entities"))
 
 

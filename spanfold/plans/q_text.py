@@ -210,9 +210,9 @@ def tok11_token_filter(spark, sf):
 
 @register("tok12_wordnet_class", """SELECT tag, CASE WHEN starts_with(tag, 'J') THEN 'a'
   WHEN starts_with(tag, 'V') THEN 'v' WHEN starts_with(tag, 'R') THEN 'r' ELSE 'n' END AS wn
-FROM (SELECT DISTINCT upper(left(p_type, 2)) AS tag FROM part)""")
+FROM (SELECT DISTINCT upper(p_type) AS tag FROM part)""")
 def tok12_wordnet_class(spark, sf):
-    tags = table(spark, sf, "part").select(F.upper(F.substring("p_type", 1, 2)).alias("tag")).distinct()
+    tags = table(spark, sf, "part").select(F.upper("p_type").alias("tag")).distinct()
     return tags.select("tag", K.wordnet_class(F.col("tag")).alias("wn"))
 
 

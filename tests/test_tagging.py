@@ -51,3 +51,18 @@ def test_tags_stay_aligned_after_filter(spark):
     pairs = ShapeTagger().tag(docs).select(builtin_token_filter(F.col("pairs")).alias("p")).first().p
     assert [(p.token, p.tag) for p in pairs] == [("Hello", "O"), ("NASA", "B-ORG"), ("ok", "O"),
                                                  ("<EMOTE>", "O"), ("<URL>", "O"), ("Bob", "B-NAME")]
+
+
+def test_empty_documents_and_own_rules(spark):
+    docs = _docs(spark, ["", "ééé", "in 1999 the iPhone"])
+    assert [len(r.pairs) for r in ShapeTagger().tag(docs).orderBy("doc_id").collect()] == [0, 1, 4]
+    own = ShapeTagger(rules=[(r"^\d{4}$", "YEAR"), (r"^i[A-Z]\w+$", "PROD")])
+    got = [r.tag for r in to_long(own.tag(docs.where("doc_id = 2"))).orderBy("pos").collect()]
+    assert got == ["O", "B-YEAR", "O", "B-PROD"]
+
+
+@pytest.mark.parametrize("tags", [None, [None]])
+def test_null_tags_are_refused(spark, tags):
+    df = spark.createDataFrame([(1, ["a"], tags)], "doc_id int, tokens array<string>, tags array<string>")
+    with pytest.raises(ValueError):
+        check_tagged(df)
