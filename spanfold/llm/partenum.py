@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import sized_join
 from ..session import checkpoint, scratch_path
-from .common import ID, TEXT, partitions_of, slices
+from .common import ID, TEXT, key_part, partitions_of, slices
 from .components import components
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -487,10 +487,16 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, width: int = 5) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest doc_id (same columns)."""
-    first = near_duplicates(docs, width).where(
-        F.col("component_id").eqNullSafe(F.col("doc_id"))).select(
-        F.col("doc_id").alias("__d"), (F.col("n_shingles") > 0).alias("__one")).dropDuplicates(["__d"])
-    joined = docs.join(first, F.col(ID).eqNullSafe(F.col("__d")))
-    one = joined.where("__one").dropDuplicates([ID])
-    return one.unionByName(joined.where("not __one")).select(*docs.columns)
+    """``docs`` with one document of each group: the one with the smallest doc_id (same columns).
+
+    The kept ids are a narrow table, broadcast behind its row count; only rows
+    whose id occurs more than once are shuffled with their texts.
+    """
+    ids = near_duplicates(docs, width).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).groupBy("doc_id").agg(
+        (F.max("n_shingles") > 0).alias("full"), F.count(F.lit(1)).alias("n"))
+    kept = checkpoint(ids.select(key_part("doc_id").alias("__key"), (F.col("full") & (F.col("n") > 1)).alias("__many")))
+    joined = sized_join(docs.withColumn("__key", key_part(ID)), kept, "__key")
+    out = joined.where("not __many").select(*docs.columns)
+    if kept.where("__many").take(1):
+        out = out.unionByName(joined.where("__many").dropDuplicates(["__key"]).select(*docs.columns))
+    return out
