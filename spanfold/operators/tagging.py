@@ -276,12 +276,22 @@ def spans_to_bio(tokens_long: DataFrame, spans: DataFrame) -> DataFrame:
     ``tokens_long``: (doc_id, pos, token); ``spans``: (doc_id, start, end,
     label).  Each span is expanded to the positions it covers (bounded by the
     span length), so the range condition becomes an equi-join on
-    (doc_id, pos).
+    (doc_id, pos).  Overlapping spans, a negative start and an empty or
+    inverted span raise an error when the result is computed; a span that ends
+    after its document tags the tokens that are there.
     """
-    covered = spans.select("doc_id", "start", "label",
-                           F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"))
+    valid = (F.col("start") >= 0) & (F.col("end") > F.col("start"))
+    positions = F.when(F.coalesce(valid, F.lit(False)), F.sequence("start", F.col("end") - 1)).otherwise(
+        F.raise_error(F.lit("span with a negative start or without tokens")).cast("array<long>"))
+    spread_out = spans.select("doc_id", F.col("start").cast("long"), F.col("end").cast("long"), "label").select(
+        "doc_id", "start", "label", F.explode(positions).alias("pos"))
+    one = spread_out.groupBy("doc_id", "pos").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("start", "label")).alias("s"))
+    start = F.when(F.col("n") == 1, F.col("s.start")).otherwise(
+        F.raise_error(F.lit("overlapping spans")).cast("long"))
+    covered = one.select("doc_id", "pos", start.alias("start"), F.col("s.label").alias("label"))
     j = tokens_long.join(covered, ["doc_id", "pos"], "left")
-    tag = (F.when(F.col("label").isNull(), F.lit("O"))
+    tag = (F.when(F.col("start").isNull(), F.lit("O"))
            .when(F.col("pos") == F.col("start"), F.concat(F.lit("B-"), "label"))
            .otherwise(F.concat(F.lit("I-"), "label")))
     return j.select("doc_id", "pos", "token", tag.alias("tag"))

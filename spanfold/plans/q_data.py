@@ -77,7 +77,7 @@ std AS (SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id
 
 
 @register("src5_load_representation", f"""WITH {STD_SQL}
-SELECT doc_id, term, weight, lang AS TARGET FROM std JOIN documents USING (doc_id)""")
+SELECT doc_id, term, weight, lang AS TARGET FROM documents LEFT JOIN std USING (doc_id)""")
 def src5_load_representation(spark, sf):
     docs = corpus(spark, sf)
     m = standard_vectorizer().fit(docs)

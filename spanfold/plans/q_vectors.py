@@ -173,9 +173,10 @@ def std6_document_total(spark, sf):
 
 
 # --- FLT-2..4, SRT-1, SRT-3, ARR-6 on the standard weights -------------------------------
-@register("flt2_nonzero_weights", STD_SQL + " SELECT * FROM std WHERE weight <> 0")
+@register("flt2_nonzero_weights", STD_SQL + " SELECT std.* FROM std JOIN w USING (doc_id, term) WHERE w.w <> 0")
 def flt2_nonzero_weights(spark, sf):
-    return std1_standard_tfidf(spark, sf).where(F.col("weight") != 0)
+    kept = _std(spark, sf).where(F.col("weight") != 0)       # before rounding
+    return kept.select("doc_id", "term", r6("weight").alias("weight"))
 
 
 @register("flt3_one_document", STD_SQL + """ SELECT std.* FROM std JOIN (

@@ -125,7 +125,7 @@ def scale_conf(input_bytes: float, executors: int, cores_per_executor: int = 4,
 
     * splits of 64 MB give cleaning/tagging tasks of a few seconds each;
     * shuffle partitions target ~256 MB each after the document repartition
-      (at least 2 waves of tasks, at most 200,000 partitions);
+      (at least 2 waves of tasks);
     * each task's share of executor memory must hold one partition's
       per-document arrays several times over, which the bounds above keep;
     * AQE coalesces only where the plan allows it (document repartitions use
@@ -134,7 +134,7 @@ def scale_conf(input_bytes: float, executors: int, cores_per_executor: int = 4,
       after their own row-count check.
     """
     slots = max(1, executors * cores_per_executor)
-    shuffle = int(min(200_000, max(2 * slots, input_bytes / (256 * 1024 ** 2))))
+    shuffle = int(max(2 * slots, -(-input_bytes // (256 * 1024 ** 2))))
     per_task_mb = executor_memory_gb * 1024 / cores_per_executor
     split_mb = 64 if per_task_mb >= 1024 else 32
     return {

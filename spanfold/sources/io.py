@@ -1,13 +1,14 @@
 """Sinks and stored representations (SNK-1..4, SRC-5, SRC-6).
 
 A representation is stored long and keyed, not as a dense matrix:
-``weights/`` (doc_id, term, weight), ``targets/`` (doc_id, TARGET) and
-``vocabulary/`` (term, feature_idx), all Parquet.  Counts are checked with
+``weights/`` (doc_id, term, weight) and ``targets/`` (doc_id, TARGET) of each
+split, and one ``vocabulary/`` (term, feature_idx where known), all Parquet.  Counts are checked with
 aggregates, never by collecting the data.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -32,28 +33,43 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, encoding: str
             .option("mode", "FAILFAST").csv(path))
 
 
+def _folder(path: str, split: str | None) -> str:
+    return path if split is None else f"{path}/{split}"
+
+
 def save_representation(path: str, weights: DataFrame, targets: DataFrame, vocabulary: DataFrame,
-                        mode: str = "errorifexists", shape_only: bool = False) -> None:
-    """SNK-2 (+ SNK-3 guard): write weights and targets, then save or check the vocabulary."""
-    weights.select("doc_id", "term", "weight").write.mode(mode).parquet(f"{path}/weights")
-    targets.select("doc_id", "TARGET").write.mode(mode).parquet(f"{path}/targets")
+                        mode: str = "errorifexists", shape_only: bool = False, split: str | None = None) -> None:
+    """SNK-2 (+ SNK-3 guard): save or check the vocabulary, then write weights and targets.
+
+    ``path`` names one dataset and state; its splits ("train", "test", ...) are
+    sub-folders that share one vocabulary.
+    """
     validate_or_save_vocabulary(vocabulary, f"{path}/vocabulary", shape_only=shape_only)
+    weights.select("doc_id", "term", "weight").write.mode(mode).parquet(f"{_folder(path, split)}/weights")
+    targets.select("doc_id", "TARGET").write.mode(mode).parquet(f"{_folder(path, split)}/targets")
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None where the path is missing; other errors are raised."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def validate_or_save_vocabulary(vocab: DataFrame, path: str, shape_only: bool = False) -> DataFrame:
     """SNK-3: first call writes the vocabulary; later calls must match it.
 
     Default: the term sets must be equal (``exceptAll`` both ways is empty).
-    ``shape_only=True`` compares only the number of terms.
+    ``shape_only=True`` compares only the number of terms.  The feature index is
+    stored along with the terms where the vocabulary has one.
     """
     spark = vocab.sparkSession
-    try:
-        stored = spark.read.parquet(path)
-        exists = True
-    except Exception:  # noqa: BLE001 - missing path
-        exists = False
-    if not exists:
-        vocab.select("term").write.mode("errorifexists").parquet(path)
+    stored = _stored(spark, path)
+    if stored is None:
+        vocab.select("term", *(c for c in ("feature_idx",) if c in vocab.columns)).write.parquet(path)
         return spark.read.parquet(path)
     if shape_only:
         a, b = stored.count(), vocab.count()
@@ -67,20 +83,21 @@ def validate_or_save_vocabulary(vocab: DataFrame, path: str, shape_only: bool =
     return stored
 
 
-def read_representation(spark: SparkSession, path: str) -> DataFrame:
+def read_representation(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
     """SRC-5: weights with feature names and the target attached.
 
+    A document without weights stays, with null ``term`` and ``weight``.
     Checks: every weight's term is in the vocabulary and every document of
     the weights has a target (anti joins must be empty).
     """
-    w = spark.read.parquet(f"{path}/weights")
-    t = spark.read.parquet(f"{path}/targets")
-    v = spark.read.parquet(f"{path}/vocabulary")
+    w = spark.read.parquet(f"{_folder(path, split)}/weights")
+    t = spark.read.parquet(f"{_folder(path, split)}/targets")
+    v = spark.read.parquet(f"{path}/vocabulary").select("term")
     if w.join(v, "term", "left_anti").limit(1).count():
         raise AssertionError("weights hold a term outside the vocabulary")
     if w.select("doc_id").join(t, "doc_id", "left_anti").limit(1).count():
         raise AssertionError("weights hold a document without target")
-    return w.join(t, "doc_id")
+    return t.join(w, "doc_id", "left").select("doc_id", "term", "weight", "TARGET")
 
 
 def save_metrics(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

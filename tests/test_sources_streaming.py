@@ -27,6 +27,31 @@ def test_vocabulary_guard(spark):
         IO.validate_or_save_vocabulary(v2, path)
 
 
+def test_splits_share_a_vocabulary(spark):
+    path = scratch_path(spark, "t-rep")
+    vocab = spark.createDataFrame([("a", 0), ("b", 1)], "term string, feature_idx int")
+    targets = spark.createDataFrame([(1, "x"), (2, "y")], "doc_id bigint, TARGET string")
+    weights = spark.createDataFrame([(1, "a", 0.5)], "doc_id bigint, term string, weight double")
+    for split in ("train", "test"):
+        IO.save_representation(path, weights, targets, vocab, split=split)
+    rows = {tuple(r) for r in IO.read_representation(spark, path, "test").collect()}
+    assert rows == {(1, "a", 0.5, "x"), (2, None, None, "y")}     # a document without terms stays
+    assert spark.read.parquet(f"{path}/vocabulary").columns == ["term", "feature_idx"]
+    other = spark.createDataFrame([("a", 0), ("c", 1)], "term string, feature_idx int")
+    with pytest.raises(AssertionError):
+        IO.save_representation(path, weights, targets, other, split="dev")
+    with pytest.raises(Exception):
+        spark.read.parquet(f"{path}/dev/weights")                 # refused before anything is written
+
+
+def test_scale_conf_keeps_partitions_small():
+    from spanfold.session import scale_conf
+    size = 100 * 10 ** 12
+    n = int(scale_conf(size, executors=1000)["spark.sql.shuffle.partitions"])
+    assert size / n <= 256 * 1024 ** 2
+    assert int(scale_conf(1, executors=10)["spark.sql.shuffle.partitions"]) == 80
+
+
 def test_stream_scores_equal_batch_transform(spark):
     from spanfold.functions.text import CLEANER
     from spanfold.operators.tagging import ShapeTagger

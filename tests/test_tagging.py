@@ -20,9 +20,9 @@ def test_shape_tagger_bio(spark):
 
 
 def test_gazetteer_leftmost_longest(spark):
-    phrases = spark.createDataFrame([("white house", "LOC"), ("house party", "EVT"), ("important person", "PER"),
-                                     ("person", "X")], "phrase string, label string")
-    docs = _docs(spark, ["Important Person went to the White House party", "aaaa", ""])
+    phrases = spark.createDataFrame([("river bank", "LOC"), ("bank holiday", "EVT"), ("chief engineer", "PER"),
+                                     ("engineer", "X")], "phrase string, label string")
+    docs = _docs(spark, ["Chief Engineer walked to the River Bank holiday", "solo", ""])
     tagged = GazetteerTagger(phrases).tag(docs)
     got = {r.doc_id: r.tags for r in tagged.select("doc_id", F.transform("pairs", lambda p: p["tag"]).alias("tags")).collect()}
     assert got[0] == ["B-PER", "I-PER", "O", "O", "O", "B-LOC", "I-LOC", "O"]
@@ -37,7 +37,16 @@ def test_spans_to_bio_range_join(spark):
     assert got == ["O", "B-ORG", "I-ORG", "O", "B-PER"]
 
 
-@pytest.mark.parametrize("tokens,tags", [([["a", ":"]], [["B-PER", "z"]]), ([["a"]], [["O", "O"]])])
+@pytest.mark.parametrize("spans", [[(0, 1, 3, "ORG"), (0, 2, 4, "PER")], [(0, 2, 2, "ORG")], [(0, -1, 1, "ORG")]])
+def test_bad_spans_are_refused(spark, spans):
+    toks = spark.createDataFrame([(0, i, t) for i, t in enumerate("a b c d e".split())],
+                                 "doc_id bigint, pos int, token string")
+    bad = spark.createDataFrame(spans, "doc_id bigint, start int, end int, label string")
+    with pytest.raises(Exception, match="span"):
+        spans_to_bio(toks, bad).collect()
+
+
+@pytest.mark.parametrize("tokens,tags", [([["Oslo", "is", "cold"]], [["B-GPE", "O", "PLACE"]]), ([["Oslo", "shines"]], [["B-GPE"]])])
 def test_check_tagged_rejects(spark, tokens, tags):
     df = spark.createDataFrame([(0, tokens[0], tags[0])], "doc_id bigint, tokens array<string>, tags array<string>")
     with pytest.raises(ValueError):
