@@ -122,6 +122,16 @@ def bio_from_spans(n_tokens: Column, spans: Column) -> Column:
                   ).otherwise(F.array_repeat(F.lit("O"), n_tokens))
 
 
+def spans_fit(n_tokens: Column, spans: Column) -> Column:
+    """True where spans sorted by start hold a token each, do not overlap and end within ``n_tokens``."""
+    def fits(s: Column, j: Column) -> Column:
+        prev = F.try_element_at(spans, F.greatest(j, F.lit(1)))
+        free = F.when(j == 0, F.lit(0)).otherwise(prev["start"] + prev["n"])
+        return (s["n"] >= 1) & (s["start"] >= free) & (s["start"] + s["n"] <= n_tokens)
+
+    return F.forall(F.transform(spans, fits), lambda ok: ok)
+
+
 def greedy_spans(candidates: Column) -> Column:
     """Leftmost-longest, non-overlapping choice among match candidates.
 
@@ -243,7 +253,9 @@ class ModelTagger:
         out = docs.select("doc_id", F.col(text_col).alias("text")).mapInPandas(
             run, "doc_id bigint, text string, spans array<struct<start:int,n:int,label:string>>")
         toks = whitespace_tokens(F.col("text"))
-        return out.select("doc_id", pairs_of(toks, bio_from_spans(F.size(toks), F.col("spans"))).alias("pairs"))
+        tags = F.when(spans_fit(F.size(toks), F.col("spans")), bio_from_spans(F.size(toks), F.col("spans"))).otherwise(
+            F.raise_error(F.lit("the model's spans overlap or leave the document's tokens")).cast("array<string>"))
+        return out.select("doc_id", pairs_of(toks, tags).alias("pairs"))
 
 
 # --- NER-1 / ARR-1 / ARR-2 / ARR-3 ------------------------------------------------

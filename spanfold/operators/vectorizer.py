@@ -318,7 +318,7 @@ builtin_token_filter = filter_pairs
 
 
 def analyzer_tokens(vec: NerVectorizer, docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """TOK-15 / UDF-5: the vectorizer's own cleaning and token steps, no tagger.
+    """TOK-15 / UDF-5: the vectorizer's own cleaning, lemma and token steps, no tagger.
 
     (doc_id, text) -> (doc_id, tokens array<string>), all tags taken as ``O``.
     """
@@ -327,7 +327,8 @@ def analyzer_tokens(vec: NerVectorizer, docs: DataFrame, text_col: str = "text")
     cleaned = pipe.apply(docs.select("doc_id", F.col(text_col).alias("text")), "text")
     toks = whitespace_tokens(F.col("text"))
     pairs = F.transform(toks, lambda t: F.struct(t.alias("token"), F.lit("O").alias("tag")))
-    return cleaned.select("doc_id", F.transform(pl.filter_pairs(pairs), lambda x: x["token"]).alias("tokens"))
+    rows = pl._lemmatize(cleaned.select("doc_id", F.size(toks).alias("n_tokens"), pairs.alias("pairs")))
+    return rows.select("doc_id", F.transform(pl.filter_pairs(F.col("pairs")), lambda x: x["token"]).alias("tokens"))
 
 
 __all__ = ["VectorizerParams", "NerVectorizer", "VectorizerModel", "TermPipeline", "double_vectorizer",

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from spanfold.operators.tagging import (GazetteerTagger, ShapeTagger, check_tagged, spans_to_bio,
+from spanfold.operators.tagging import (GazetteerTagger, ModelTagger, ShapeTagger, check_tagged, spans_to_bio,
                                         to_long)
 
 
@@ -75,3 +75,16 @@ def test_null_tags_are_refused(spark, tags):
     df = spark.createDataFrame([(1, ["a"], tags)], "doc_id int, tokens array<string>, tags array<string>")
     with pytest.raises(ValueError):
         check_tagged(df)
+
+
+@pytest.mark.parametrize("spans", [[(0, 2, "ORG"), (1, 3, "PER")], [(3, 5, "ORG")], [(2, 2, "ORG")]])
+def test_model_spans_are_checked(spark, spans):
+    docs = _docs(spark, ["red green blue grey"])
+    with pytest.raises(Exception, match="spans overlap or leave"):
+        ModelTagger(lambda: lambda texts: [spans for _ in texts]).tag(docs).collect()
+
+
+def test_model_spans_become_tags(spark):
+    docs = _docs(spark, ["red green blue grey"])
+    got = ModelTagger(lambda: lambda texts: [[(3, 4, "X"), (0, 2, "ORG")] for _ in texts]).tag(docs).first().pairs
+    assert [p.tag for p in got] == ["B-ORG", "I-ORG", "O", "B-X"]

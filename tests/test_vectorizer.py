@@ -153,3 +153,12 @@ def test_custom_encoding_hook(spark):
     v = NerVectorizer(VectorizerParams(encoding=types_only, filter_stopwords=False, max_df=20))
     got = _as_dict(v.fit_transform(tokenized=_tok(spark)))
     assert set(got) == {0, 1} and set(got[0]) == {"PER", "GPE"} and set(got[1]) == {"GPE"}
+
+
+def test_analyzer_uses_the_lexicon(spark):
+    lexicon = spark.createDataFrame([("rivers", "river"), ("stones", "stone")], "form string, lemma string")
+    vec = NerVectorizer(VectorizerParams(lemmatize=True), lexicon=lexicon)
+    docs = _docs(spark, ["rivers stones rivers", ""])
+    got = {r.doc_id: r.tokens for r in analyzer_tokens(vec, docs).collect()}
+    assert got == {0: ["river", "stone", "river"], 1: []}
+    assert {r.term for r in vec.pipeline.counts(vec.tagged(docs)).select("term").distinct().collect()} == {"river", "stone"}
