@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,6 +17,21 @@ SLICE_BYTES = 4 << 20
 ID, TEXT, LANG, HOST = "doc_id", "text", "lang", "source"
 
 
+_held: dict = {}
+
+
+def worker_cache(name, make: Callable):
+    """What ``make`` returned when this worker process first asked for ``name``.
+
+    Later tasks find it again.  A worker holds one such cache: asking for another
+    frees the one before, so operators run in turn do not add up their memory.
+    """
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
 def default_tokenizer(name: str) -> str:
     """Place of a public tokenizer file; a path can be given instead."""
     import public_tokenizers

@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import sized_join
 from ..session import checkpoint, scratch_path
-from .common import ID, TEXT, key_part, partitions_of, slices
+from .common import ID, TEXT, key_part, partitions_of, slices, worker_cache
 from .components import components
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -68,15 +68,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 700_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
 
-_WORDS = _WordHashes()       # a worker's own: later tasks find the words of earlier ones
-
-
 def shingle_set(text: str | None, cache: dict, width: int = 5) -> np.ndarray:
     """Sorted distinct hashes of the shingles of the whole text."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -208,7 +205,7 @@ def hot_shingles(docs: DataFrame, width: int = 5, one_of: int = 32, least: int =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _WORDS
+        cache = worker_cache("word hashes", _WordHashes)
         for _, texts in slices(batches):
             sets = {len(s) and set_id(s): s for s in (shingle_set(t, cache, width) for t in texts)}
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(list(sets.values())).view(np.int64))], ["h"])
@@ -227,7 +224,7 @@ def signature_rows(docs: DataFrame, width: int = 5, hot=None) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, seen = _WORDS, set()
+        cache, seen = worker_cache("word hashes", _WordHashes), set()
         frequent = None if hot is None else hot.value
         for part, texts in slices(batches):
             sigs, owner, sizes, classes = [], [], [], []
@@ -400,7 +397,7 @@ def sketches(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(cid, n, vec) of the wanted classes: set size and count vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _WORDS
+        cache = worker_cache("word hashes", _WordHashes)
         for _, texts in slices(batches):
             sets = [s for s in (shingle_set(t, cache, width) for t in texts) if len(s)]
             yield pa.RecordBatch.from_arrays(
@@ -417,7 +414,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -
     wanted = checkpoint(classes.select("cid", "rep").join(ids, "cid"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _WORDS
+        cache = worker_cache("word hashes", _WordHashes)
         for _, texts in slices(batches):
             sets = [s for s in (shingle_set(t, cache, width) for t in texts) if len(s)]
             ends = np.cumsum([0, *map(len, sets)])

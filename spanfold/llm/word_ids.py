@@ -15,12 +15,11 @@ from itertools import chain
 
 import numpy as np
 
-from .common import load_tokenizer
+from .common import load_tokenizer, worker_cache
 
 MAX_WORDS = 600_000
 MAX_IDS = 8_000_000
 MARKS = b".,!?;:"
-_shared: dict[str, WordIds] = {}
 
 
 class WordIds:
@@ -35,9 +34,7 @@ class WordIds:
     @classmethod
     def shared(cls, path: str) -> WordIds:
         """The worker process's own instance: later tasks find the words of earlier ones."""
-        if path not in _shared:
-            _shared[path] = cls(path)
-        return _shared[path]
+        return worker_cache(("word ids", path), lambda: cls(path))
 
     def _reset(self) -> None:
         self.at: dict[bytes, int] = {}
