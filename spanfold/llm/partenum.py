@@ -216,12 +216,14 @@ def hot_shingles(docs: DataFrame, width: int = 5, one_of: int = 32, least: int =
     return np.sort(found.column("h").to_numpy().view(np.uint64))
 
 
-def signature_rows(docs: DataFrame, width: int = 5, hot=None) -> DataFrame:
+def signature_rows(docs: DataFrame, width: int = 5, hot=None, hashed: bool = False) -> DataFrame:
     """Two kinds of rows (sig, cid, n) in one pass over the texts.
 
     n null: a signature of a class (copies within a task emit once).  Else a
     document: sig is its class, cid its id, n its set size (-1 - size without an id).
+    With ``hashed`` a document's row also has t, the hash of its text.
     """
+    names = ["sig", "cid", "n", "t"][:3 + hashed]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, seen = worker_cache("word hashes", _WordHashes), set()
@@ -242,30 +244,38 @@ def signature_rows(docs: DataFrame, width: int = 5, hot=None) -> DataFrame:
                 sigs.append(s)
                 owner.append(np.full(len(s), cid, np.int64))
             if sigs:
+                none = pa.nulls(sum(map(len, sigs)), pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(owner)),
-                     pa.nulls(sum(map(len, sigs)), pa.int64())], ["sig", "cid", "n"])
+                     none, *[none][:hashed]], names)
             ids = part.column("doc_id").to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(classes, pa.int64()), pa.array([i or 0 for i in ids], pa.int64()),
-                 pa.array([-1 - n if i is None else n for i, n in zip(ids, sizes)], pa.int64())], ["sig", "cid", "n"])
+                 pa.array([-1 - n if i is None else n for i, n in zip(ids, sizes)], pa.int64()),
+                 *[part.column(k) for k in range(2, 2 + hashed)]], names)
 
-    rows = docs.select(F.col(ID).cast("long").alias("doc_id"), F.col(TEXT).alias("text"))
-    return rows.mapInArrow(run, "sig long, cid long, n long")
+    rows = docs.select(F.col(ID).cast("long").alias("doc_id"), F.col(TEXT).alias("text"),
+                       *[F.xxhash64(TEXT).alias("t")][:hashed])
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def shared_signatures(rows: DataFrame) -> DataFrame:
-    """(sig, cid, hub, n): signatures that at least two classes share (hub: their smallest class), and all documents."""
+    """(sig, cid, hub, n): signatures that at least two classes share (hub: their smallest class), and all documents.
+
+    Text hashes (t), where the rows have them, stay with the documents.
+    """
+    hashed = "t" in rows.columns
+    names = ["sig", "cid", "hub", "n", "t"][:4 + hashed]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["sig", "cid", "hub", "n"]
         held = None                       # last row so far: sig, cid, hub, has a neighbour
         for batch in batches:
             document = batch.column(2).is_valid()
             some = batch.filter(document)
             if some.num_rows:
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), some.column(1), pa.nulls(some.num_rows, pa.int64()), some.column(2)], names)
+                    [some.column(0), some.column(1), pa.nulls(some.num_rows, pa.int64()),
+                     *(some.column(k) for k in range(2, 3 + hashed))], names)
             batch = batch.filter(pc.invert(document))
             sig, cid = (batch.column(k).to_numpy() for k in range(2))
             if held is not None:
@@ -289,14 +299,16 @@ def shared_signatures(rows: DataFrame) -> DataFrame:
             out = near.copy()
             out[-1] = False
             if out.any():
+                none = pa.nulls(int(out.sum()), pa.int64())
                 yield pa.RecordBatch.from_arrays([*(pa.array(x[out]) for x in (sig, cid, hub)),
-                                                  pa.nulls(int(out.sum()), pa.int64())], names)
+                                                  none, *[none][:hashed]], names)
         if held is not None and held[3]:
+            none = pa.nulls(1, pa.int64())
             yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in held[:3]),
-                                              pa.nulls(1, pa.int64())], names)
+                                              none, *[none][:hashed]], names)
 
     dealt = rows.repartition(partitions_of(rows), "sig").sortWithinPartitions("sig", "cid")
-    return dealt.mapInArrow(run, "sig long, cid long, hub long, n long")
+    return dealt.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -433,15 +445,16 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -
     return both.where(100 * common >= 80 * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+def _linked(docs: DataFrame, width: int, hashed: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, n, cid) of every document (cid null: no words; t with ``hashed``), (cid, rep) of every class,
+    (node, comp) of the linked classes."""
     hot = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs, width))
-    both = checkpoint(shared_signatures(signature_rows(docs, width, hot)))
+    both = checkpoint(shared_signatures(signature_rows(docs, width, hot, hashed)))
     shared = both.where("n is null").select("sig", "cid", "hub")
     size = F.when(F.col("n") < 0, -1 - F.col("n")).otherwise(F.col("n"))
     table = both.where("n is not null").select(
         F.when(F.col("n") >= 0, F.col("cid")).cast(docs.schema[ID].dataType).alias("doc_id"), size.alias("n"),
-        F.when(size > 0, F.col("sig")).alias("cid"))
+        F.when(size > 0, F.col("sig")).alias("cid"), *["t"][:hashed])
     full = table.where("n > 0")
     classes = checkpoint(full.groupBy("cid").agg(F.min("doc_id").alias("rep")))
     wanted = checkpoint(shared.select("cid").distinct().join(classes, "cid"))
@@ -471,7 +484,13 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
         if more.take(1):
             found = checkpoint(components(more.unionByName(
                 found.select(F.col("node").alias("a"), F.col("comp").alias("b")))))
+    return table, classes, found
 
+
+def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
+    table, classes, found = _linked(docs, width)
+    full = table.where("n > 0")
     least = found.join(classes.select(F.col("cid").alias("node"), "rep"), "node").groupBy("comp").agg(
         F.min("rep").alias("component_id"))
     of_class = classes.select("cid", "rep").join(
@@ -484,16 +503,23 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, width: int = 5) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest doc_id (same columns).
+    """``docs`` with one row of each component: the smallest doc_id (null last), then text hash (same columns).
 
-    The kept ids are a narrow table, broadcast behind its row count; only rows
-    whose id occurs more than once are shuffled with their texts.
+    Components are told apart by their classes and rows by (doc_id, text hash):
+    ids may be null or repeat.  Rows without words are linked with nothing and
+    stay.  The kept keys are a narrow table, broadcast behind its row count;
+    only rows whose id and text both repeat are shuffled with their texts.
     """
-    ids = near_duplicates(docs, width).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).groupBy("doc_id").agg(
-        (F.max("n_shingles") > 0).alias("full"), F.count(F.lit(1)).alias("n"))
-    kept = checkpoint(ids.select(key_part("doc_id").alias("__key"), (F.col("full") & (F.col("n") > 1)).alias("__many")))
-    joined = sized_join(docs.withColumn("__key", key_part(ID)), kept, "__key")
+    table, _, found = _linked(docs, width, hashed=True)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t", "rows")
+    copies = table.where("n > 0").groupBy("cid", "doc_id", "t").agg(F.count(F.lit(1)).alias("rows"))
+    first = copies.groupBy("cid").agg(F.min(order).alias("m")).join(
+        found.withColumnRenamed("node", "cid"), "cid", "left").groupBy(F.coalesce("comp", "cid").alias("comp")).agg(
+        F.min("m").alias("m")).select("m.doc_id", "m.t", (F.col("m.rows") > 1).alias("__many"))
+    bare = table.where("n = 0").select("doc_id", "t", F.lit(False).alias("__many")).distinct()
+    kept = checkpoint(first.unionByName(bare).select(key_part("doc_id").alias("__key"), F.col("t").alias("__t"), "__many"))
+    joined = sized_join(docs.withColumns({"__key": key_part(ID), "__t": F.xxhash64(TEXT)}), kept, ["__key", "__t"])
     out = joined.where("not __many").select(*docs.columns)
     if kept.where("__many").take(1):
-        out = out.unionByName(joined.where("__many").dropDuplicates(["__key"]).select(*docs.columns))
+        out = out.unionByName(joined.where("__many").dropDuplicates(["__key", "__t"]).select(*docs.columns))
     return out

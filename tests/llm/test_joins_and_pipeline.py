@@ -98,6 +98,23 @@ def test_components_of_odd_rows(spark):
             (None, len(shingles(rows[5][1])), None) in slow_components(rows)))
 
 
+def test_keep_first_with_null_and_repeated_ids(spark):
+    rng = random.Random(19)
+    a, b, c, d, e, f = (words(rng, 90, 5000) for _ in range(6))
+    rows = [(None, a), (None, b), (None, b + " end"), (None, c), (3, c), (3, c), (7, d), (7, e), (8, e), (5, e),
+            (9, f), (9, f), (None, None), (None, ""), (11, None), (11, None)]
+    docs = frame(spark, [(*r, "en", "a", 1) for r in rows])
+    out = partenum.keep_first(docs)
+    assert out.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    of_b = [x for x in got if x in rows[1:3]]
+    assert len(of_b) == 1                                    # one row of a component without ids
+    assert sorted(got, key=repr) == sorted(
+        [(None, a), *of_b, (3, c), (7, d), (5, e), (9, f), (None, None), (None, ""), (11, None), (11, None)], key=repr)
+    one = partenum.keep_first(docs.where("doc_id = 3 or text is null or (doc_id is null and text like '%" + c + "%')"))
+    assert sorted((r.doc_id or 0, r.text) for r in one.where("text is not null").collect()) == [(3, c)]
+
+
 def test_star_contraction(spark):
     rng = random.Random(11)
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 60)] + [
