@@ -6,11 +6,14 @@ worker keeps the ids of the words it has met (bounded; it starts anew beyond
 the bound) and asks the library only for new ones.  New words of letters are
 sent many at a time, in a line: each ends with exactly one word-end token.  A
 word of letters before closing marks has the ids of both (a change from
-letters to marks always starts a new pre-token).
+letters to marks starts a new pre-token) where its letters are still letters
+after the normalizer: it turns some into a letter and a combining mark, which
+joins the marks behind it.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from itertools import chain
 
 import numpy as np
@@ -20,6 +23,16 @@ from .common import load_tokenizer, worker_cache
 MAX_WORDS = 600_000
 MAX_IDS = 8_000_000
 MARKS = b".,!?;:"
+_OLD = unicodedata.ucd_3_2_0
+
+
+def letters_only(stem: bytes) -> bool:
+    """Whether the normalizer's form of the stem is all letters, whatever Unicode version the library knows."""
+    if stem.isascii():
+        return stem.isalpha()
+    norm = unicodedata.normalize("NFC", stem.decode("utf-8", "surrogatepass"))
+    norm = "".join(c.lower() for c in norm)
+    return norm.isalpha() and all(_OLD.category(c)[0] == "L" for c in norm)
 
 
 class WordIds:
@@ -81,7 +94,7 @@ class WordIds:
                 plain.add(w)
                 continue
             stem = w.rstrip(MARKS)
-            if not stem or not (stem.isalpha() or stem.decode("utf-8", "surrogatepass").isalpha()):
+            if not stem or not letters_only(stem):
                 whole.append(w)
             elif len(stem) == len(w):
                 plain.add(w)
@@ -111,8 +124,10 @@ class WordIds:
         split = []
         for t in texts:
             raw = t.encode("utf-8", "surrogatepass") if t else b""
-            # the normalizer lower-cases all but special tokens
-            split.append((raw if b"<|" in raw else raw.lower()).split())
+            # the normalizer lower-cases all but special tokens, and composes first: A-Z stay as they are
+            # where a mark of U+0300 to U+037F (lead bytes CC, CD) may compose with them
+            whole = b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw
+            split.append((raw if whole else raw.lower()).split())
         new = set().union(*split).difference(self.at) if split else set()
         if new:
             self._learn(new)

@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 from spanfold.llm import (chunk_bpe, license_automaton, quartile_digest, semi_crf_pii, sum_of_squares,
                           token_files)
+from spanfold.llm.word_ids import WordIds
 from tokenizers import Tokenizer
 
 from tests.llm.tables import SCHEMA, frame, odd_rows, words
@@ -207,6 +208,21 @@ def test_likeness_tells_edits_from_neighbours(spark):
 
 # --- packing and token files ------------------------------------------------------------------
 
+def test_word_ids_where_the_normalizer_changes_letters():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    some = [f"{stem}{mark}" for stem in (
+        "BİLGİ", "TARİHİ", "İ", "bİlgi", "क\u0958", "\u095f", "H\u0331", "aT\u0308", "W\u030Ax", "I\u0307", "Straße", "ÉTÉ",
+        "Åre", "東京", "\U00031350", "\U00010D4A", "K\u212a", "ΣΑΣ", "ﬁn") for mark in ("", ".", ":", "?!", ";,")]
+    texts = [*some, " ".join(some), "Ärger. " + "plain words, " * 3 + " ".join(some[::-1])]
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    for _ in range(2):
+        words_of = WordIds(path)
+        got = words_of.encode(texts)
+        assert [x.tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        texts = texts[::-1]
+
+
 def test_packing_by_definition(spark):
     ids_of, _ = library("word_bpe_49k.json")
     rows = [*odd_rows(), *((1000 + d, t, "en", "a", 1) for d, t in texts_of(spark).items())]
