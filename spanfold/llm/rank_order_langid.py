@@ -103,15 +103,20 @@ class Profiles:
         return self.langs[best], float(1.0 - dist[best] / (self.top * len(doc)))
 
 
-def learn(labelled: DataFrame, top: int = 300, sample_rows: int = 500) -> Profiles:
-    """Profiles from the labelled rows (columns ``doc_id``, ``text``, ``lang``)."""
+def _sample(labelled: DataFrame, sample_rows: int) -> DataFrame:
+    """(lang, text) of at most about ``sample_rows`` labelled rows a language."""
     rows = labelled.select(F.col(ID).alias("i"), F.col(TEXT).alias("text"), F.col(LANG).alias("lang")
                            ).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     share = rows.groupBy("lang").agg((F.lit(float(sample_rows)) / F.count(F.lit(1))).alias("share"))
     place = F.pmod(F.xxhash64(F.coalesce(F.col("i").cast("string"), F.lit(""))), F.lit(1 << 30))
-    sample = sized_join(rows.withColumn("place", place / F.lit(float(1 << 30))), share, "lang").where(
+    return sized_join(rows.withColumn("place", place / F.lit(float(1 << 30))), share, "lang").where(
         "place < share").select("lang", "text")
 
+
+def learn(labelled: DataFrame, top: int = 300, sample_rows: int = 500) -> Profiles:
+    """Profiles from the labelled rows (columns ``doc_id``, ``text``, ``lang``)."""
+    sample = _sample(labelled, sample_rows)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
             sums: dict[str, list] = {}
@@ -154,6 +159,21 @@ def predict(docs: DataFrame, profiles: Profiles, names: tuple[str, str] = ("lang
     return docs.mapInArrow(run, StructType([*docs.schema.fields, *more]))
 
 
+def least_scores(labelled: DataFrame, profiles: Profiles, sample_rows: int = 500, low: float = 0.01,
+                 margin: float = 0.05, least_rows: int = 20) -> dict[str, float]:
+    """For each language a score that its own documents hardly ever fall below.
+
+    From labelled rows that the profiles were not learnt on (at most about
+    ``sample_rows`` a language): the ``low`` quantile of the scores of rows
+    predicted as labelled, less its distance to the median (``margin`` at
+    least).  A language with fewer than ``least_rows`` such rows has no entry.
+    """
+    own = predict(_sample(labelled, sample_rows), profiles).where("lang = lang_pred")
+    rows = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.percentile("score", F.lit(low)).alias("low"),
+                                   F.percentile("score", F.lit(0.5)).alias("mid")).where(F.col("n") >= least_rows)
+    return {r["lang"]: r["low"] - max(margin, r["mid"] - r["low"]) for r in rows.collect()}    # one row a language
+
+
 def held_out() -> F.Column:
     """True where crc32(doc_id as text) mod 4 is 2 (false for a null id)."""
     return F.coalesce(F.crc32(F.col(ID).cast("string").cast("binary")) % 4 == 2, F.lit(False))

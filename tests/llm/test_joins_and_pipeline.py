@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 from spanfold.llm import components, partenum, rank_order_langid, semi_crf_pii
 
 from tests.llm.tables import SCHEMA, frame, odd_rows, words
@@ -162,6 +163,25 @@ def test_pipeline_stages(spark, tmp_path):
         assert stage(spark, empty, SF).count() == 0
 
 
+def test_language_stage_rejects_unlearnt_languages_and_letter_junk(spark):
+    import corpus_pipeline
+    rng = random.Random(23)
+    junk = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja "
+        "omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i "
+        "sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+        "zxq " * 300,
+        " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10))) for _ in range(300))]
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(
+        "doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
+    docs = real.unionByName(spark.createDataFrame(
+        [(10_000_000 + i, t, None, "a", len(t)) for i, t in enumerate(junk)], SCHEMA))
+    ids = {r.doc_id for r in corpus_pipeline.language(spark, docs, SF).select("doc_id").collect()}
+    assert not {i for i in ids if i >= 10_000_000}
+    assert len(ids) >= 0.99 * real.count()
+
+
 def test_pipeline_runs_over_the_table(spark):
     import corpus_pipeline
     docs = spark.read.parquet(f"{SF}/documents.parquet")
