@@ -4,7 +4,9 @@ Every line is normalised (A-Z lower-cased, digits to 0, white space runs to
 one space) and hashed.  For each host the distinct documents that hold a line
 are counted (equal texts count as one document).  A line above both limits
 (``min_docs`` documents and ``max_share`` of the host's documents) is
-boilerplate and is removed, except in the text that holds it first (smallest
+boilerplate, and so is, where ``long_words`` is given, a line of at least so
+many words in ``min_docs`` documents, whatever its share of the host (a share
+alone would keep it on a large host).  Boilerplate is removed, except in the text that holds it first (smallest
 doc_id), so a group of copies never loses its content altogether.  A document
 left with too little is rejected as depleted: fewer than ``min_words`` words,
 or less than ``min_left`` of its words.
@@ -38,7 +40,7 @@ _LINE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", b"abcdefghijklmn
 _BLANKS = b" \t\n\x0b\x0c\r"
 
 SCHEMA = ("doc_id {id}, host string, tkey long, n_words long, word_chars long, n_symbols long, "
-          "n_dup_lines long, n_repeat_words long, lines array<struct<h:long,w:long>>")
+          "n_dup_lines long, n_repeat_words long, lines array<struct<h:long,w:long,len:long>>")
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -63,23 +65,23 @@ def repeat_words(words: list[bytes]) -> int:
     return int(inside.sum())
 
 
-def measure(text: str | None) -> tuple[int, int, int, int, int, list[tuple[int, int]]]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, [(line hash, its words)]."""
+def measure(text: str | None) -> tuple[int, int, int, int, int, list[tuple[int, int, int]]]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, [(line hash, its words in the text, in one line)]."""
     if not text:
         return 0, 0, 0, 0, 0, []
     raw = text.encode("utf-8", "surrogatepass")
     seen = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
     words = raw.split()
     lines = [x for x in raw.split(b"\n") if x.strip()]
-    of_line: dict[int, int] = {}
+    of_line: dict[int, tuple[int, int]] = {}
     for line in raw.translate(_LINE).split(b"\n"):
         parts = line.split()
         if parts:
             h = xxhash.xxh3_64_intdigest(b" ".join(parts))
             h -= (h >> 63) << 64
-            of_line[h] = of_line.get(h, 0) + len(parts)
+            of_line[h] = of_line.get(h, (0, 0))[0] + len(parts), len(parts)
     return (len(words), len(text) - int(sum(seen[c] for c in _BLANKS)), int(sum(seen[c] for c in SYMBOLS)),
-            len(lines) - len(set(lines)), repeat_words(words), list(of_line.items()))
+            len(lines) - len(set(lines)), repeat_words(words), [(h, *n) for h, n in of_line.items()])
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -88,39 +90,42 @@ def line_table(docs: DataFrame) -> DataFrame:
                        F.xxhash64(TEXT).alias("tkey"), F.col(TEXT).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        line = pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int64())]))
+        line = pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int64()), ("len", pa.int64())]))
         for part, texts in slices(batches):
             found = [measure(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [*(part.column(c) for c in ("doc_id", "host", "tkey")),
                  *(pa.array([x[k] for x in found], pa.int64()) for k in range(5)),
-                 pa.array([[{"h": h, "w": w} for h, w in x[5]] for x in found], line)],
+                 pa.array([[{"h": h, "w": w, "len": n} for h, w, n in x[5]] for x in found], line)],
                 ["doc_id", "host", "tkey", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                  "n_repeat_words", "lines"])
 
     return rows.mapInArrow(run, SCHEMA.format(id=docs.schema[ID].dataType.simpleString()))
 
 
-def boilerplate(table: DataFrame, min_docs: int, max_share: float) -> DataFrame:
+def boilerplate(table: DataFrame, min_docs: int, max_share: float, long_words: int | None = None) -> DataFrame:
     """(host, h, n_docs, first): lines above the limits, and the text that holds each first."""
     lines = table.select("doc_id", "host", "tkey", F.explode("lines").alias("l")).select(
-        "doc_id", "host", "tkey", F.col("l.h").alias("h"))
-    per_text = lines.groupBy("host", "h", "tkey").agg(F.min("doc_id").alias("d"))
+        "doc_id", "host", "tkey", F.col("l.h").alias("h"), F.col("l.len").alias("len"))
+    per_text = lines.groupBy("host", "h", "tkey").agg(F.min("doc_id").alias("d"), F.first("len").alias("len"))
     per_line = per_text.groupBy("host", "h").agg(
-        F.count(F.lit(1)).alias("n_docs"),
+        F.count(F.lit(1)).alias("n_docs"), F.first("len").alias("len"),
         F.min(F.struct(F.col("d").isNull().alias("last"), "d", "tkey")).alias("first"))
     hosts = table.groupBy("host", "tkey").agg(F.lit(1).alias("one")).groupBy("host").agg(
         F.count(F.lit(1)).alias("of_host"))
     common = per_line.where(F.col("n_docs") >= min_docs)
-    return sized_join(common, hosts, "host").where(F.col("n_docs") > max_share * F.col("of_host")).select(
+    over = F.col("n_docs") > max_share * F.col("of_host")
+    if long_words is not None:
+        over = over | (F.col("len") >= long_words)
+    return sized_join(common, hosts, "host").where(over).select(
         "host", "h", "n_docs", F.col("first.tkey").alias("first"))
 
 
 def judge(docs: DataFrame, min_docs: int = 20, max_share: float = 0.05, min_words: int = 50,
-          min_left: float = 0.5) -> DataFrame:
+          min_left: float = 0.5, long_words: int | None = None) -> DataFrame:
     """One row per document: base counts, removed line hashes, words left, ``base_failed``, ``kept``."""
     table = checkpoint(line_table(docs))
-    common = checkpoint(boilerplate(table, min_docs, max_share))
+    common = checkpoint(boilerplate(table, min_docs, max_share, long_words))
     lines = table.select("doc_id", "host", "tkey", F.explode("lines").alias("l")).select(
         "doc_id", "host", "tkey", F.col("l.h").alias("h"), F.col("l.w").alias("w"))
     hit = sized_join(lines, common.drop("n_docs"), ["host", "h"]).where(F.col("tkey") != F.col("first"))

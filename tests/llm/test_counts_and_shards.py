@@ -53,6 +53,20 @@ def test_common_lines_go_but_their_first_text_stays(spark):
     assert 3 not in cleaned and cleaned[41].text == rows[41][1]
 
 
+def test_a_long_line_goes_from_a_large_host_by_its_count(spark):
+    import corpus_pipeline
+    rng = random.Random(29)
+    notice = words(rng, 12, 5000)
+    pair = "read more\nread more\nread more\nread more\nread more"           # ten words, but two in a line
+    rows = [(i, words(rng, 60, 5000) + (f"\n{notice}" if i < 300 else "") + (f"\n{pair}" if 300 <= i < 340 else ""),
+             "en", "hot" if i < 7000 else f"s{i % 5}", 1) for i in range(21_000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    out = {r.doc_id: r.text for r in corpus_pipeline.quality(spark, docs, SF).collect()}
+    assert sum(notice in t for t in out.values()) == 1 and notice in out[0]       # 4.3 % of the host
+    assert all(out[i] == rows[i][1] for i in range(300, 21_000))
+    assert len(out) == len(rows)
+
+
 def test_clean_keeps_rows_and_columns(spark):
     docs = frame(spark, odd_rows())
     out = quality_lines.clean(docs)
