@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (chunk_bpe, license_automaton, minimax_shards, partenum, quality_lines, quartile_digest,
-               rank_order_langid, semi_crf_pii, sum_of_squares, token_files)
+               rank_order_langid, semi_crf_pii, sum_of_squares, token_alignment, token_files)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,9 +58,14 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(documents(spark, sf_dir))
 
 
+def op11_exact_text_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignments(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_frequency, op2_minimax_shards, op3_chunk_bpe, op4_semi_crf_pii, op5_rank_order_langid,
-    op6_license_automaton, op7_quartile_digest, op8_partenum_join, op9_sum_of_squares, op10_token_files)}
+    op6_license_automaton, op7_quartile_digest, op8_partenum_join, op9_sum_of_squares, op10_token_files,
+    op11_exact_text_alignment)}
 
 _LETTERS = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
