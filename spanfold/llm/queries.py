@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chunk_bpe, license_automaton, minimax_shards, partenum, quality_lines, quartile_digest,
-               rank_order_langid, semi_crf_pii, sum_of_squares, token_alignment, token_files)
+from . import (bit_sliced_search, chunk_bpe, license_automaton, minimax_shards, partenum, quality_lines, quartile_digest,
+               rank_order_langid, semi_crf_pii, sum_of_squares, token_alignment, token_files, toxic_passages)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,10 +62,19 @@ def op11_exact_text_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.alignments(documents(spark, sf_dir))
 
 
+def op12_bit_sliced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_sliced_search.rank_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxic_passages.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return out.select("doc_id", "held_out", "score", "predicted", "n_words", "n_passages", "evidence")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_frequency, op2_minimax_shards, op3_chunk_bpe, op4_semi_crf_pii, op5_rank_order_langid,
     op6_license_automaton, op7_quartile_digest, op8_partenum_join, op9_sum_of_squares, op10_token_files,
-    op11_exact_text_alignment)}
+    op11_exact_text_alignment, op12_bit_sliced_search, op13_toxic_passages)}
 
 _LETTERS = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
@@ -111,4 +120,20 @@ r AS (SELECT doc_id, doc_id AS node FROM n UNION SELECT r.doc_id, e.b FROM r JOI
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.c, d.doc_id) AS component_id
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(node) AS c FROM r GROUP BY doc_id) m USING (doc_id)"""
 
-ORACLES = {"op1_line_frequency": OP1_SQL, "op8_partenum_join": OP8_SQL}
+_TERMS = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP12_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS.format(_LETTERS.format("coalesce(text, '')"))} AS w FROM documents),
+t AS (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d WHERE len(w) > 0),
+total AS (SELECT count(DISTINCT r) AS docs, count(*) AS terms FROM t),
+tf AS (SELECT r, doc_id, n, term, count(*) AS tf FROM t GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+q AS (SELECT item_id, unnest({_TERMS.format(_LETTERS.format("text"))}) AS term FROM benchmark),
+w AS (SELECT item_id, term, count(*) AS times FROM q GROUP BY ALL),
+k AS (SELECT item_id, term, times, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT AS w FROM w JOIN df USING (term), total),
+s AS (SELECT item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms)))) AS score
+      FROM tf JOIN k USING (term), total GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score::BIGINT AS score FROM o WHERE rank <= 20"""
+
+ORACLES = {"op1_line_frequency": OP1_SQL, "op8_partenum_join": OP8_SQL, "op12_bit_sliced_search": OP12_SQL}
