@@ -106,8 +106,8 @@ class Model:
             return 0.0, 0
         base = math.log(self.factor * n)
         over = [x for s in found if (x := self.rate * s - base) >= -math.log(self.expected)]
-        top = math.exp(min(700.0, base - self.rate * max(found)))        # expected number of segments so high
-        best = -math.log(-math.expm1(-top)) if top > 1e-12 else -math.log(top)
+        high = self.rate * max(found) - base         # -ln of the expected number of segments so high
+        best = high if high > 25 else -math.log(-math.expm1(-math.exp(min(700.0, -high))))
         if over:
             t, r = sum(over), len(over)
             best = max(best, t - (r - 1) * math.log(t) + math.lgamma(r + 1) + math.lgamma(r))

@@ -50,6 +50,14 @@ def test_extreme_law_is_found_again():
     assert abs(rate - 1.7) < 0.1 and abs(math.log(factor / 0.3)) < 0.5
 
 
+def test_evidence_grows_with_the_scores_however_high():
+    model = tp.Model(rate=3.0, factor=0.01)
+    found = [model.evidence(100, [s])[0] for s in (0.001, 0.5, 1, 2, 5, 8, 9, 50, 400, 2000)]
+    assert found == sorted(found) and found[0] >= 0 and math.isfinite(found[-1])
+    assert model.evidence(100, [6.0, 6.0])[0] > model.evidence(100, [6.0])[0]
+    assert model.evidence(0, []) == (0.0, 0)
+
+
 def test_word_scores_follow_the_counts(spark):
     rows = [("idiot and the", 1)] * 6 + [("the and of", 0)] * 14 + [("idiot of", 0)] + [("rare", 1)]
     got = tp.word_scores(spark.createDataFrame(rows, "text string, toxic int"), prior=0.1, pseudo=1.0)
