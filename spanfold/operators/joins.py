@@ -30,8 +30,8 @@ def sized_join(left: DataFrame, right: DataFrame, on, how: str = "inner",
 
 def skew_safe_lookup(rows: DataFrame, table: DataFrame, key: str, weight_col: str,
                      table_rows: int, total_weight: float,
-                     max_rows: int = BROADCAST_MAX_ROWS, salt_buckets: int = 4096) -> DataFrame:
-    """Inner lookup of ``rows`` in ``table`` (unique ``key``), safe for hot keys.
+                     max_rows: int = BROADCAST_MAX_ROWS, salt_buckets: int = 4096, how: str = "inner") -> DataFrame:
+    """Inner (or left) lookup of ``rows`` in ``table`` (unique ``key``), safe for hot keys.
 
     * small table (checked row count): one broadcast hash join, no shuffle.
     * large table: keys whose ``weight_col`` (their row share in ``rows``) is
@@ -41,7 +41,7 @@ def skew_safe_lookup(rows: DataFrame, table: DataFrame, key: str, weight_col: st
       single key can pile up in one task.
     """
     if table_rows <= max_rows:
-        return rows.join(F.broadcast(table), key, "inner")
+        return rows.join(F.broadcast(table), key, how)
     threshold = max(1.0, float(total_weight) / max_rows)
     value_cols = [c for c in table.columns if c != key]
     hot = table.where(F.col(weight_col) >= threshold)
@@ -61,4 +61,4 @@ def skew_safe_lookup(rows: DataFrame, table: DataFrame, key: str, weight_col: st
                          for c in value_cols],
                        (F.col("_is_hot").isNotNull() | F.col(f"_cold_{value_cols[0]}").isNotNull()
                         ).alias("_found"))
-    return out.where("_found").drop("_found")
+    return (out if how == "left" else out.where("_found")).drop("_found")

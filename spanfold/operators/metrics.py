@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import exact_rank, prefix_sum
+from ..session import checkpoint
+from .ranking import neighbours, prefix_sum, prefix_sums
 
 
 def binary_precision(df: DataFrame, truth: str, pred: str, positive) -> DataFrame:
@@ -66,18 +67,16 @@ def roc_curve(df: DataFrame, truth: str, score: str, positive=1) -> DataFrame:
     """MET-5: (threshold, fpr, tpr) at every distinct score, highest first."""
     g = _score_groups(df, truth, score, positive, [])
     g = g.withColumn("_desc", -F.col(score))
-    g = prefix_sum(g, "pos", ["_desc"], name="tp")
-    g = prefix_sum(g, "neg", ["_desc"], name="fp")
-    P, N = _totals(df, truth, positive)
+    g = prefix_sums(g, {"tp": "pos", "fp": "neg"}, ["_desc"])
+    P, N = _totals(g)
     return g.select(F.col(score).alias("threshold"),
                     F.try_divide(F.col("fp").cast("double"), F.lit(N)).alias("fpr"),
                     F.try_divide(F.col("tp").cast("double"), F.lit(P)).alias("tpr"))
 
 
-def _totals(df: DataFrame, truth: str, positive) -> tuple[int, int]:
-    """(positives, negatives): two scalars from one aggregate."""
-    r = df.agg(F.sum(F.when(F.col(truth) == F.lit(positive), 1).otherwise(0)).alias("P"),
-               F.sum(F.when(F.col(truth) == F.lit(positive), 0).otherwise(1)).alias("N")).first()
+def _totals(groups: DataFrame) -> tuple[int, int]:
+    """(positives, negatives) of the score groups: two scalars from one aggregate."""
+    r = groups.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
     return int(r["P"] or 0), int(r["N"] or 0)
 
 
@@ -85,9 +84,8 @@ def average_precision(df: DataFrame, truth: str, score: str, positive=1) -> Data
     """MET-6: sum over thresholds of (recall step) * precision at that threshold."""
     g = _score_groups(df, truth, score, positive, [])
     g = g.withColumn("_desc", -F.col(score))
-    g = prefix_sum(g, "pos", ["_desc"], name="tp")
-    g = prefix_sum(g, "neg", ["_desc"], name="fp")
-    P, _ = _totals(df, truth, positive)
+    g = prefix_sums(g, {"tp": "pos", "fp": "neg"}, ["_desc"])
+    P, _ = _totals(g)
     prec = F.col("tp") / (F.col("tp") + F.col("fp"))
     step = F.try_divide(F.col("pos").cast("double"), F.lit(P))
     return g.agg(F.sum(step * prec).alias("average_precision"))
@@ -113,8 +111,7 @@ def class_roc_points(scores: DataFrame, truth: str, cls: str, score: str) -> Dat
     """
     pos = scores.withColumn("_is", (F.col(truth) == F.col(cls)).cast("int"))
     g = _score_groups(pos, "_is", score, 1, [cls]).withColumn("_desc", -F.col(score))
-    g = prefix_sum(g, "pos", ["_desc"], group_by=[cls], name="tp")
-    g = prefix_sum(g, "neg", ["_desc"], group_by=[cls], name="fp")
+    g = prefix_sums(g, {"tp": "pos", "fp": "neg"}, ["_desc"], group_by=[cls])
     tot = g.groupBy(cls).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
     pts = g.join(F.broadcast(tot), cls)   # one row per class
     pts = pts.select(cls, F.try_divide(F.col("fp").cast("double"), F.col("_N")).alias("fpr"),
@@ -124,33 +121,23 @@ def class_roc_points(scores: DataFrame, truth: str, cls: str, score: str) -> Dat
                                                            F.max("tpr").alias("tpr_max"))
 
 
-def macro_roc_curve(scores: DataFrame, truth: str, cls: str, score: str, buckets: int = 1024) -> DataFrame:
+def macro_roc_curve(scores: DataFrame, truth: str, cls: str, score: str, max_classes: int = 10_000) -> DataFrame:
     """MET-5 (multi-class): mean one-vs-rest TPR on the union of all classes' FPR values.
 
     Each class's curve is read at every union point: the highest TPR where the
     class has that FPR, else linear interpolation between its neighbouring
-    points (highest TPR on the left, lowest on the right).  The interval
-    lookup is a range join done as an equi-join on (class, FPR bucket) plus a
-    filter, so no class's points meet in one task.
+    points (highest TPR on the left, lowest on the right).  The neighbours are
+    carried along the points in order, across partition borders too, so the
+    work is the number of (class, FPR) pairs and no class is one task.
     """
-    pts = class_roc_points(scores, truth, cls, score)
-    ranked = exact_rank(pts, ["fpr"], group_by=[cls], name="_r")
-    left = ranked.select(cls, "_r", F.col("fpr").alias("x0"), F.col("tpr_max").alias("y0"))
-    right = ranked.select(cls, (F.col("_r") - 1).alias("_r"), F.col("fpr").alias("x1"),
-                          F.col("tpr_min").alias("y1"))
-    seg = left.join(right, [cls, "_r"])
-    b = F.lit(buckets)
-    seg = seg.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("x0") * b).cast("int"),
-                                                        F.floor(F.col("x1") * b).cast("int"))))
-    xs = pts.select(F.col("fpr").alias("x")).distinct()
-    classes = pts.select(cls).distinct()
-    cls_list = [r[0] for r in classes.collect()]   # the class labels (bounded)
-    q = xs.select("x", F.explode(F.array(*[F.lit(c) for c in cls_list])).alias(cls))
-    exact = q.join(pts.select(cls, F.col("fpr").alias("x"), "tpr_max"), [cls, "x"], "left")
-    q2 = exact.withColumn("bucket", F.floor(F.col("x") * b).cast("int"))
-    j = q2.join(seg.select(cls, "bucket", "x0", "y0", "x1", "y1"), [cls, "bucket"], "left").where(
-        F.col("tpr_max").isNotNull() | ((F.col("x0") < F.col("x")) & (F.col("x") < F.col("x1"))))
-    y = F.coalesce(F.col("tpr_max"),
-                   F.col("y0") + (F.col("x") - F.col("x0")) * (F.col("y1") - F.col("y0")) / (F.col("x1") - F.col("x0")))
-    per = j.select(cls, "x", y.alias("y")).dropDuplicates([cls, "x"])
-    return per.groupBy("x").agg(F.avg("y").alias("tpr")).select(F.col("x").alias("fpr"), "tpr")
+    pts = checkpoint(class_roc_points(scores, truth, cls, score))
+    names = [r[0] for r in pts.select(cls).distinct().limit(max_classes + 1).collect()]
+    if len(names) > max_classes:
+        raise ValueError(f"more than {max_classes} classes")
+    grid = pts.select("fpr").distinct().select("fpr", F.explode(F.array(*[F.lit(c) for c in names])).alias(cls))
+    at = F.when(F.col("tpr_max").isNotNull(), F.struct("fpr", "tpr_min", "tpr_max"))
+    rows = grid.join(pts, [cls, "fpr"], "left").select(cls, "fpr", "tpr_max", at.alias("_at"))
+    near = neighbours(rows, "_at", ["fpr"], group_by=[cls], before="_lo", after="_hi")
+    x0, y0, x1, y1 = F.col("_lo.fpr"), F.col("_lo.tpr_max"), F.col("_hi.fpr"), F.col("_hi.tpr_min")
+    y = F.coalesce("tpr_max", y0 + (F.col("fpr") - x0) * (y1 - y0) / (x1 - x0))
+    return near.select("fpr", y.alias("tpr")).groupBy("fpr").agg(F.avg("tpr").alias("tpr"))

@@ -2,9 +2,9 @@
 
 * :func:`standardize` - mean 0, population std, zero variance kept at scale 1.
 * :func:`balanced_weights` - N / (K * n_class).
-* :func:`knn` - exact k nearest neighbours without comparing all pairs:
-  pivot cells with triangle-inequality pruning, large cells split into
-  buckets, two-level top-k.
+* :func:`knn` - exact k nearest neighbours of dense vectors: pivot cells
+  (their triangle-inequality bound prunes little beyond a few dimensions), large
+  cells split into buckets, two-level top-k.  Sparse rows: ``sparse_knn``.
 * :func:`fit_classifier` - ``pyspark.ml`` logistic regression, random forest
   and one-vs-rest linear SVM with the reference's parameter mapping.
 """
@@ -145,12 +145,17 @@ def knn(train: DataFrame, test: DataFrame, params: KnnParams, key: str = "id",
     r2 = probe(rest, q2)
     neigh = top_k(r1.unionByName(r2))
 
-    if params.weights == "distance":
+    return vote(neigh, params.weights, key, label)
+
+
+def vote(neighbours: DataFrame, weights: str, key: str, label: str) -> tuple[DataFrame, DataFrame]:
+    """(predictions, scores) from ``neighbours(q_id, t_label, dist)``: shares of the votes, best by (score, label)."""
+    if weights == "distance":
         has_zero = F.max(F.when(F.col("dist") == 0, 1).otherwise(0)).over(Window.partitionBy("q_id"))
         wt = F.when(has_zero == 1, F.when(F.col("dist") == 0, 1.0).otherwise(0.0)).otherwise(1.0 / F.col("dist"))
     else:
         wt = F.lit(1.0)
-    votes = neigh.withColumn("_w", wt).groupBy("q_id", "t_label").agg(F.sum("_w").alias("_v"))
+    votes = neighbours.withColumn("_w", wt).groupBy("q_id", "t_label").agg(F.sum("_w").alias("_v"))
     tot = Window.partitionBy("q_id")
     scores = votes.select(F.col("q_id").alias(key), F.col("t_label").alias(label),
                           (F.col("_v") / F.sum("_v").over(tot)).alias("score"))
@@ -161,19 +166,23 @@ def knn(train: DataFrame, test: DataFrame, params: KnnParams, key: str = "id",
 
 
 # --- MOD-3 / MOD-4 / MOD-5 / MOD-7 ----------------------------------------------------
+def as_vector(df: DataFrame, features: str) -> Column:
+    """The features column as an ``ml`` vector: arrays are turned into one, vectors stay (sparse ones sparse)."""
+    from pyspark.ml.functions import array_to_vector
+    return array_to_vector(F.col(features)) if dict(df.dtypes)[features].startswith("array") else F.col(features)
+
+
 def fit_classifier(kind: str, train: DataFrame, params: dict, features: str = "features",
                    label: str = "label", weight_col: str | None = None):
-    """Fit a ``pyspark.ml`` model on array features; returns the fitted model.
+    """Fit a ``pyspark.ml`` model on array or vector features; returns the fitted model.
 
     log: C -> regParam = 1 / (C * n), L2, no internal standardisation.
     rf:  n_estimators, max_features ('log2' | 'sqrt' | fraction), random_state.
     svc: one-vs-rest linear SVM with balanced weights (kernel SVMs are not built).
     """
     from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
-    from pyspark.ml.functions import array_to_vector
 
-    data = train.withColumn("_fv", array_to_vector(F.col(features))).withColumn(
-        "_label", F.col(label).cast("double"))
+    data = train.withColumn("_fv", as_vector(train, features)).withColumn("_label", F.col(label).cast("double"))
     if kind == "log":
         n = data.count()
         est = LogisticRegression(featuresCol="_fv", labelCol="_label", regParam=1.0 / (params.get("C", 1.0) * n),
@@ -225,35 +234,6 @@ def random_fourier_features(df: DataFrame, dim: int, n_components: int = 128, ga
 
 
 def predict(model, df: DataFrame, key: str, features: str = "features") -> DataFrame:
-    from pyspark.ml.functions import array_to_vector
-    data = df.withColumn("_fv", array_to_vector(F.col(features)))
+    data = df.withColumn("_fv", as_vector(df, features))
     out = model.transform(data)
     return out.select(key, F.col("prediction").cast("int").alias("prediction"))
-
-
-class ClassifierParams:
-    """MOD-7: defaults per dataset, overridden per (dataset, state) without
-    touching the defaults (a fresh dict per lookup)."""
-
-    def __init__(self, kind: str, defaults: dict, overrides: dict | None = None):
-        self.kind, self.defaults, self.overrides = kind, defaults, overrides or {}
-
-    def get_params(self, dataset: str, state: str) -> dict:
-        params = dict(self.defaults.get(dataset, {}))
-        params.update(self.overrides.get(dataset, {}).get(state, {}))
-        return params
-
-    def clf_name(self) -> str:
-        return self.kind
-
-
-def sweep(datasets: dict, states: list[str], clfs: list[ClassifierParams]):
-    """MOD-8: fit and score every (dataset, state, classifier); yields rows of
-    (dataset, state, clf, predictions DataFrame).  ``datasets`` maps a name to
-    a function state -> (train, test) DataFrames with id/features/label."""
-    for d, load in datasets.items():
-        for s in states:
-            train, test = load(s)
-            for c in clfs:
-                model = fit_classifier(c.kind, train, c.get_params(d, s))
-                yield d, s, c.clf_name(), predict(model, test, "id")

@@ -2,9 +2,9 @@
 
 Randomness is a seeded hash of the key, so results do not depend on the
 partitioning: ``md5(concat(key, '-', seed))``, the same string in Spark and
-DuckDB.  Ranks come from :func:`exact_rank` (range partitioning), never from
-a window over one partition, so a class with a third of the rows is spread
-over many tasks.
+DuckDB.  Ranks come from :func:`exact_rank` (range partitioning), and the n-th
+key of a class from histograms over its hash digits, never from a window over
+all its rows, so a class with a third of the rows is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
 from .joins import sized_join
 from .ranking import exact_rank
 
@@ -23,14 +24,35 @@ def seeded_key(key: Column | str, seed: int) -> Column:
     return F.md5(F.concat(k.cast("string"), F.lit(f"-{seed}")))
 
 
-def _cut_keys(df: DataFrame, key: str, seed: int, n: int, group_by: list[str]) -> DataFrame:
-    """The (hash, key) of the n-th row in seeded order, per group.
+def _cut_keys(df: DataFrame, key: str, seed: int, n: int, group_by: list[str], digits: int = 3,
+              few: int = 10_000) -> DataFrame:
+    """The (hash, key) of the n-th row in seeded order, per group; one row per group.
 
-    Only the narrow key columns are ranked; the result has one row per group.
+    Nothing is sorted but the last bucket: a histogram over ``digits`` more
+    hash digits finds the bucket that holds the n-th row (16^digits counts a
+    group), until every group's bucket has at most ``few`` rows.
     """
-    keys = df.select(*group_by, key, seeded_key(key, seed).alias("_h"))
-    ranked = exact_rank(keys, ["_h", key], group_by=group_by, name="_rn")
-    return ranked.where(F.col("_rn") == n)
+    g = ["_g", *group_by]
+    keys = df.select(F.lit(0).alias("_g"), *group_by, key, seeded_key(key, seed).alias("_h"))
+    upto = F.sum("_n").over(Window.partitionBy(*g).orderBy("_p"))
+    at, length = None, 0
+
+    def inside() -> DataFrame:
+        if at is None:
+            return keys.withColumn("_left", F.lit(n).cast("long"))
+        return sized_join(keys, at.select(*g, "_p", "_left"), g).where(F.substring("_h", 1, length) == F.col("_p")).drop("_p")
+
+    while True:
+        counts = inside().groupBy(*g, F.substring("_h", 1, length + digits).alias("_p")).agg(
+            F.count(F.lit(1)).alias("_n"), F.first("_left").alias("_left")).withColumn("_upto", upto)
+        found = counts.where((F.col("_upto") >= F.col("_left")) & (F.col("_upto") - F.col("_n") < F.col("_left")))
+        at, length = checkpoint(found.select(*g, "_p", "_n", (F.col("_left") - F.col("_upto") + F.col("_n")).alias("_left"))), length + digits
+        if length >= 32 or (at.agg(F.max("_n")).first()[0] or 0) <= few:
+            break
+    if length >= 32:                   # rows of one whole hash are rows of one key
+        return inside().groupBy(*g, "_h").agg(F.min(key).alias(key)).drop("_g")
+    place = F.row_number().over(Window.partitionBy(*g).orderBy("_h", key))
+    return inside().withColumn("_rn", place).where(F.col("_rn") == F.col("_left")).drop("_g", "_rn", "_left")
 
 
 def _at_or_before(h: Column, k: Column, cut_h: Column, cut_k: Column) -> Column:

@@ -4,15 +4,16 @@ Data flow (one row per document until the terms are exploded):
 
     docs(doc_id, text) -> clean -> tag -> pairs array<struct<token, tag>>
       -> lemmatize / lower / stop words / token filter      (per document)
-      -> encode (double | bio | plain) -> explode terms
-      -> (doc_id, n_tokens, term, cnt, first)               counts per document
-    fit:       counts -> groupBy(term) -> bounds -> idf      vocabulary (checkpointed)
-    transform: counts x vocabulary (size-checked broadcast) -> tf, idf -> L2 by doc
+      -> encode (double | bio | plain) -> count in the row
+      -> (doc_id, n_tokens, counts array<struct<term, cnt, first>>)
+    fit:       explode counts -> groupBy(term) -> bounds -> idf   vocabulary (written)
+    transform: counts by doc_id -> explode -> x vocabulary (size-checked broadcast) -> tf, idf -> L2 by doc
 
-Documents are hash-partitioned by ``doc_id`` once, before tagging, so the
-per-document count, the vocabulary join (broadcast) and the L2 window run
-without further exchanges.  The vocabulary aggregate is partial + final,
-which absorbs hot terms.
+Terms are counted inside the document's row, so texts are never shuffled:
+``fit`` has only the vocabulary aggregate (partial + final, which absorbs hot
+terms), and ``transform`` one exchange of the counted rows by ``doc_id``, after
+which the vocabulary join (broadcast) and the L2 window need no other.
+``fit_transform`` writes the counted rows once, one row a document, for both.
 
 Compatibility modes (defaults = the observed behaviour):
 * ``count_mode``: ``occurrences`` counts every occurrence for the vocabulary
@@ -34,7 +35,7 @@ from ..functions.arrays import barrier, explode_rows, posexplode_rows
 from ..functions.text import ColumnFn, document_pipeline
 from ..functions.tokens import (STOPWORDS, filter_pairs, strip_bio_prefix, whitespace_tokens,
                                 word_tokens)
-from ..session import by_document, checkpoint, persist
+from ..session import by_document, checkpoint, spread
 from .joins import BROADCAST_MAX_ROWS, skew_safe_lookup
 from .lexicon import lemmatize_rows
 from .ranking import exact_rank
@@ -156,14 +157,34 @@ class TermPipeline:
             return F.transform(pairs, lambda x, i: F.struct(x["token"].alias("term"), key(i, 0).alias("first")))
         raise ValueError(f"unknown encoding {enc!r}")
 
-    def counts(self, tagged: DataFrame) -> DataFrame:
-        """(doc_id, pairs) -> (doc_id, n_tokens, term, cnt, first)."""
+    def counted(self, tagged: DataFrame) -> DataFrame:
+        """(doc_id, pairs) -> (doc_id, n_tokens, counts array<struct<term, cnt, first>>), within the row.
+
+        The terms are sorted; each run of equal ones is one entry with its length and first place.
+        """
         tagged = barrier(tagged, "pairs")
         t = tagged.select("doc_id", F.size("pairs").alias("n_tokens"), "pairs")
         t = self._lemmatize(t)
-        terms = explode_rows(t, self.encode(self.filter_pairs(F.col("pairs"))), "e", "doc_id", "n_tokens")
-        return terms.groupBy("doc_id", "n_tokens", F.col("e.term").alias("term")).agg(
-            F.count(F.lit(1)).alias("cnt"), F.min("e.first").alias("first"))
+        t = barrier(t.select("doc_id", "n_tokens", F.array_sort(self.encode(self.filter_pairs(F.col("pairs")))).alias("e")), "e")
+        n, e = F.size("e"), F.col("e")
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (n > 0) & (
+            (i == 1) | (F.try_element_at(e, i)["term"] != F.try_element_at(e, F.greatest(i - 1, F.lit(1)))["term"])))
+        t = barrier(t.select("doc_id", "n_tokens", "e", starts.alias("s")), "s")
+        run = F.transform("s", lambda i, j: F.struct(
+            F.try_element_at(e, i)["term"].alias("term"),
+            (F.coalesce(F.try_element_at("s", j + 2), n + 1) - i).cast("bigint").alias("cnt"),
+            F.try_element_at(e, i)["first"].alias("first")))
+        return t.select("doc_id", "n_tokens", run.alias("counts"))
+
+    def counts(self, tagged: DataFrame) -> DataFrame:
+        """(doc_id, pairs) -> (doc_id, n_tokens, term, cnt, first)."""
+        return exploded(self.counted(tagged))
+
+
+def exploded(counted: DataFrame) -> DataFrame:
+    """Counted rows -> (doc_id, n_tokens, term, cnt, first)."""
+    return explode_rows(barrier(counted, "counts"), F.col("counts"), "c", "doc_id", "n_tokens").select(
+        "doc_id", "n_tokens", F.col("c.term").alias("term"), F.col("c.cnt").alias("cnt"), F.col("c.first").alias("first"))
 
 
 class NerVectorizer:
@@ -190,33 +211,25 @@ class NerVectorizer:
     # --- input handling ---------------------------------------------------------
     def tagged(self, raw_documents: DataFrame | None = None, tokenized: DataFrame | None = None,
                text_col: str = "text") -> DataFrame:
-        """Validated (doc_id, pairs), hash-partitioned by doc_id."""
+        """Validated (doc_id, pairs), in the input's partitions."""
         if (raw_documents is None) == (tokenized is None):
-            raise ValueError("Either raw documents or tokenized and bio_tags must be provided")
+            raise ValueError("give documents or tokenized rows, not both and not neither")
         if tokenized is not None:
             if not {"tokens", "tags"} <= set(tokenized.columns):
                 raise ValueError("tokenized input needs both 'tokens' and 'tags' columns")
             if self.validate:
                 check_tagged(tokenized)
-            return from_token_lists(by_document(tokenized))
-        return self.pipeline.tag(by_document(raw_documents.select("doc_id", text_col)), text_col)
+            return from_token_lists(spread(tokenized))
+        return self.pipeline.tag(spread(raw_documents.select("doc_id", text_col)), text_col)
 
     # --- fit ----------------------------------------------------------------------
     def fit(self, raw_documents: DataFrame | None = None, tokenized: DataFrame | None = None,
             text_col: str = "text") -> "VectorizerModel":
-        model, _ = self._fit(raw_documents, tokenized, text_col, keep_counts=False)
-        return model
-
-    def _fit(self, raw_documents, tokenized, text_col, keep_counts):
-        tagged = self.tagged(raw_documents, tokenized, text_col)
-        src = raw_documents if raw_documents is not None else tokenized
-        n_docs = src.count()
-        counts = self.pipeline.counts(tagged)
-        if keep_counts:
-            # fit and transform both read the per-document counts
-            counts = persist(counts)
-        vocab = self._vocabulary(counts, n_docs)
-        return VectorizerModel(self, vocab, n_docs), counts
+        return self._model(self.pipeline.counted(self.tagged(raw_documents, tokenized, text_col)), raw_documents, tokenized)
+
+    def _model(self, counted: DataFrame, raw_documents, tokenized) -> "VectorizerModel":
+        n_docs = (raw_documents if raw_documents is not None else tokenized).count()
+        return VectorizerModel(self, self._vocabulary(exploded(counted), n_docs), n_docs)
 
     def _vocabulary(self, counts: DataFrame, n_docs: int) -> DataFrame:
         p = self.params
@@ -234,10 +247,10 @@ class NerVectorizer:
     # --- fit + transform ----------------------------------------------------------
     def fit_transform(self, raw_documents: DataFrame | None = None, tokenized: DataFrame | None = None,
                       use_idf: bool = True, text_col: str = "text") -> DataFrame:
-        """``fit`` and ``transform`` sharing one pass over the documents."""
-        model, counts = self._fit(raw_documents, tokenized, text_col, keep_counts=True)
-        self.model_ = model
-        return model.weights(counts, use_idf)
+        """``fit`` and ``transform`` sharing one pass over the documents: the counted rows, written once."""
+        counted = checkpoint(self.pipeline.counted(self.tagged(raw_documents, tokenized, text_col)))
+        self.model_ = self._model(counted, raw_documents, tokenized)
+        return self.model_.weights(exploded(by_document(counted)), use_idf)
 
 
 class VectorizerModel:
@@ -270,8 +283,8 @@ class VectorizerModel:
 
     def transform(self, raw_documents: DataFrame | None = None, tokenized: DataFrame | None = None,
                   use_idf: bool = True, text_col: str = "text") -> DataFrame:
-        tagged = self.est.tagged(raw_documents, tokenized, text_col)
-        return self.weights(self.est.pipeline.counts(tagged), use_idf)
+        counted = self.est.pipeline.counted(self.est.tagged(raw_documents, tokenized, text_col))
+        return self.weights(exploded(by_document(counted)), use_idf)
 
     def weights(self, counts: DataFrame, use_idf: bool = True) -> DataFrame:
         """(doc_id, term, weight): TFW-1..4 on per-document counts."""
@@ -296,14 +309,6 @@ class VectorizerModel:
         return out
 
 
-def double_vectorizer(**kw) -> NerVectorizer:
-    return NerVectorizer(VectorizerParams(encoding="double"), **kw)
-
-
-def bio_vectorizer(**kw) -> NerVectorizer:
-    return NerVectorizer(VectorizerParams(encoding="bio"), **kw)
-
-
 def standard_vectorizer(min_df: int | float = 1, max_df: int | float = 1.0, normalize: bool = True,
                         idf_add_one: bool = True, **kw) -> NerVectorizer:
     """STD-1: word analyzer, document frequency, tf * idf, L2 (like a textbook TF-IDF)."""
@@ -331,6 +336,6 @@ def analyzer_tokens(vec: NerVectorizer, docs: DataFrame, text_col: str = "text")
     return rows.select("doc_id", F.transform(pl.filter_pairs(F.col("pairs")), lambda x: x["token"]).alias("tokens"))
 
 
-__all__ = ["VectorizerParams", "NerVectorizer", "VectorizerModel", "TermPipeline", "double_vectorizer",
-           "bio_vectorizer", "standard_vectorizer", "builtin_token_filter", "analyzer_tokens",
+__all__ = ["VectorizerParams", "NerVectorizer", "VectorizerModel", "TermPipeline", "exploded",
+           "standard_vectorizer", "builtin_token_filter", "analyzer_tokens",
            "bound", "tokenize"]

@@ -7,7 +7,7 @@ columns carry the same names in both; doubles are rounded to 6 decimals.
 
 from __future__ import annotations
 
-from . import q_data, q_tagging, q_text, q_vectors  # noqa: F401  (registers)
+from . import q_data, q_models, q_tagging, q_text, q_vectors  # noqa: F401  (registers)
 from .registry import ORACLES, QUERIES, register
 
 __all__ = ["QUERIES", "ORACLES", "register"]

@@ -512,32 +512,3 @@ def stream_score_documents(spark, sf):
     sink, ckpt = scratch_path(spark, "stream-sink"), scratch_path(spark, "stream-ckpt")
     score_stream(spark, model, src, docs.schema, sink, ckpt)
     return read_scores(spark, sink).select("doc_id", "term", r6("weight").alias("weight"))
-
-
-# --- MOD-7 / MOD-8: parameter lookup and the classifier sweep -----------------------------------
-SWEEP_PARAMS = [
-    ML.ClassifierParams("log", {"embeddings": {"C": 0.01, "random_state": MODEL_SEED}}),
-    ML.ClassifierParams("rf", {"embeddings": {"n_estimators": 20, "max_features": "log2",
-                                              "random_state": MODEL_SEED, "max_depth": 8}},
-                        {"embeddings": {"rff": {"max_features": "sqrt"}}}),
-]
-
-
-@register("mod8_classifier_sweep")
-def mod8_classifier_sweep(spark, sf):
-    """Every (representation, classifier) pair fitted on train and scored on test."""
-    def load(state):
-        train, test = _scaled_split(spark, sf)
-        if state == "rff":
-            dim = len(train.select("features").first()[0])
-            train, test = (ML.random_fourier_features(train, dim, n_components=64),
-                           ML.random_fourier_features(test, dim, n_components=64))
-        return (train.select(F.col("doc_id").alias("id"), "features", "label"),
-                test.select(F.col("doc_id").alias("id"), "features", "label"))
-
-    out = None
-    for d, state, clf, preds in ML.sweep({"embeddings": load}, ["std", "rff"], SWEEP_PARAMS):
-        part = preds.select(F.lit(d).alias("dataset"), F.lit(state).alias("state"), F.lit(clf).alias("clf"),
-                            F.col("id").alias("doc_id"), "prediction")
-        out = part if out is None else out.unionByName(part)
-    return out

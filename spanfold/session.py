@@ -64,21 +64,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (cuts lineage).
+def checkpoint(df: DataFrame) -> DataFrame:
+    """``df`` written once as compressed Parquet in the shared checkpoint folder, and read back.
 
-    Survives executor loss, unlike a local checkpoint or a cache.
+    Cuts the lineage and survives executor loss; one job, and no copy on the
+    executors.  The table stays until :func:`discard` or the folder's clean-up.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    if not eager:
-        return df.checkpoint(eager=False)
-    # cache first: writing the checkpoint is a second job over the same rows
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = cached.checkpoint(eager=True)
-    cached.unpersist()
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
     return out
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes the tables that :func:`checkpoint` wrote, once nothing reads them any more."""
+    for t in tables:
+        path = getattr(t, "_written_at", None)
+        if path:
+            sc = t.sparkSession.sparkContext
+            where = sc._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+            t._written_at = None
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark)
@@ -111,12 +120,7 @@ def by_document(df: DataFrame, key: str = "doc_id") -> DataFrame:
     CPU-heavy (cleaning, tagging), so small byte sizes must not collapse the
     work into a couple of tasks.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sc = df.sparkSession.sparkContext
-    if sc.master.startswith("local"):
-        # one machine: more than two tasks per core only adds task overhead
-        n = min(n, 2 * sc.defaultParallelism)
-    return df.repartition(n, key)
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def scale_conf(input_bytes: float, executors: int, cores_per_executor: int = 4,

@@ -100,6 +100,11 @@ def read_representation(spark: SparkSession, path: str, split: str | None = None
     return t.join(w, "doc_id", "left").select("doc_id", "term", "weight", "TARGET")
 
 
+def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """The stored vocabulary (term, feature_idx) of a representation."""
+    return spark.read.parquet(f"{path}/vocabulary")
+
+
 def save_metrics(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """SNK-4: metric tables as CSV."""
     write_csv(df, path, mode=mode)
@@ -109,6 +114,19 @@ PREDICTION_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()),
                                   T.StructField("prediction", T.StringType())])
 
 
+SCORE_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("cls", T.StringType()),
+                             T.StructField("score", T.DoubleType())])
+
+
+def save_scores(scores: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """SRC-6: class scores, a row per document and class."""
+    write_csv(scores.select("doc_id", "cls", "score"), path, mode=mode)
+
+
+def read_scores(spark: SparkSession, path: str) -> DataFrame:
+    return read_csv(spark, path, SCORE_SCHEMA)
+
+
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """SRC-6: predictions keyed by doc_id."""
     return read_csv(spark, path, PREDICTION_SCHEMA)

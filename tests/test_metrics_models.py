@@ -83,7 +83,7 @@ def test_macro_roc_curve_matches_interpolation(spark):
         for c in classes:
             rows.append((i, t, c, float(rnd.randint(0, 9))))
     df = spark.createDataFrame(rows, "id long, truth string, cls string, score double")
-    got = {round(r.fpr, 9): r.tpr for r in M.macro_roc_curve(df, "truth", "cls", "score", buckets=16).collect()}
+    got = {round(r.fpr, 9): r.tpr for r in M.macro_roc_curve(df, "truth", "cls", "score").collect()}
     curves = {}
     for c in classes:
         sc = [(s, t == c) for i, t, cc, s in rows if cc == c]
