@@ -108,12 +108,10 @@ def _named_ref(piece: Column) -> Column:
 
 
 def unescape_html(c: Column) -> Column:
-    """Decode character references (numeric, Latin-1 names and common symbols).
+    """Decode character references: numeric ones and the whole HTML5 table of names.
 
     Numeric references follow the HTML rules (windows-1252 for 0x80-0x9F,
-    U+FFFD for surrogates/out of range, control points dropped).  Named
-    references cover the Latin-1 set and the usual typographic names; use
-    :func:`unescape_html_full` for the whole HTML5 table.
+    U+FFFD for surrogates/out of range, control points dropped).
     """
     pieces = F.regexp_extract_all(c, F.lit(_REF_PIECES), 0)
 
@@ -127,20 +125,18 @@ def unescape_html(c: Column) -> Column:
     return F.when(c.contains("&"), F.array_join(F.transform(pieces, one), "")).otherwise(c)
 
 
-def unescape_html_full(c: Column) -> Column:
-    """Whole HTML5 entity table through Python's ``html.unescape`` (Arrow UDF).
+def python_preprocessor(fn: Callable[[str], str]) -> ColumnFn:
+    """UDF-1: a user's own text function as a step of a :class:`Pipeline` (nulls stay null).
 
-    Slow path: use only when texts hold entities outside :data:`ENTITIES`.
+    It runs in Arrow batches.  Prefer column expressions: this is for what they cannot say.
     """
-    import html
-
     import pandas as pd
 
-    def _unescape(s):
-        return s.map(lambda v: None if v is None else html.unescape(v))
+    def run(s):
+        return s.map(lambda v: None if v is None else fn(v))
 
-    _unescape.__annotations__ = {"s": pd.Series, "return": pd.Series}
-    return F.pandas_udf(_unescape, "string")(c)
+    run.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return lambda c: F.pandas_udf(run, "string")(c)
 
 
 # --- TXT-4 / TXT-5 ------------------------------------------------------------

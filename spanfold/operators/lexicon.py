@@ -1,26 +1,114 @@
-"""TOK-13: lemmatization as a lexicon join.
+"""TOK-13 with TOK-12: lemmas by form and word class.
 
-The lexicon is data: ``DataFrame(form, lemma)`` (one lemma per form; the
-smallest wins on duplicates).  Token rows are looked up with a left join -
-broadcast when the lexicon's row count is within the bound, a shuffle join
-otherwise - and tokens without an entry keep their form.
+The lexicon is data: ``DataFrame(form, lemma)``, or ``(form, lemma, pos)`` with
+a word class (``a`` adjective, ``v`` verb, ``r`` adverb, ``n`` noun) and, if
+wanted, a ``weight`` (how often the form has the class).  Token rows are looked
+up with a left join, broadcast when the lexicon's row count is within the
+bound, a shuffle join otherwise; a form is one row there, so no class needs
+another join.
+
+With word classes every token first gets one: the best path over a document's
+tokens, by the lexicon's share of each class for the form and a bigram table of
+classes.  Its lemma is that of (form, class), else of (form, noun), else of the
+form's first class; a form without an entry is a noun and stays as it is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from dataclasses import dataclass, field
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import BROADCAST_MAX_ROWS, sized_join
 
+CLASSES = ("a", "n", "r", "v")
+NOUN = "n"
+
 
 def normalize_lexicon(lexicon: DataFrame) -> DataFrame:
-    return lexicon.groupBy("form").agg(F.min("lemma").alias("lemma"))
+    """(form, entries array<struct<pos, lemma, weight>>): one row a form, classes in order (null pos: any class)."""
+    pos = F.col("pos") if "pos" in lexicon.columns else F.lit(None).cast("string")
+    weight = F.col("weight").cast("double") if "weight" in lexicon.columns else F.lit(1.0)
+    one = lexicon.select("form", "lemma", pos.alias("pos"), weight.alias("weight")).groupBy("form", "pos").agg(
+        F.min("lemma").alias("lemma"), F.sum("weight").alias("weight"))
+    return one.groupBy("form").agg(F.array_sort(F.collect_list(F.struct("pos", "lemma", "weight"))).alias("entries"))
+
+
+@dataclass(frozen=True)
+class ClassBigrams:
+    """log P(class | class before), '' being a document's start; absent pairs have ``floor``."""
+
+    logs: dict = field(default_factory=dict)
+    floor: float = -8.0
+
+    @classmethod
+    def fit(cls, tagged: DataFrame, smooth: float = 1.0) -> ClassBigrams:
+        """Counts over ``tagged(doc_id, pos, cls)``, a row per token; at most (classes + 1) x classes numbers."""
+        before = F.coalesce(F.lag("cls").over(Window.partitionBy("doc_id").orderBy("pos")), F.lit(""))
+        counts = {(r["b"], r["cls"]): r["count"] for r in
+                  tagged.select(before.alias("b"), "cls").where(F.col("cls").isin(*CLASSES)).groupBy("b", "cls").count().collect()}
+        total = {b: sum(counts.get((b, c), 0) + smooth for c in CLASSES) for b in ("", *CLASSES)}
+        return cls({(b, c): math.log((counts.get((b, c), 0) + smooth) / total[b]) for b in total for c in CLASSES})
+
+    def move(self, before: str, to: str) -> float:
+        return self.logs.get((before, to), self.floor if self.logs else 0.0)
+
+
+def best_classes(shares: list[dict[str, float]], bigrams: ClassBigrams) -> list[str]:
+    """The best path of classes, given each token's log shares; the first in order among equals."""
+    paths: dict[str, tuple] = {"": (0.0, None)}        # class -> (score, (path before, class))
+    for own in shares:
+        step = {}
+        for c in sorted(own):
+            # max() takes the first of equal ones
+            before = max(sorted(paths), key=lambda b: paths[b][0] + bigrams.move(b, c))
+            score, path = paths[before]
+            step[c] = (score + bigrams.move(before, c) + own[c], (path, c))
+        paths = step
+    node, out = paths[max(sorted(paths), key=lambda c: paths[c][0])][1], []
+    while node:
+        node, c = node
+        out.append(c)
+    return out[::-1]
+
+
+def word_classes(entries: Column, bigrams: ClassBigrams) -> Column:
+    """The class of each token from ``entries``, an array per token of its lexicon entries (null: none)."""
+    @F.pandas_udf("array<string>")
+    def choose(classes: pd.Series, weights: pd.Series) -> pd.Series:
+        out = []
+        for per_class, per_weight in zip(classes, weights):
+            shares = []
+            for names, sizes in zip(per_class, per_weight):
+                total = sum(sizes) if names is not None and len(names) else 0
+                shares.append({n: math.log(w / total) for n, w in zip(names, sizes) if w > 0} if total > 0 else {NOUN: 0.0})
+            out.append(best_classes([{(NOUN if n is None else n): v for n, v in s.items()} for s in shares], bigrams))
+        return pd.Series(out)
+
+    return choose(F.transform(entries, lambda e: F.transform(F.coalesce(e, F.array().cast(_ENTRIES)), lambda x: x["pos"])),
+                  F.transform(entries, lambda e: F.transform(F.coalesce(e, F.array().cast(_ENTRIES)), lambda x: x["weight"])))
+
+
+_ENTRIES = "array<struct<pos:string,lemma:string,weight:double>>"
+
+
+def lemma_of(token: Column, entries: Column, cls: Column) -> Column:
+    """The lemma of (form, class), else of (form, noun), else of the form's first entry, else the form."""
+    def of(want: Column) -> Column:
+        return F.try_element_at(F.filter(entries, lambda e: e["pos"].eqNullSafe(want)), F.lit(1))["lemma"]
+    return F.coalesce(of(cls), of(F.lit(NOUN)), F.try_element_at(entries, F.lit(1))["lemma"], token)
+
+
+def looked_up(rows: DataFrame, lexicon: DataFrame, token: str = "token", max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """``rows`` with the ``entries`` of their token (null without any)."""
+    return sized_join(rows, normalize_lexicon(lexicon).withColumnRenamed("form", token), [token], "left", max_rows=max_rows)
 
 
 def lemmatize_rows(rows: DataFrame, lexicon: DataFrame, token: str = "token",
                    max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Replace ``token`` by its lemma where the lexicon has the form."""
-    lex = normalize_lexicon(lexicon).withColumnRenamed("form", token)
-    j = sized_join(rows, lex, [token], "left", max_rows=max_rows)
-    return j.withColumn(token, F.coalesce(F.col("lemma"), F.col(token))).drop("lemma")
+    """Replace ``token`` by its lemma where the lexicon has the form, whatever the word class."""
+    j = looked_up(rows, lexicon, token, max_rows)
+    return j.withColumn(token, lemma_of(F.col(token), F.col("entries"), F.lit(None).cast("string"))).drop("entries")

@@ -8,7 +8,7 @@ Taggers here:
 * :class:`NullTagger` - whitespace tokens, every tag ``O``.
 * :class:`ShapeTagger` - token-shape rules, JVM-side, no shuffle.
 * :class:`GazetteerTagger` - longest phrase match against a phrase table
-  (join on n-gram keys; per-document greedy span choice).
+  (join on a phrase's first words, the rest verified in the document's row).
 * :class:`ModelTagger` - a user model run with ``mapInPandas`` (loaded once
   per Python worker); the slow path for statistical taggers.
 """
@@ -17,12 +17,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark import StorageLevel
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.arrays import barrier, explode_rows, posexplode_rows
 from ..functions.tokens import PAIR_TYPE, is_bio_tag, pairs_of, whitespace_tokens
+from ..session import checkpoint
 from .joins import sized_join
 
 SpanFn = Callable[[list[str]], list[list[tuple[int, int, str]]]]
@@ -132,6 +134,20 @@ def spans_fit(n_tokens: Column, spans: Column) -> Column:
     return F.forall(F.transform(spans, fits), lambda ok: ok)
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _kept(starts: pd.Series, ends: pd.Series) -> pd.Series:
+    """Places of the spans that begin at or after the end of the last one kept; one pass."""
+    out = []
+    for s, e in zip(starts, ends):
+        free, kept = 0, []
+        for i in range(len(s)):
+            if s[i] >= free:
+                kept.append(i)
+                free = e[i]
+        out.append(kept)
+    return pd.Series(out)
+
+
 def greedy_spans(candidates: Column) -> Column:
     """Leftmost-longest, non-overlapping choice among match candidates.
 
@@ -139,91 +155,60 @@ def greedy_spans(candidates: Column) -> Column:
     longer first, then label; a candidate is kept when it starts at or after
     the end of the last kept one.
     """
-    ordered = F.array_sort(F.transform(
-        candidates, lambda c: F.struct(c["start"].alias("start"), (-c["n"]).alias("neg_n"),
-                                       c["label"].alias("label"))))
-    init = F.struct(F.lit(0).alias("end"),
-                    F.array().cast("array<struct<start:int,n:int,label:string>>").alias("kept"))
-
-    def step(acc: Column, c: Column) -> Column:
-        n = -c["neg_n"]
-        take = c["start"] >= acc["end"]
-        kept = F.when(take, F.concat(acc["kept"], F.array(F.struct(
-            c["start"].cast("int").alias("start"), n.cast("int").alias("n"),
-            c["label"].alias("label"))))).otherwise(acc["kept"])
-        return F.struct(F.when(take, c["start"] + n).otherwise(acc["end"]).cast("int").alias("end"),
-                        kept.alias("kept"))
-
-    return F.aggregate(ordered, init, step)["kept"]
-
-
-def _gram_struct(n: int):
-    def make(key: Column, i: Column) -> Column:
-        return F.struct(i.alias("start"), F.lit(n).alias("n"), key.alias("key"))
-    return make
+    ordered = F.array_sort(F.transform(candidates, lambda c: F.struct(
+        c["start"].cast("int").alias("start"), (-c["n"]).cast("int").alias("neg_n"), c["label"].alias("label"))))
+    kept = _kept(F.transform(ordered, lambda c: c["start"]), F.transform(ordered, lambda c: c["start"] - c["neg_n"]))
+    return F.transform(kept, lambda i: F.struct(
+        F.try_element_at(ordered, i + 1)["start"].alias("start"),
+        (-F.try_element_at(ordered, i + 1)["neg_n"]).alias("n"), F.try_element_at(ordered, i + 1)["label"].alias("label")))
 
 
 class GazetteerTagger:
     """NER-3a: phrase-table tagger.
 
     ``phrases``: DataFrame(phrase string, label string); matching is on the
-    lowercase, blank-joined token n-grams.  Candidate n-grams are built per
-    document (no token array is copied per row), joined with the phrase table
-    (broadcast only under a checked row bound), then each document keeps the
-    leftmost-longest non-overlapping matches.
+    lowercase whitespace tokens.  The table is indexed by a hash of a phrase's
+    first word (one-word phrases) or first two words.  Every position of a
+    document looks up both hashes, whatever the longest phrase; the hits of a
+    document are verified word by word in its row, and the leftmost-longest
+    non-overlapping ones are kept.  No n-gram is ever built.
     """
 
-    def __init__(self, phrases: DataFrame, max_n: int | None = None,
-                 broadcast_max_rows: int = 2_000_000):
-        norm = phrases.select(
-            F.lower(F.array_join(whitespace_tokens(F.col("phrase")), " ")).alias("key"),
-            F.col("label"))
-        norm = norm.where(F.col("key") != "").withColumn(
-            "n", F.size(F.split("key", " ")))
+    def __init__(self, phrases: DataFrame, broadcast_max_rows: int = 2_000_000):
+        words = F.transform(whitespace_tokens(F.col("phrase")), F.lower)
+        norm = phrases.select(words.alias("words"), "label").where(F.size("words") > 0)
         # one label per phrase: the smallest, so the result is deterministic
-        # read three times (longest phrase, size check, lookup): cached
-        self.table = norm.groupBy("key").agg(F.min("label").alias("label"), F.first("n").alias("n")) \
-            .persist(StorageLevel.MEMORY_AND_DISK)
-        if max_n is None:
-            max_n = self.table.agg(F.max("n")).first()[0] or 1
-        self.max_n = int(max_n)
+        one = norm.groupBy("words").agg(F.min("label").alias("label"))
+        first, second = F.try_element_at("words", F.lit(1)), F.try_element_at("words", F.lit(2))
+        self.table = checkpoint(one.select(
+            F.when(F.size("words") == 1, F.xxhash64(first)).otherwise(F.xxhash64(first, second)).alias("key"), "words", "label"))
         self.broadcast_max_rows = broadcast_max_rows
 
-    def candidates(self, toks: DataFrame) -> DataFrame:
-        """(doc_id, start, n, key) for every n-gram up to ``max_n`` (lowercase).
-
-        Keys of length n extend those of length n-1 by one token (``zip_with``),
-        so building them is linear in tokens x max_n.
-        """
+    def hits(self, toks: DataFrame) -> DataFrame:
+        """(doc_id, start, words, label) where a phrase's first words stand; at most two lookups a position."""
         low = barrier(toks.select("doc_id", F.transform(F.col("tokens"), F.lower).alias("t")), "t")
         t = F.col("t")
-        grams, cur = [], t
-        for n in range(1, self.max_n + 1):
-            if n > 1:
-                cur = F.zip_with(cur, F.slice(t, n, F.greatest(F.size(t) - n + 1, F.lit(1))),
-                                 lambda a, b: F.concat(a, F.lit(" "), b))
-            grams.append(F.transform(cur, _gram_struct(n)))
-        all_grams = F.filter(F.concat(*grams), lambda g: g["key"].isNotNull())
-        return explode_rows(low, all_grams, "g", "doc_id").select(
-            "doc_id", F.col("g.start").alias("start"), F.col("g.n").alias("n"), F.col("g.key").alias("key"))
+        keys = F.transform(t, lambda w, i: F.array(F.xxhash64(w), F.when(
+            i + 1 < F.size(t), F.xxhash64(w, F.try_element_at(t, i + 2)))))
+        at = posexplode_rows(low.select("doc_id", keys.alias("keys")), F.col("keys"), "start", "pair", "doc_id")
+        return sized_join(explode_rows(at, F.col("pair"), "key", "doc_id", "start"), self.table, ["key"],
+                          max_rows=self.broadcast_max_rows).drop("key")
 
     def spans(self, toks: DataFrame) -> DataFrame:
-        """(doc_id, spans) for documents with at least one match."""
-        cand = self.candidates(toks)
-        hits = sized_join(cand, self.table.select("key", "label", F.col("n").alias("_n")), ["key"],
-                          max_rows=self.broadcast_max_rows).where(F.col("n") == F.col("_n"))
-        per_doc = hits.groupBy("doc_id").agg(F.collect_list(F.struct(
-            F.col("start").cast("int").alias("start"), F.col("n").cast("int").alias("n"),
-            F.col("label"))).alias("cands"))
-        return per_doc.select("doc_id", greedy_spans(F.col("cands")).alias("spans"))
+        """(doc_id, tokens, spans) of every document."""
+        found = self.hits(toks).groupBy("doc_id").agg(F.collect_list(F.struct("start", "words", "label")).alias("hits"))
+        rows = toks.select("doc_id", "tokens", F.transform("tokens", F.lower).alias("t")).join(found, "doc_id", "left")
+        right = F.filter("hits", lambda h: F.slice(F.col("t"), h["start"] + 1, F.size(h["words"])) == h["words"])
+        cands = F.transform(right, lambda h: F.struct(h["start"].alias("start"), F.size(h["words"]).alias("n"),
+                                                      h["label"].alias("label")))
+        none = F.array().cast("array<struct<start:int,n:int,label:string>>")
+        return barrier(rows.select("doc_id", "tokens", F.coalesce(cands, none).alias("cands")), "cands").select(
+            "doc_id", "tokens", greedy_spans(F.col("cands")).alias("spans"))
 
     def tag(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        # the tokens feed both the n-gram candidates and the final tags
-        toks = tokenize(docs, text_col).persist(StorageLevel.MEMORY_AND_DISK)
-        joined = toks.join(self.spans(toks), "doc_id", "left")
-        spans = F.coalesce(F.col("spans"), F.array().cast("array<struct<start:int,n:int,label:string>>"))
-        tags = bio_from_spans(F.size("tokens"), spans)
-        return joined.select("doc_id", pairs_of(F.col("tokens"), tags).alias("pairs"))
+        # the tokens feed both the lookups and the final tags: written once
+        found = barrier(self.spans(checkpoint(tokenize(docs, text_col))), "spans")
+        return found.select("doc_id", pairs_of(F.col("tokens"), bio_from_spans(F.size("tokens"), F.col("spans"))).alias("pairs"))
 
 
 class ModelTagger:
@@ -242,7 +227,6 @@ class ModelTagger:
         load = self.load
 
         def run(batches):
-            import pandas as pd
             fn = load()
             for pdf in batches:
                 spans = fn(list(pdf["text"].fillna("")))
@@ -258,24 +242,20 @@ class ModelTagger:
         return out.select("doc_id", pairs_of(toks, tags).alias("pairs"))
 
 
-# --- NER-1 / ARR-1 / ARR-2 / ARR-3 ------------------------------------------------
+# --- NER-1 / ARR-1 / ARR-2 ----------------------------------------------------------
+def predict(tagger, docs: DataFrame | None, text_col: str = "text") -> DataFrame:
+    """(doc_id, pos, token, tag) of every token; no documents at all are refused."""
+    if docs is None or docs.isEmpty():
+        raise TypeError("a tagger needs at least one document")
+    return to_long(tagger.tag(docs, text_col))
+
+
 def to_long(tagged: DataFrame) -> DataFrame:
     """(doc_id, pairs) -> (doc_id, pos, token, tag), one row per token."""
     return posexplode_rows(barrier(tagged, "pairs"), F.col("pairs"), "pos", "p", "doc_id").select(
         "doc_id", "pos", F.col("p.token").alias("token"), F.col("p.tag").alias("tag"))
 
 
-def regroup(long: DataFrame) -> DataFrame:
-    """ARR-3: (doc_id, pos, token, tag) rows -> (doc_id, pairs) ordered by pos.
-
-    One shuffle by doc_id; a group is one document, bounded by its length.
-    """
-    g = long.groupBy("doc_id").agg(F.array_sort(F.collect_list(
-        F.struct("pos", "token", "tag"))).alias("s"))
-    return g.select("doc_id", F.transform("s", lambda x: F.struct(
-        x["token"].alias("token"), x["tag"].alias("tag"))).alias("pairs"))
-
-
 def from_token_lists(df: DataFrame, tokens: str = "tokens", tags: str = "tags") -> DataFrame:
     """Tokenized input (two aligned list columns) -> (doc_id, pairs)."""
     return df.select("doc_id", pairs_of(F.col(tokens), F.col(tags)).alias("pairs"))
@@ -310,17 +290,6 @@ def spans_to_bio(tokens_long: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 # --- NER-5 / NER-6 ------------------------------------------------------------
-def validate_tokenized(tokenized: DataFrame | None, tags: DataFrame | None = None,
-                       raw: DataFrame | None = None) -> None:
-    """Argument rules of fit/transform; raises ValueError.
-
-    Either raw documents alone, or tokens and tags together (not with raw).
-    """
-    if not ((raw is not None and tokenized is None and tags is None)
-            or (raw is None and tokenized is not None and tags is not None)):
-        raise ValueError("Either raw documents or tokenized and bio_tags must be provided")
-
-
 def violations(df: DataFrame, tokens: str = "tokens", tags: str = "tags",
                keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Rows whose token and tag lists differ in length or hold a non-BIO tag."""
@@ -337,10 +306,10 @@ def check_tagged(df: DataFrame, tokens: str = "tokens", tags: str = "tags") -> N
     if bad:
         row = bad[0]
         if row.length_mismatch:
-            raise ValueError(f"Token list and tag list of document {row.doc_id} differ in length")
-        raise ValueError(f"Noncompliant tagging scheme in document {row.doc_id}")
+            raise ValueError(f"document {row.doc_id} has unequal numbers of tokens and tags")
+        raise ValueError(f"a tag of document {row.doc_id} is not O, B-... or I-...")
 
 
 __all__ = ["NullTagger", "ShapeTagger", "GazetteerTagger", "ModelTagger", "tokenize",
-           "to_long", "regroup", "from_token_lists", "spans_to_bio", "bio_from_spans",
-           "greedy_spans", "violations", "check_tagged", "validate_tokenized", "PAIR_TYPE"]
+           "predict", "to_long", "from_token_lists", "spans_to_bio", "bio_from_spans",
+           "greedy_spans", "violations", "check_tagged", "PAIR_TYPE"]

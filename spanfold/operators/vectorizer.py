@@ -31,13 +31,13 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import barrier, explode_rows, posexplode_rows
+from ..functions.arrays import barrier, explode_rows
 from ..functions.text import ColumnFn, document_pipeline
 from ..functions.tokens import (STOPWORDS, filter_pairs, strip_bio_prefix, whitespace_tokens,
                                 word_tokens)
 from ..session import by_document, checkpoint, spread
 from .joins import BROADCAST_MAX_ROWS, skew_safe_lookup
-from .lexicon import lemmatize_rows
+from .lexicon import ClassBigrams, lemma_of, looked_up, word_classes
 from .ranking import exact_rank
 from .tagging import NullTagger, check_tagged, from_token_lists, tokenize
 
@@ -82,8 +82,10 @@ class TermPipeline:
                  token_filter: PairsFn | None = None,
                  lexicon: DataFrame | None = None,
                  contractions: dict[str, str] | None = None,
-                 analyzer: Callable[[Column], Column] | None = None):
+                 analyzer: Callable[[Column], Column] | None = None,
+                 bigrams: ClassBigrams | None = None):
         self.params = params
+        self.bigrams = bigrams or ClassBigrams()
         self.tagger = tagger if tagger is not None else NullTagger()
         self.preprocessor = preprocessor
         self.token_filter = token_filter
@@ -102,18 +104,19 @@ class TermPipeline:
         return self.tagger.tag(cleaned, "text")
 
     def _lemmatize(self, tagged: DataFrame) -> DataFrame:
-        """TOK-13 before lowering: long form, one lexicon join, regroup by document."""
+        """TOK-13 before lowering: long form, one lexicon join, regrouped by document (with word classes: tagged there)."""
         if not (self.params.lemmatize and self.lexicon is not None):
             return tagged
-        long = posexplode_rows(tagged, F.col("pairs"), "pos", "p", "doc_id", "n_tokens").select(
+        long = tagged.select("doc_id", "n_tokens", F.posexplode_outer("pairs").alias("pos", "p")).select(
             "doc_id", "n_tokens", "pos", F.col("p.token").alias("token"), F.col("p.tag").alias("tag"))
-        looked = lemmatize_rows(long, self.lexicon)
-        g = looked.groupBy("doc_id", "n_tokens").agg(F.array_sort(F.collect_list(
-            F.struct("pos", "token", "tag"))).alias("s"))
-        kept = tagged.join(g, ["doc_id", "n_tokens"], "left_anti").select(
-            "doc_id", "n_tokens", "pairs")
-        return g.select("doc_id", "n_tokens", F.transform("s", lambda x: F.struct(
-            x["token"].alias("token"), x["tag"].alias("tag"))).alias("pairs")).unionByName(kept)
+        g = looked_up(long, self.lexicon).groupBy("doc_id", "n_tokens").agg(F.array_sort(F.collect_list(
+            F.when(F.col("pos").isNotNull(), F.struct("pos", "token", "tag", "entries")))).alias("s"))
+        classes = F.array_repeat(F.lit(None).cast("string"), F.size("s"))
+        if "pos" in self.lexicon.columns:
+            classes = word_classes(F.transform("s", lambda x: x["entries"]), self.bigrams)
+        g = barrier(g.select("doc_id", "n_tokens", "s", classes.alias("c")), "c")
+        return g.select("doc_id", "n_tokens", F.transform("s", lambda x, i: F.struct(
+            lemma_of(x["token"], x["entries"], F.try_element_at("c", i + 1)).alias("token"), x["tag"].alias("tag"))).alias("pairs"))
 
     def filter_pairs(self, pairs: Column) -> Column:
         """TOK-14: lower -> stop words -> punctuation -> user token filter."""
@@ -197,11 +200,11 @@ class NerVectorizer:
     def __init__(self, params: VectorizerParams | None = None, *, tagger=None,
                  preprocessor: ColumnFn | None = None, token_filter: PairsFn | None = None,
                  lexicon: DataFrame | None = None, contractions: dict[str, str] | None = None,
-                 analyzer: Callable[[Column], Column] | None = None,
+                 analyzer: Callable[[Column], Column] | None = None, bigrams: ClassBigrams | None = None,
                  broadcast_max_rows: int = BROADCAST_MAX_ROWS, validate: bool = True, **kw):
         self.params = replace(params or VectorizerParams(), **kw)
         self.pipeline = TermPipeline(self.params, tagger, preprocessor, token_filter, lexicon,
-                                     contractions, analyzer)
+                                     contractions, analyzer, bigrams)
         self.broadcast_max_rows = broadcast_max_rows
         self.validate = validate
 

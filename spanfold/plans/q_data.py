@@ -6,8 +6,10 @@ the streaming scorer.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.arrays import explode_rows
 from ..functions.tokens import STOPWORDS, whitespace_tokens, word_tokens
@@ -16,7 +18,7 @@ from ..operators import models as ML
 from ..operators.ranking import exact_rank
 from ..operators.sampling import seeded_shuffle, stratified_sample, train_test_split
 from ..operators.vectorizer import standard_vectorizer
-from ..session import scratch_path
+from ..session import checkpoint, scratch_path
 from ..sources import io as IO
 from ..sources.tables import SPLIT_SCHEMA, SourceSpec, first_rows, read_corpus_csv, table
 from ..streaming.scorer import read_scores, score_stream
@@ -51,15 +53,26 @@ def src2_first_rows(spark, sf):
     return first_rows(documents(spark, sf), 100)
 
 
-@register("src3_latin1_csv", "SELECT p_partkey AS doc_id, p_type AS TARGET, p_name AS text FROM part")
+@register("src3_latin1_csv", r"""SELECT doc_id, lang AS TARGET, regexp_replace(text, '[^\x00-\x{FF}]', '?', 'g') AS text
+FROM documents""")
 def src3_latin1_csv(spark, sf):
-    p = table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_type").alias("TARGET"),
-                                        F.col("p_name").alias("text"))
+    """Texts with accents and umlauts as ISO-8859-1 bytes (characters it lacks become '?')."""
     path = scratch_path(spark, "latin1-csv")
-    p.write.option("header", True).option("escape", '"').option("encoding", "ISO-8859-1").csv(path)
+    IO.write_csv(corpus(spark, sf).withColumn("text", F.regexp_replace("text", r"[^\x00-\xFF]", "?")), path,
+                 encoding="ISO-8859-1")
     return read_corpus_csv(spark, path, SPLIT_SCHEMA, encoding="ISO-8859-1")
 
 
+@register("snk1_partitioned_csv", f"""WITH {SQL_SPLIT}
+SELECT doc_id, lang AS TARGET, text, split FROM documents JOIN sp USING (doc_id) WHERE split = 'test'""")
+def snk1_partitioned_csv(spark, sf):
+    """A corpus stored by split; reading one split opens only its folder."""
+    path = scratch_path(spark, "partitioned-csv")
+    IO.write_csv(split_corpus(spark, sf), path, partition_by=("split",))
+    schema = T.StructType([*SPLIT_SCHEMA.fields, T.StructField("split", T.StringType())])
+    return read_corpus_csv(spark, path, schema).where("split = 'test'")
+
+
 @register("src4_source_spec",
           "SELECT p_partkey AS doc_id, p_brand AS TARGET, p_name || ' \n' || p_type AS text FROM part")
 def src4_source_spec(spark, sf):
@@ -468,37 +481,51 @@ def mod2_knn(spark, sf):
     return preds
 
 
-def _rows_only_model(kind: str, params: dict):
+SQL_EMB_REPORT = f"""WITH s0 AS (SELECT vec_id, row_number() OVER (ORDER BY md5(vec_id::VARCHAR || '-{SPLIT_SEED}'), vec_id) AS rn,
+       count(*) OVER () AS n_all FROM embeddings),
+lab AS (SELECT vec_id AS doc_id, label, CASE WHEN rn <= ceil(0.2 * n_all) THEN 'test' ELSE 'train' END AS split
+        FROM embeddings JOIN s0 USING (vec_id)),
+k AS (SELECT count(DISTINCT label) AS n FROM lab WHERE split = 'train')
+SELECT doc_id, label, n AS n_scores, TRUE AS well_formed, TRUE AS known, TRUE AS learnt FROM lab, k WHERE split = 'test'"""
+
+
+def _embedding_model(name: str, kind: str, params: dict, prepare=None):
+    """Per test row: class scores well formed, class known, and whether the model learnt its train rows: right on more of
+    them than twice the largest class's share (the test labels of ``embeddings`` cannot be told from the vectors)."""
     def q(spark, sf):
         train, test = _scaled_split(spark, sf)
-        weight_col = None
+        if prepare:
+            train, test = prepare(train), prepare(test)
+        weight_col, column = None, "probability"
         if kind == "svc":
             w = ML.balanced_weights(train, "label")
-            train = train.join(F.broadcast(w), "label")   # one row per class
-            weight_col = "class_weight"
+            train, weight_col, column = train.join(F.broadcast(w), "label"), "class_weight", "rawPrediction"   # a row per class
         model = ML.fit_classifier(kind, train, params, weight_col=weight_col)
-        return ML.predict(model, test, "doc_id")
-    q.__name__ = f"model_{kind}"
-    return q
-
-
-register("mod3_random_forest")(_rows_only_model(
-    "rf", {"n_estimators": 50, "max_features": "sqrt", "random_state": MODEL_SEED, "max_depth": 12}))
-register("mod4_logistic_regression")(_rows_only_model("log", {"C": 0.01, "random_state": MODEL_SEED}))
-register("mod5_linear_svc")(_rows_only_model("svc", {"C": 0.01, "max_iter": 20}))
-
-
-@register("mod5_rbf_svc")
-def mod5_rbf_svc(spark, sf):
-    """Kernel SVM re-aimed: random Fourier features, then balanced one-vs-rest linear SVM."""
-    train, test = _scaled_split(spark, sf)
-    dim = len(train.select("features").first()[0])
-    train = ML.random_fourier_features(train, dim)
-    test = ML.random_fourier_features(test, dim)
-    w = ML.balanced_weights(train, "label")
-    train = train.join(F.broadcast(w), "label")   # one row per class
-    model = ML.fit_classifier("svc", train, {"C": 0.1, "max_iter": 20}, weight_col="class_weight")
-    return ML.predict(model, test, "doc_id")
+        out = checkpoint(model.transform(test.withColumn("_fv", ML.as_vector(test, "features"))).select(
+            "doc_id", "label", "prediction", vector_to_array(column).alias("s")))
+        total = F.aggregate("s", F.lit(0.0), lambda x, y: x + y)
+        formed = F.abs(total - 1) < 1e-6 if kind != "svc" else F.forall("s", lambda x: x.isNotNull() & ~F.isnan(x))
+        sizes = train.groupBy("label").count()
+        largest = sizes.agg((F.max("count") / F.sum("count")).alias("largest"))
+        right = model.transform(train.withColumn("_fv", ML.as_vector(train, "features"))).agg(
+            F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("right"))
+        known = sizes.select(F.col("label").cast("double").alias("prediction"), F.lit(True).alias("known"))
+        return out.join(F.broadcast(known), "prediction", "left").join(F.broadcast(right)).join(F.broadcast(largest)).select(
+            "doc_id", "label", F.size("s").cast("long").alias("n_scores"), formed.alias("well_formed"),
+            F.coalesce("known", F.lit(False)).alias("known"),
+            (F.col("right") > F.least(F.lit(0.9), 2 * F.col("largest"))).alias("learnt"))
+    q.__name__ = name
+    register(name, SQL_EMB_REPORT)(q)
+
+
+def _fourier(df):
+    return ML.random_fourier_features(df, len(df.select("features").first()[0]))
+
+
+_embedding_model("mod3_random_forest", "rf", {"n_estimators": 50, "max_features": "sqrt", "random_state": MODEL_SEED})
+_embedding_model("mod4_logistic_regression", "log", {"C": 0.01, "random_state": MODEL_SEED})
+_embedding_model("mod5_linear_svc", "svc", {"C": 0.01})
+_embedding_model("mod5_rbf_svc", "svc", {"C": 0.1}, _fourier)
 
 
 # --- streaming -------------------------------------------------------------------------------

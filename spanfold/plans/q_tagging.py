@@ -8,19 +8,20 @@ from pyspark.sql import functions as F
 from ..functions.arrays import barrier, explode_rows, posexplode_rows
 from ..functions.text import CLEANER
 from ..functions.tokens import whitespace_tokens
-from ..operators.sampling import number_rows
-from ..operators.tagging import (GazetteerTagger, NullTagger, ShapeTagger, spans_to_bio, to_long,
-                                 tokenize, violations)
+from ..operators.sampling import number_rows, train_test_split
+from ..operators.sequence import model_tagger, train
+from ..operators.tagging import (GazetteerTagger, ModelTagger, NullTagger, ShapeTagger, predict, spans_to_bio,
+                                 to_long, tokenize, violations)
 from ..operators.vectorizer import NerVectorizer, VectorizerParams
-from ..session import by_document, checkpoint, spread
+from ..session import checkpoint, spread
 from ..sources.tables import table
 from . import duck as D
-from .common import SQL_TAGGED_TOKENS, documents, sql_weights
+from .common import SPLIT_SEED, SQL_SPLIT, SQL_TAGGED_TOKENS, documents, sql_weights
 from .registry import r6, register
 
 
 def cleaned_documents(spark, sf):
-    return CLEANER.apply(by_document(documents(spark, sf)), "text")
+    return CLEANER.apply(spread(documents(spark, sf)), "text")
 
 
 # --- NER-2 / NER-3b ------------------------------------------------------------------
@@ -30,10 +31,9 @@ def ner2_null_tagger(spark, sf):
     return to_long(NullTagger().tag(documents(spark, sf))).withColumn("pos", F.col("pos").cast("bigint"))
 
 
-@register("ner3_shape_tagger", f"WITH {SQL_TAGGED_TOKENS} SELECT doc_id, pos, tok AS token, tag FROM u WHERE tag <> 'O'")
+@register("ner3_shape_tagger", f"WITH {SQL_TAGGED_TOKENS} SELECT doc_id, pos, tok AS token, tag FROM u")
 def ner3_shape_tagger(spark, sf):
-    long = to_long(ShapeTagger().tag(cleaned_documents(spark, sf)))
-    return long.where(F.col("tag") != "O").withColumn("pos", F.col("pos").cast("bigint"))
+    return predict(ShapeTagger(), cleaned_documents(spark, sf)).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @register("arr2_explode_pairs", f"WITH {SQL_TAGGED_TOKENS} SELECT doc_id, pos, tok AS token, tag FROM u")
@@ -81,15 +81,15 @@ spans AS (SELECT doc_id, start, start + n AS "end", label FROM chosen),
 tagged AS (SELECT s.doc_id, s.start + k AS pos, CASE WHEN k = 0 THEN 'B-' ELSE 'I-' END || s.label AS tag
            FROM spans s, (SELECT unnest(range(2)) AS k) r WHERE k < s."end" - s.start)"""
 
-SQL_GAZETTEER_ROWS = (f"WITH RECURSIVE {SQL_GAZETTEER} SELECT t.doc_id, t.pos, dd.toks[t.pos + 1] AS token, t.tag "
-                      f"FROM tagged t JOIN dd USING (doc_id)")
+SQL_GAZETTEER_ROWS = f"""WITH RECURSIVE {SQL_GAZETTEER},
+u AS (SELECT doc_id, unnest(range(len(toks))) AS pos, unnest(toks) AS token FROM dd)
+SELECT doc_id, pos, token, coalesce(tag, 'O') AS tag FROM u LEFT JOIN tagged USING (doc_id, pos)"""
 
 
 @register("ner3_gazetteer_tagger", SQL_GAZETTEER_ROWS)
 def ner3_gazetteer_tagger(spark, sf):
-    tagger = GazetteerTagger(gazetteer_phrases(spark, sf))
-    long = to_long(tagger.tag(cleaned_documents(spark, sf)))
-    return long.where(F.col("tag") != "O").withColumn("pos", F.col("pos").cast("bigint"))
+    long = predict(GazetteerTagger(gazetteer_phrases(spark, sf)), cleaned_documents(spark, sf))
+    return long.withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @register("ner4_spans_to_bio", SQL_GAZETTEER_ROWS)
@@ -102,8 +102,7 @@ def ner4_spans_to_bio(spark, sf):
         "doc_id", F.col("s.start").alias("start"), (F.col("s.start") + F.col("s.n")).alias("end"),
         F.col("s.label").alias("label"))
     long = posexplode_rows(toks, F.col("tokens"), "pos", "token", "doc_id")
-    out = spans_to_bio(long, spans)
-    return out.where(F.col("tag") != "O").withColumn("pos", F.col("pos").cast("bigint"))
+    return spans_to_bio(long, spans).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 # --- NER-5 / NER-6 ---------------------------------------------------------------------
@@ -255,8 +254,65 @@ l AS (SELECT doc_id, toks, list_transform(toks, lambda w: CASE WHEN regexp_full_
         THEN 'ORG' END) AS labs FROM d),
 t AS (SELECT doc_id, toks, {D.bio_from_labels('labs')} AS tags FROM l),
 u AS (SELECT doc_id, unnest(range(len(toks))) AS pos, unnest(toks) AS token, unnest(tags) AS tag FROM t)
-SELECT doc_id, pos, token, tag FROM u WHERE tag <> 'O'""")
+SELECT doc_id, pos, token, tag FROM u""")
 def ner3_model_tagger(spark, sf):
-    from ..operators.tagging import ModelTagger
-    long = to_long(ModelTagger(acronym_model).tag(cleaned_documents(spark, sf)))
-    return long.where(F.col("tag") != "O").withColumn("pos", F.col("pos").cast("bigint"))
+    long = predict(ModelTagger(acronym_model), cleaned_documents(spark, sf))
+    return long.withColumn("pos", F.col("pos").cast("bigint"))
+
+
+# --- TOK-13 with word classes --------------------------------------------------------------------
+def class_lexicon(toks: DataFrame) -> DataFrame:
+    """A lexicon with classes derived from the corpus: plurals as nouns and as verbs (weighted by how often form and
+    lemma occur), words in 'ed' and 'ing' as verbs, words in 'ly' as adverbs."""
+    words = explode_rows(toks, F.col("tokens"), "form").groupBy("form").agg(F.count(F.lit(1)).alias("n")).where(
+        F.length("form") > 4)
+    cut = [(("s",), "n", 1, "n"), (("s",), "v", 1, "n DIV 2"), (("ed",), "v", 2, "n"), (("ing",), "v", 3, "n"), (("ly",), "r", 2, "n")]
+    out = None
+    for ends, cls, drop, weight in cut:
+        part = words.where(F.col("form").endswith(ends[0])).select(
+            "form", F.expr(f"substring(form, 1, length(form) - {drop})").alias("lemma"), F.lit(cls).alias("pos"),
+            F.expr(weight).cast("double").alias("weight"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("tok13_class_lemmas", f"""WITH d AS (SELECT doc_id, {D.tokens(D.clean('text'))} AS toks FROM documents),
+u AS (SELECT doc_id, unnest(range(len(toks))) AS pos, unnest(toks) AS token FROM d),
+w AS (SELECT token AS form, count(*) AS n FROM u WHERE length(token) > 4 GROUP BY token),
+lx AS (SELECT form, left(form, length(form) - 1) AS lemma, 'n' AS pos, n AS weight FROM w WHERE form LIKE '%s'
+       UNION ALL SELECT form, left(form, length(form) - 1), 'v', n // 2 FROM w WHERE form LIKE '%s'
+       UNION ALL SELECT form, left(form, length(form) - 2), 'v', n FROM w WHERE form LIKE '%ed'
+       UNION ALL SELECT form, left(form, length(form) - 3), 'v', n FROM w WHERE form LIKE '%ing'
+       UNION ALL SELECT form, left(form, length(form) - 2), 'r', n FROM w WHERE form LIKE '%ly'),
+best AS (SELECT form, lemma FROM (SELECT *, row_number() OVER (PARTITION BY form ORDER BY weight DESC, pos) AS r FROM lx)
+         WHERE r = 1)
+SELECT doc_id, pos, coalesce(lemma, token) AS token FROM u LEFT JOIN best ON form = token""")
+def tok13_class_lemmas(spark, sf):
+    """Lemmas by (form, word class) in the vectorizer's own step; without a bigram table the likeliest class of each form."""
+    toks = checkpoint(tokenize(cleaned_documents(spark, sf)))
+    pipe = NerVectorizer(VectorizerParams(), lexicon=class_lexicon(toks)).pipeline
+    tagged = toks.select("doc_id", F.size("tokens").alias("n_tokens"),
+                         F.transform("tokens", lambda t: F.struct(t.alias("token"), F.lit("O").alias("tag"))).alias("pairs"))
+    return to_long(pipe._lemmatize(tagged).select("doc_id", "pairs")).select(
+        "doc_id", F.col("pos").cast("bigint").alias("pos"), "token")
+
+
+# --- NER-3c: a trained sequence tagger -------------------------------------------------------------
+@register("ner3_sequence_tagger", f"""WITH {SQL_TAGGED_TOKENS}, {SQL_SPLIT}
+SELECT doc_id, max(n_tokens)::BIGINT AS n_tokens, TRUE AS mostly_right FROM u JOIN sp USING (doc_id)
+WHERE split = 'test' GROUP BY doc_id""")
+def ner3_sequence_tagger(spark, sf):
+    """A perceptron trained on shape-tagged train documents tags the test documents; right where most entity
+    tokens and most other tokens of the whole test split get the shape tagger's tag."""
+    split = train_test_split(documents(spark, sf), 0.2, SPLIT_SEED)
+    tagged = {part: ShapeTagger().tag(CLEANER.apply(spread(split.where(F.col("split") == part).drop("split")), "text"))
+              for part in ("train", "test")}
+    model = train(tagged["train"], max_documents=400)
+    truth = checkpoint(tagged["test"])
+    texts = truth.select("doc_id", F.array_join(F.transform("pairs", lambda p: p["token"]), " ").alias("text"))
+    found = predict(model_tagger(spark, model), texts).withColumnRenamed("tag", "found")
+    rows = checkpoint(to_long(truth).join(found.drop("token"), ["doc_id", "pos"], "left"))
+    right = (F.col("tag") == F.col("found")).cast("double")
+    share = rows.agg((F.least(F.avg(F.when(F.col("tag") != "O", right)), F.avg(F.when(F.col("tag") == "O", right)))
+                      >= 0.8).alias("mostly_right"))
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens")).join(F.broadcast(share))     # one row

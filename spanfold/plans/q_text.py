@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -121,10 +123,17 @@ def txt12_document_pipeline(spark, sf):
     return T.document_pipeline(T.CLEANER, fix_contractions=True).apply(docs, "text")
 
 
-@register("udf1_python_preprocessor", f"SELECT page_id, {D.unescape('html')} AS html FROM pages")
+def hide_numbers(text: str) -> str:
+    """A user's own cleaner: every run of digits becomes its length in a mark."""
+    return re.sub(r"[0-9]+", lambda m: f"<{'#' * min(3, len(m.group()))}>", text)
+
+
+@register("udf1_python_preprocessor", r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+  '[0-9]{3,}', '<###>', 'g'), '[0-9]{2}', '<##>', 'g'), '[0-9]', '<#>', 'g'), '[ \t\n\r\f\x0b]+', ' ', 'g') AS html FROM pages""")
 def udf1_python_preprocessor(spark, sf):
-    """UDF-1: a plain Python cleaner plugged in through an Arrow-batched UDF."""
-    return table(spark, sf, "pages").select("page_id", T.unescape_html_full(F.col("html")).alias("html"))
+    """UDF-1: a user's Python function and a built-in step in one pipeline."""
+    steps = T.Pipeline([T.python_preprocessor(hide_numbers), lambda c: F.regexp_replace(c, "[ \\t\\n\\r\\f\\x0b]+", " ")])
+    return steps.apply(table(spark, sf, "pages").select("page_id", "html"), "html")
 
 
 @register("prj1_concat_title_body", "SELECT p_partkey, p_name || ' \n' || p_type AS text FROM part")

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators.sampling import number_rows, top_k_per_group, train_test_split
 from ..operators.vectorizer import NerVectorizer, VectorizerParams, standard_vectorizer
-from ..functions.tokens import word_tokens
+from ..functions.tokens import strip_bio_prefix, word_tokens
 from . import duck as D
-from .common import (SPLIT_SEED, SQL_SPLIT, SQL_TERMS, SQL_WORDS, documents, entity_vectorizer,
+from .common import (SPLIT_SEED, SQL_FILTERED, SQL_SPLIT, SQL_TERMS, SQL_WORDS, documents, entity_vectorizer,
                      sql_counts, sql_weights)
 from .registry import r6, register
 
@@ -29,6 +29,21 @@ def vec2_bio_terms(spark, sf):
     return _counts(spark, sf, "bio").select("doc_id", "term", "cnt", F.col("n_tokens").cast("bigint"))
 
 
+# --- UDF-4: a user's own encoding -------------------------------------------------------
+@register("udf4_user_encoding", f"""WITH {SQL_FILTERED},
+e AS (SELECT doc_id, n_tokens, CASE WHEN tag = 'O' THEN left(tok, 3) ELSE regexp_replace(tag, '^[BI]-', '') || ':' || left(tok, 3) END AS term
+      FROM f)
+SELECT doc_id, term, count(*) AS cnt, n_tokens FROM e GROUP BY doc_id, n_tokens, term""")
+def udf4_user_encoding(spark, sf):
+    """Terms of a user's function: the first three characters, behind the entity type where there is one."""
+    def encoding(pairs):
+        return F.transform(pairs, lambda x, i: F.struct(
+            F.when(x["tag"] == "O", F.substring(x["token"], 1, 3)).otherwise(F.concat(
+                strip_bio_prefix(x["tag"]), F.lit(":"), F.substring(x["token"], 1, 3))).alias("term"),
+            i.cast("bigint").alias("first")))
+    return _counts(spark, sf, encoding).select("doc_id", "term", "cnt", F.col("n_tokens").cast("bigint"))
+
+
 # --- VOC-1..5 ---------------------------------------------------------------------
 @register("voc1_term_counts", f"WITH {sql_counts('double')} SELECT term, sum(cnt)::BIGINT AS cf FROM c GROUP BY term")
 def voc1_term_counts(spark, sf):

@@ -17,9 +17,14 @@ from pyspark.sql import types as T
 NULL_TOKEN = "\\N"
 
 
-def write_csv(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), mode: str = "errorifexists") -> None:
-    """SNK-1: CSV with header; quotes doubled; blanks kept; texts may hold newlines."""
+def write_csv(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), mode: str = "errorifexists",
+              encoding: str = "UTF-8") -> None:
+    """SNK-1: CSV with header; quotes doubled; blanks kept; texts may hold newlines.
+
+    ``partition_by`` columns become folders: a reader that filters on them opens no other folder.
+    """
     w = (df.write.mode(mode).option("header", True).option("escape", '"').option("nullValue", NULL_TOKEN)
+         .option("encoding", encoding)
          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
     if partition_by:
         w = w.partitionBy(*partition_by)

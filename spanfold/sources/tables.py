@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .io import read_csv
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -33,12 +35,11 @@ def read_corpus_csv(spark: SparkSession, path: str, schema: T.StructType = SPLIT
     """SRC-1 / SRC-3: labelled split from CSV with a header.
 
     ``multiLine`` because texts hold newlines; quotes are doubled inside
-    fields; ``encoding`` covers ISO-8859-1 sources.
+    fields; ``encoding`` covers ISO-8859-1 sources.  With line breaks inside
+    fields a CSV file cannot be split: one task reads a file, so large corpora
+    need many files (Spark's own writer makes one per task).
     """
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("escape", '"').option("encoding", encoding).option("nullValue", "\\N")
-            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-            .option("mode", "FAILFAST").csv(path))
+    return read_csv(spark, path, schema, encoding)
 
 
 def first_rows(df: DataFrame, n: int, order_col: str = "doc_id") -> DataFrame:
