@@ -236,10 +236,13 @@ class ModelTagger:
 
         out = docs.select("doc_id", F.col(text_col).alias("text")).mapInPandas(
             run, "doc_id bigint, text string, spans array<struct<start:int,n:int,label:string>>")
-        toks = whitespace_tokens(F.col("text"))
-        tags = F.when(spans_fit(F.size(toks), F.col("spans")), bio_from_spans(F.size(toks), F.col("spans"))).otherwise(
+        # tokens and their number are columns before the spans are checked: the check reads them for every span
+        rows = barrier(out.select("doc_id", "spans", whitespace_tokens(F.col("text")).alias("tokens")), "tokens")
+        rows = barrier(rows.withColumn("n_tokens", F.size("tokens")), "n_tokens")
+        n, spans = F.col("n_tokens"), F.col("spans")
+        tags = F.when(spans_fit(n, spans), bio_from_spans(n, spans)).otherwise(
             F.raise_error(F.lit("the model's spans overlap or leave the document's tokens")).cast("array<string>"))
-        return out.select("doc_id", pairs_of(toks, tags).alias("pairs"))
+        return rows.select("doc_id", pairs_of(F.col("tokens"), tags).alias("pairs"))
 
 
 # --- NER-1 / ARR-1 / ARR-2 ----------------------------------------------------------
