@@ -4,8 +4,11 @@ N(g) counts the open sequences with g tokens of room.  A piece goes where the
 sum of N(g)^2 comes out smallest: into an open sequence with enough room or into
 a new one (ties: the smallest room).  Documents longer than a sequence are cut
 into full pieces and a last, shorter one.  Each task packs the documents it
-reads; what is still open at its end is merged, fullest first, into the
-tightest room.  A task holds the open sequences' piece rows only, never ids.
+reads; what is still open at its end is dissolved and packed again, largest
+piece first, into the tightest room.  Pieces of sequences that still leave room
+go to a second round, which packs those of many tasks in the same way.  A task
+holds piece rows only, never ids: those of its open sequences, or about
+``ROUND_PIECES`` in the second round.
 
 Cases: null or empty text is the end id alone; repeated rows are packed each;
 an empty table gives no rows.
@@ -23,10 +26,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .common import ID, TEXT, default_tokenizer, slices
 from .word_ids import WordIds
 
 
+#: Pieces that a task of the second round packs, about.
+ROUND_PIECES = 100_000
+
+
 class SumOfSquares:
     """Open sequences by room; ``place`` returns sequences that are full."""
 
@@ -61,27 +69,34 @@ class SumOfSquares:
         count[left] += 1
         return None
 
-    def close(self) -> Iterator[list]:
-        """The remaining sequences, merged best fit, fullest first."""
-        rooms: list[int] = []
-        held: dict[int, list[list]] = {}
-        for room in range(1, self.capacity):
-            for seq in self.open[room]:
-                size = self.capacity - room
-                k = bisect_left(rooms, size)
-                if k < len(rooms):
-                    old = rooms.pop(k)
-                    seq = held[old].pop() + seq
-                    left = old - size
-                else:
-                    left = room
-                if left:
-                    insort(rooms, left)
-                    held.setdefault(left, []).append(seq)
-                else:
-                    yield seq
-        for room in sorted(set(rooms)):
-            yield from held[room]
+    def close(self) -> list[tuple]:
+        """The (item, size) of all sequences still open, which are dissolved."""
+        left = [x for seqs in self.open for seq in seqs for x in seq]
+        self.__init__(self.capacity)
+        return left
+
+
+def largest_first(items: list[tuple], capacity: int) -> Iterator[tuple[list, int]]:
+    """(sequence, room) of (item, size) packed largest first, each into the tightest sequence with room."""
+    rooms: list[int] = []                            # ascending, one for each open sequence
+    held: dict[int, list[list]] = {}
+    for item in sorted(items, key=lambda x: -x[1]):
+        size = item[1]
+        k = bisect_left(rooms, size)
+        if k < len(rooms):
+            old = rooms.pop(k)
+            seq = held[old].pop()
+        else:
+            old, seq = capacity, []
+        seq.append(item)
+        if old == size:
+            yield seq, 0
+        else:
+            insort(rooms, old - size)
+            held.setdefault(old - size, []).append(seq)
+    for room, seqs in held.items():
+        for seq in seqs:
+            yield seq, room
 
 
 def pack(docs: DataFrame, length: int = 2048, end_id: int = 0, tokenizer: str | None = None) -> DataFrame:
@@ -90,43 +105,65 @@ def pack(docs: DataFrame, length: int = 2048, end_id: int = 0, tokenizer: str |
     kind = docs.schema[ID].dataType.simpleString()
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
+    def batch(rows: list[tuple], doc_type: pa.DataType) -> pa.RecordBatch:
+        cols = list(zip(*rows))
+        rows.clear()
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], doc_type), *(pa.array(c, pa.int64()) for c in cols[1:])], names)
+
+    def placed(rows: list[tuple], seq: list, number: int) -> None:
+        offset = 0
+        for item, size in seq:
+            rows.append((*item, number, offset))
+            offset += size
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, packer = WordIds.shared(path), SumOfSquares(length)
-        task, made = TaskContext.get().partitionId(), 0
-        rows: list[tuple] = []
-
-        def emit(seq: list) -> None:
-            nonlocal made
-            offset, number = 0, (task << 40) + made
-            made += 1
-            for item, size in seq:
-                rows.append((*item, number, offset))
-                offset += size
-
-        def flush() -> pa.RecordBatch:
-            cols = list(zip(*rows))
-            rows.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], doc_type), *(pa.array(c, pa.int64()) for c in cols[1:])], names)
-
-        doc_type = None
+        number, rows, doc_type = TaskContext.get().partitionId() << 40, [], None
         for part, texts in slices(batches):
             doc_type = part.schema.field("doc_id").type
-            for doc, ids in zip(part.column("doc_id").to_pylist(), words.encode(texts)):
-                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                for piece, start in enumerate(range(0, len(ids), length)):
-                    cut = ids[start:start + length]
-                    full = packer.place(len(cut), (doc, piece, start, len(cut), zlib.crc32(cut)))
+            ids, sizes = words.encode_flat(texts, end_id)
+            ids, at = ids.astype("<u4", copy=False), 0
+            for doc, size in zip(part.column("doc_id").to_pylist(), sizes.tolist()):
+                for piece, start in enumerate(range(0, size, length)):
+                    n = min(length, size - start)
+                    full = packer.place(n, (doc, piece, start, n, zlib.crc32(ids[at + start:at + start + n])))
                     if full:
-                        emit(full)
+                        placed(rows, full, number)
+                        number += 1
+                at += size
             if len(rows) > 5000:
-                yield flush()
-        for seq in packer.close():
-            emit(seq)
+                yield batch(rows, doc_type)
+        # the open sequences' pieces, largest first; those that still leave room go to the second round
+        open_row = 0
+        for seq, room in largest_first(packer.close(), length):
+            if room <= length // 1024:
+                placed(rows, seq, number)
+                number += 1
+            else:
+                for item, _ in seq:
+                    rows.append((*item, None, (number & ~((1 << 40) - 1)) + open_row))
+                    open_row += 1
         if rows:
-            yield flush()
-
-    schema = f"doc_id {kind}, " + ", ".join(f"{n} long" if n != "piece" else "piece int" for n in names[1:])
-    rows = docs.select(F.col(ID).alias("doc_id"), F.col(TEXT).alias("text"))
-    schema = schema.replace("piece int", "piece long")
-    return rows.mapInArrow(run, schema).withColumn("piece", F.col("piece").cast("int"))
+            yield batch(rows, doc_type)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, doc_type = [], None
+        for b in batches:
+            doc_type = b.schema.field("doc_id").type
+            items += [(r[:5], r[3]) for r in zip(*(b.column(c).to_pylist() for c in names[:5]))]
+        rows, number = [], -1 - (TaskContext.get().partitionId() << 40)
+        for seq, _ in largest_first(items, length):
+            placed(rows, seq, number)
+            number -= 1
+        if rows:
+            yield batch(rows, doc_type)
+
+    schema = f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names[1:])
+    spark, out = docs.sparkSession, scratch_path(docs.sparkSession, "packed-pieces")
+    docs.select(F.col(ID).alias("doc_id"), F.col(TEXT).alias("text")).mapInArrow(run, schema).write.parquet(out)
+    rows = spark.read.schema(schema).parquet(out)
+    rest = rows.where("sequence_id IS NULL")
+    # offset numbers the pieces handed over: they are dealt evenly, whatever their ids
+    groups = max(1, -(-rest.count() // ROUND_PIECES))
+    second = rest.repartition(groups, F.xxhash64("offset")).mapInArrow(again, schema)
+    return rows.where("sequence_id IS NOT NULL").unionByName(second).withColumn("piece", F.col("piece").cast("int"))

@@ -43,14 +43,13 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 1, tokenizer: str | N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part_no, start = WordIds.shared(file), TaskContext.get().partitionId(), 0
         for part, texts in slices(batches):
-            found = [np.append(x, np.uint32(end_id)) for x in words.encode(texts)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            ids, sizes = words.encode_flat(texts, end_id)
             ends = np.cumsum(sizes)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(found), part_no, np.int32)), part.column("doc_id"),
+                [pa.array(np.full(len(sizes), part_no, np.int32)), part.column("doc_id"),
                  pa.array(start + ends - sizes), pa.array(sizes),
                  pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)),
-                                          pa.array(np.concatenate(found).astype(np.int32)))],
+                                          pa.array(ids.view(np.int32)))],
                 ["part", "doc_id", "start_in_part", "n_tokens", "tokens"])
             start += int(ends[-1])
 

@@ -13,6 +13,7 @@ joins the marks behind it.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from itertools import chain
 
@@ -26,13 +27,21 @@ MARKS = b".,!?;:"
 _OLD = unicodedata.ucd_3_2_0
 
 
+def _letters(norm: str) -> bool:
+    norm = "".join(c.lower() for c in unicodedata.normalize("NFC", norm))
+    return norm.isalpha() and all(_OLD.category(c)[0] == "L" for c in norm)
+
+
+#: Latin, Greek and Cyrillic letters that stay letters one by one (nothing among them composes).
+_PLAIN = re.compile("[a-zA-Z" + "".join(re.escape(c) for c in map(chr, range(0x80, 0x530)) if _letters(c)) + "]+")
+
+
 def letters_only(stem: bytes) -> bool:
     """Whether the normalizer's form of the stem is all letters, whatever Unicode version the library knows."""
     if stem.isascii():
         return stem.isalpha()
-    norm = unicodedata.normalize("NFC", stem.decode("utf-8", "surrogatepass"))
-    norm = "".join(c.lower() for c in norm)
-    return norm.isalpha() and all(_OLD.category(c)[0] == "L" for c in norm)
+    text = stem.decode("utf-8", "surrogatepass")
+    return bool(_PLAIN.fullmatch(text)) or _letters(text)
 
 
 class WordIds:
@@ -119,6 +128,12 @@ class WordIds:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of every whole text (null: none), as 32-bit integers."""
+        ids, sizes = self.encode_flat(texts)
+        ends = np.cumsum(sizes).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+
+    def encode_flat(self, texts: list[str | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, ids of each text), with ``end_id`` behind each text where given."""
         if len(self.at) > MAX_WORDS or self.n_ids > MAX_IDS:
             self._reset()
         split = []
@@ -131,8 +146,13 @@ class WordIds:
         new = set().union(*split).difference(self.at) if split else set()
         if new:
             self._learn(new)
+        if end_id is not None:                       # the end id is a word of its own, which no text can hold
+            end = b" %d" % end_id
+            if end not in self.at:
+                self._keep([end], np.array([end_id], np.uint32), np.ones(1, np.int64))
+            for words in split:
+                words.append(end)
         counts = np.fromiter(map(len, split), np.int64, len(split))
         k = np.fromiter(map(self.at.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
         ids, sizes = self._ids_of(k)
-        ends = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(counts)))].tolist()
-        return [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
+        return ids, np.diff(np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(counts)))])

@@ -242,11 +242,19 @@ def test_packing_by_definition(spark):
             assert offset == at
             at += size
         assert at <= 2048
-    tasks = {s >> 40 for s in seqs}
-    assert len(seqs) <= -(-sum(w[3] for w in want) // 2048) * 1.03 + len(tasks)
+    assert len(seqs) <= -(-sum(w[3] for w in want) // 2048) * 1.005 + 1
     assert sum_of_squares.pack(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_largest_first_fills_the_tightest_room():
+    rng = random.Random(3)
+    items = [(k, rng.randrange(1, 200)) for k in range(3000)]
+    out = list(sum_of_squares.largest_first(items, 256))
+    assert sorted(i for seq, _ in out for i in seq) == items
+    assert all(sum(s for _, s in seq) == 256 - room for seq, room in out)
+    assert len(out) <= -(-sum(s for _, s in items) // 256) * 1.005 + 1
+
+
 def test_rule_chooses_the_smallest_sum_of_squares():
     rng = random.Random(9)
     packer = sum_of_squares.SumOfSquares(12)
