@@ -119,9 +119,9 @@ def pack(docs: DataFrame, length: int = 2048, end_id: int = 0, tokenizer: str |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, packer = WordIds.shared(path), SumOfSquares(length)
         number, rows, doc_type = TaskContext.get().partitionId() << 40, [], None
-        for part, texts in slices(batches):
+        for part, _ in slices(batches):
             doc_type = part.schema.field("doc_id").type
-            ids, sizes = words.encode_flat(texts, end_id)
+            ids, sizes = words.encode_column(part.column("text"), end_id)
             ids, at = ids.astype("<u4", copy=False), 0
             for doc, size in zip(part.column("doc_id").to_pylist(), sizes.tolist()):
                 for piece, start in enumerate(range(0, size, length)):

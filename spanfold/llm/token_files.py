@@ -42,8 +42,8 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 1, tokenizer: str | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part_no, start = WordIds.shared(file), TaskContext.get().partitionId(), 0
-        for part, texts in slices(batches):
-            ids, sizes = words.encode_flat(texts, end_id)
+        for part, _ in slices(batches):
+            ids, sizes = words.encode_column(part.column("text"), end_id)
             ends = np.cumsum(sizes)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(sizes), part_no, np.int32)), part.column("doc_id"),

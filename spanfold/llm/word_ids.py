@@ -2,8 +2,8 @@
 
 The tokenizer's normalizer and pre-tokenizer never look across white space, so
 the ids of a text are those of its white-space separated words in a row.  A
-worker keeps the ids of the words it has met (bounded; it starts anew beyond
-the bound) and asks the library only for new ones.  New words of letters are
+worker keeps the ids of the words it has met (bounded; beyond the bound it
+starts anew with those met more than once) and asks the library only for new ones.  New words of letters are
 sent many at a time, in a line: each ends with exactly one word-end token.  A
 word of letters before closing marks has the ids of both (a change from
 letters to marks starts a new pre-token) where its letters are still letters
@@ -15,9 +15,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import load_tokenizer, worker_cache
 
@@ -63,6 +65,15 @@ class WordIds:
         self.ids = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 14, np.int64)      # ends[k]: end of word k's ids
         self.n_ids = 0
+        self.met = np.zeros(1 << 16, np.int64)       # how often each word was met
+
+    def _thin(self) -> None:
+        """Starts anew with the words met more than once (with none if these are too many, too)."""
+        words, often = list(self.at), np.flatnonzero(self.met > 1)
+        ids, sizes = self._ids_of(often)
+        self._reset()
+        if len(often) <= MAX_WORDS // 2 and len(ids) <= MAX_IDS // 2:
+            self._keep([words[i] for i in often.tolist()], ids, np.cumsum(sizes))
 
     def _keep(self, words: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
         first = len(self.at)
@@ -134,25 +145,47 @@ class WordIds:
 
     def encode_flat(self, texts: list[str | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, ids of each text), with ``end_id`` behind each text where given."""
+        return self.encode_column(pa.array(texts, pa.string()), end_id)
+
+    def encode_column(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """``encode_flat`` of an Arrow column: it is split and its distinct words are found in Arrow."""
         if len(self.at) > MAX_WORDS or self.n_ids > MAX_IDS:
-            self._reset()
-        split = []
-        for t in texts:
-            raw = t.encode("utf-8", "surrogatepass") if t else b""
-            # the normalizer lower-cases all but special tokens, and composes first: A-Z stay as they are
-            # where a mark of U+0300 to U+037F (lead bytes CC, CD) may compose with them
-            whole = b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw
-            split.append((raw if whole else raw.lower()).split())
-        new = set().union(*split).difference(self.at) if split else set()
+            self._thin()
+        texts = pc.fill_null(texts, "")
+        # the normalizer lower-cases all but special tokens, and composes first: A-Z stay as they are
+        # where a mark of U+0300 to U+037F (lead bytes CC, CD) may compose with them
+        raw = texts.cast(pa.binary())
+        whole = pc.match_substring(raw, b"<|")
+        for lead in (b"\xcc", b"\xcd"):
+            whole = pc.or_(whole, pc.match_substring(raw, lead))
+        lists = pc.ascii_split_whitespace(pc.if_else(whole, texts, pc.ascii_lower(texts)))
+        counts = lists.value_lengths().to_numpy().astype(np.int64)
+        found = lists.flatten().dictionary_encode()
+        words = found.dictionary.cast(pa.binary()).to_pylist()
+        if b"" not in self.at:                       # white space at a text's ends gives empty words: no ids
+            self._keep([b""], np.zeros(0, np.uint32), np.zeros(1, np.int64))
+        at = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(at < 0).tolist()
         if new:
-            self._learn(new)
+            fresh = [words[i] for i in new]
+            self._learn(set(fresh))
+            at[new] = np.fromiter(map(self.at.__getitem__, fresh), np.int64, len(fresh))
+        place = found.indices.to_numpy()
+        if len(at):
+            times = np.bincount(place, minlength=len(at))
+            if len(self.at) > len(self.met):
+                self.met = np.concatenate((self.met, np.zeros(len(self.at), np.int64)))
+            self.met[at] += times
+        k = at[place]
         if end_id is not None:                       # the end id is a word of its own, which no text can hold
             end = b" %d" % end_id
             if end not in self.at:
                 self._keep([end], np.array([end_id], np.uint32), np.ones(1, np.int64))
-            for words in split:
-                words.append(end)
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        k = np.fromiter(map(self.at.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+            counts = counts + 1
+            with_ends = np.full(int(counts.sum()), self.at[end], np.int64)
+            inside = np.ones(len(with_ends), bool)
+            inside[np.cumsum(counts) - 1] = False
+            with_ends[inside] = k
+            k = with_ends
         ids, sizes = self._ids_of(k)
         return ids, np.diff(np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(counts)))])
