@@ -2,11 +2,11 @@
 
 A rolling hash over the last 16 bytes cuts every text where its low bits are
 zero, so a passage that several documents share is cut alike in each.  A chunk
-met before is not encoded again (a worker's cache, bounded by bytes; it starts
-anew beyond the bound).  The ids at a join of two chunks are then repaired: the
+met before is not encoded again (a worker process keeps what it met, across
+tasks; bounded by bytes, it starts anew beyond the bound).  The ids at a join of two chunks are then repaired: the
 text around the join is encoded again between two boundaries that hold in any
-context (a single space between visible ASCII characters always starts a new
-pre-token), one boundary further out on each side; the outer word on either
+context (a single space or line feed between visible characters always starts a
+new pre-token), one boundary further out on each side; the outer word on either
 side must come out as the chunk had it.  If not, the stretch is widened and
 encoded again until both sides agree exactly (at the latest when it is the whole
 text).  Decoding joins the tokens' bytes.
@@ -27,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID, TEXT, default_tokenizer, load_tokenizer, slices
+from .common import ID, TEXT, default_tokenizer, load_tokenizer, slices, worker_cache
 
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 128 << 20
 WINDOW = 16
-_BREAK = re.compile(rb"(?<=[!-~]) (?=[!-~])")
+#: A space or line feed alone between visible characters (ASCII, or of two bytes from U+00C0 on).
+_BREAK = re.compile(rb"(?:(?<=[!-~])|(?<=[\xc3-\xdf][\x80-\xbf]))[ \n](?=[!-~\xc3-\xdf])")
 
 
 def _gear() -> np.ndarray:
@@ -75,6 +76,8 @@ class ChunkEncoder:
         self.bits, self.least = bits, least
         self.bytes_of = token_bytes(self.tokenizer)
         self.size_of = np.fromiter(map(len, self.bytes_of), np.int64, len(self.bytes_of))
+        self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.start_of = np.cumsum(self.size_of) - self.size_of
         self.cache: dict[bytes, np.ndarray] = {}
         self.cached = 0
         self.encoded_bytes = self.reused_bytes = self.repairs = self.widened = 0
@@ -157,7 +160,9 @@ class ChunkEncoder:
         return np.concatenate(out)
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+        size = self.size_of[ids]
+        at = np.arange(int(size.sum())) + np.repeat(self.start_of[ids] - (np.cumsum(size) - size), size)
+        return self.flat[at].tobytes()
 
 
 def stretches(raw: bytes, cuts: list[int], words: int) -> list[list[int]]:
@@ -229,7 +234,7 @@ def _run(docs: DataFrame, tokenizer: str | None, bits: int, least: int, fields:
     named = [f.strip().split() for f in fields.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = ChunkEncoder(path, bits, least)
+        enc = worker_cache(("chunks", path, bits, least), lambda: ChunkEncoder(path, bits, least))
         for part, texts in slices(batches):
             rows = list(zip(*(result(enc, ids) for ids in enc.encode(texts))))
             yield pa.RecordBatch.from_arrays(
