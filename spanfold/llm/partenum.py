@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import sized_join
-from ..session import checkpoint, scratch_path
+from ..session import checkpoint, discard
 from .common import ID, TEXT, key_part, partitions_of, slices, worker_cache
 from .components import components
 
@@ -220,13 +220,14 @@ def signature_rows(docs: DataFrame, width: int = 5, hot=None, hashed: bool = Fal
     """Two kinds of rows (sig, cid, n) in one pass over the texts.
 
     n null: a signature of a class (copies within a task emit once).  Else a
-    document: sig is its class, cid its id, n its set size (-1 - size without an id).
+    document: sig is its class, cid its id, n its set size (-1 - size without an id)
+    times 65,536 plus a running number, by which the documents of a class are spread.
     With ``hashed`` a document's row also has t, the hash of its text.
     """
     names = ["sig", "cid", "n", "t"][:3 + hashed]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, seen = worker_cache("word hashes", _WordHashes), set()
+        cache, seen, dealt = worker_cache("word hashes", _WordHashes), set(), 0
         frequent = None if hot is None else hot.value
         for part, texts in slices(batches):
             sigs, owner, sizes, classes = [], [], [], []
@@ -249,9 +250,11 @@ def signature_rows(docs: DataFrame, width: int = 5, hot=None, hashed: bool = Fal
                     [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(owner)),
                      none, *[none][:hashed]], names)
             ids = part.column("doc_id").to_pylist()
+            dealt += len(ids)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(classes, pa.int64()), pa.array([i or 0 for i in ids], pa.int64()),
-                 pa.array([-1 - n if i is None else n for i, n in zip(ids, sizes)], pa.int64()),
+                 pa.array([((-1 - n if i is None else n) << 16) | (k & 0xFFFF)
+                           for k, (i, n) in enumerate(zip(ids, sizes), dealt)], pa.int64()),
                  *[part.column(k) for k in range(2, 2 + hashed)]], names)
 
     rows = docs.select(F.col(ID).cast("long").alias("doc_id"), F.col(TEXT).alias("text"),
@@ -275,7 +278,7 @@ def shared_signatures(rows: DataFrame) -> DataFrame:
             if some.num_rows:
                 yield pa.RecordBatch.from_arrays(
                     [some.column(0), some.column(1), pa.nulls(some.num_rows, pa.int64()),
-                     *(some.column(k) for k in range(2, 3 + hashed))], names)
+                     pa.array(some.column(2).to_numpy() >> 16), *(some.column(k) for k in range(3, 3 + hashed))], names)
             batch = batch.filter(pc.invert(document))
             sig, cid = (batch.column(k).to_numpy() for k in range(2))
             if held is not None:
@@ -307,7 +310,9 @@ def shared_signatures(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in held[:3]),
                                               none, *[none][:hashed]], names)
 
-    dealt = rows.repartition(partitions_of(rows), "sig").sortWithinPartitions("sig", "cid")
+    # signatures meet; documents only pass, the many of a hot class spread over all tasks
+    to = F.when(F.col("n").isNull(), F.col("sig")).otherwise(F.xxhash64("sig", F.col("n").bitwiseAND(0xFFFF)))
+    dealt = rows.repartition(partitions_of(rows), to).sortWithinPartitions("sig", "cid")
     return dealt.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
@@ -400,9 +405,7 @@ def _written_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc_id, text) of the wanted classes' documents, as a table in the shared folder."""
     named = sized_join(_texts(docs), wanted.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct(),
                        "doc_id", "left_semi")
-    path = scratch_path(docs.sparkSession, "partenum-texts")
-    named.unionByName(_texts(docs).where("doc_id is null")).write.parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    return checkpoint(named.unionByName(_texts(docs).where("doc_id is null")))
 
 
 def sketches(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -442,7 +445,9 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -
         x, y = F.broadcast(x), F.broadcast(y)       # few sets in many pairs
     both = pairs.join(x, "a").join(y, "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * common >= 80 * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    out = checkpoint(both.where(100 * common >= 80 * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
+    discard(wanted, sets)
+    return out
 
 
 def _linked(docs: DataFrame, width: int, hashed: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -465,7 +470,7 @@ def _linked(docs: DataFrame, width: int, hashed: bool = False) -> tuple[DataFram
     star = shared.where("hub <> cid").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
     tested = checkpoint(_plausible(star, vectors).groupBy("b").agg(F.min(F.struct("far", "a")).alias("m")).select(
         F.col("m.a").alias("a"), "b"))
-    links = checkpoint(_verify(tested, texts, wanted, width))
+    links = _verify(tested, texts, wanted, width)
     found = checkpoint(components(links))
 
     # across the components left in a group: first the nearest pair of each member, then all pairs left
@@ -473,17 +478,20 @@ def _linked(docs: DataFrame, width: int, hashed: bool = False) -> tuple[DataFram
         "sig", "cid", F.coalesce("comp", "cid").alias("comp")))
     mixed = of.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
     left = checkpoint(_across(of.join(mixed, "sig").join(vectors, "cid")))
+    discard(of, vectors)
     tried = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for choose in (_nearest, lambda pairs: pairs.select("a", "b")):
-        left = checkpoint(_apart(left.join(tried.distinct(), ["a", "b"], "left_anti"), found))
+        before, left = left, checkpoint(_apart(left.select("a", "b", "far").join(tried.distinct(), ["a", "b"], "left_anti"), found))
+        discard(before)
         if not left.take(1):
             break
         tried = checkpoint(choose(left))
-        more = checkpoint(_verify(tried, texts, wanted, width))
-        left = left.select("a", "b", "far")
+        more = _verify(tried, texts, wanted, width)
         if more.take(1):
             found = checkpoint(components(more.unionByName(
                 found.select(F.col("node").alias("a"), F.col("comp").alias("b")))))
+        discard(more)
+    discard(texts, wanted, tested, links, left)
     return table, classes, found
 
 
