@@ -2,28 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Default bound for a broadcast side, in rows (the sides here are narrow:
-# a term and one or two numbers, well under 100 bytes a row).
+# Bounds of a broadcast side; a table above either is joined by shuffle.
 BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 256 << 20
 
 
-def row_count(df: DataFrame) -> int:
-    """Exact row count (one distributed job)."""
-    return df.count()
+def table_size(df: DataFrame) -> tuple[int, int]:
+    """(rows, about how many bytes), from one distributed aggregate."""
+    def width(name: str, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(name), F.lit(0))
+        if isinstance(kind, (T.ArrayType, T.MapType)):
+            return F.greatest(F.size(name), F.lit(0)) * 24
+        return F.lit(8)
+
+    total = sum((width(f"`{f.name}`", f.dataType) for f in df.schema), F.lit(8))
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(total.cast("long")).alias("bytes")).first()
+    return r["n"], r["bytes"] or 0
 
 
 def sized_join(left: DataFrame, right: DataFrame, on, how: str = "inner",
-               max_rows: int = BROADCAST_MAX_ROWS, right_rows: int | None = None) -> DataFrame:
-    """Join with ``right`` broadcast when it holds at most ``max_rows`` rows.
+               max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Join with ``right`` broadcast when it holds at most ``max_rows`` rows and ``max_bytes`` bytes.
 
-    Beyond the bound the join is left to the planner (sort-merge; AQE may
+    Beyond the bounds the join is left to the planner (sort-merge; AQE may
     still switch it to a broadcast at run time and splits skewed partitions).
     """
-    n = row_count(right) if right_rows is None else right_rows
-    if n <= max_rows:
+    rows, size = table_size(right)
+    if rows <= max_rows and size <= max_bytes:
         return left.join(F.broadcast(right), on, how)
     return left.join(right, on, how)
 
@@ -33,15 +43,18 @@ def skew_safe_lookup(rows: DataFrame, table: DataFrame, key: str, weight_col: st
                      max_rows: int = BROADCAST_MAX_ROWS, salt_buckets: int = 4096, how: str = "inner") -> DataFrame:
     """Inner (or left) lookup of ``rows`` in ``table`` (unique ``key``), safe for hot keys.
 
-    * small table (checked row count): one broadcast hash join, no shuffle.
+    * small table (checked rows and bytes): one broadcast hash join, no shuffle.
     * large table: keys whose ``weight_col`` (their row share in ``rows``) is
       at least ``total_weight / max_rows`` are "hot"; there are at most
       ``max_rows`` of them, so they are broadcast.  All other keys take a
       shuffle join in which hot rows carry a spread-out dummy key, so no
       single key can pile up in one task.
     """
-    if table_rows <= max_rows:
+    if table_rows <= max_rows and (not table_rows or table_size(table)[1] <= BROADCAST_MAX_BYTES):
         return rows.join(F.broadcast(table), key, how)
+    if weight_col not in table.columns:
+        counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias(weight_col))
+        table, total_weight = table.join(counts, key), rows.count()
     threshold = max(1.0, float(total_weight) / max_rows)
     value_cols = [c for c in table.columns if c != key]
     hot = table.where(F.col(weight_col) >= threshold)
