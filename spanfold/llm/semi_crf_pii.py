@@ -24,10 +24,11 @@ import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ID, TEXT, slices
@@ -343,30 +344,52 @@ def _apart(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     return out
 
 
-def learn(docs: DataFrame, sample_rows: int = 8000, max_windows: int = 600) -> SemiCrf:
-    """A field learnt on windows of at most about ``sample_rows`` documents of ``docs``."""
-    total = docs.count()
-    if not total:
-        return SemiCrf(np.zeros((len(FEATURES), len(KINDS))))
-    place = F.pmod(F.xxhash64(F.col(ID).cast("string")), F.lit(1 << 30))
-    rows = docs.select(F.coalesce(place, F.lit(0)).alias("place"), F.col(TEXT).alias("text")).where(
-        (F.col("place") < int(min(1.0, sample_rows / total) * (1 << 30))) & F.col("text").rlike("[0-9@]"))
+#: Where a base span of a kind may be: texts without a match have none.
+_HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": "[0-9]([ -]?[0-9]){11}", "phone": r"\+[0-9]"}
+
+
+def learn(docs: DataFrame, sample_rows: int = 8000, max_windows: int = 600, window_chars: int = 400,
+          per_document: int = 20) -> SemiCrf:
+    """A field learnt on a bounded sample of windows, drawn per kind.
+
+    Of the documents that may hold each kind, and of the others with a digit or an ``@``, about ``sample_rows / 5`` are
+    drawn by a hash of id and text; of each document the first ``per_document`` windows of at most ``window_chars``
+    characters that hold the kind (or none).  Of each kind's windows, and of those without any, ``max_windows / 5`` are learnt from.
+    """
+    hints = {k: F.coalesce(F.col(TEXT).rlike(h), F.lit(False)) for k, h in _HINTS.items()}
+    other = F.coalesce(F.col(TEXT).rlike("[0-9@]"), F.lit(False)) & ~reduce(lambda x, y: x | y, hints.values())
+    groups = {**hints, "": other}
+    sizes = docs.agg(*[F.count(F.when(c, 1)).alias(f"n_{k}") for k, c in groups.items()]).first()
+    place = F.pmod(F.xxhash64(F.coalesce(F.col(ID).cast("string"), F.lit("")), F.col(TEXT)), F.lit(1 << 30))
+    drawn = reduce(lambda x, y: x | y, [c & (place < int(min(1.0, sample_rows / 5 / max(1, sizes[f"n_{k}"])) * (1 << 30)))
+                                        for k, c in groups.items()])
+    rows = docs.where(drawn).select(place.alias("place"), F.col(TEXT).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
-            found = [(p, t[a:b]) for p, t in zip(part.column("place").to_pylist(), texts)
-                     for a, b in windows(t)[:20] if b - a < 400]
+            found = []
+            for p, t in zip(part.column("place").to_pylist(), texts):
+                taken = dict.fromkeys(("", *KINDS), 0)
+                for a, b in windows(t):
+                    if b - a > window_chars:
+                        continue
+                    for kind in {k for *_, k in base_spans(t[a:b])} or {""}:
+                        taken[kind] += 1
+                        if taken[kind] <= per_document:
+                            found.append((p, t[a:b], kind))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int64()),
-                                                  pa.array([t for _, t in found], pa.string())], ["place", "window"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], ["place", "window", "kind"])
 
-    sample = rows.mapInArrow(run, "place long, window string").distinct().sort("place", "window").limit(max_windows)
+    order = Window.partitionBy("kind").orderBy("place", "window")
+    sample = rows.mapInArrow(run, "place long, window string, kind string").distinct().withColumn(
+        "r", F.row_number().over(order)).where(F.col("r") <= max_windows // 5)
+    found = sorted((r["place"], r["window"]) for r in sample.collect())          # at most max_windows short strings
     examples = []
-    for turn, row in enumerate(sample.collect()):        # at most max_windows short strings
-        spans = _apart(base_spans(row["window"]))
-        examples.append((row["window"], spans))
+    for turn, window in enumerate(dict.fromkeys(w for _, w in found)):
+        spans = _apart(base_spans(window))
+        examples.append((window, spans))
         if spans:
-            examples.append(rewritten(row["window"], spans, turn))
+            examples.append(rewritten(window, spans, turn))
     return SemiCrf.fit(examples)
 
 
