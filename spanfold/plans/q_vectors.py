@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators.sampling import number_rows, top_k_per_group, train_test_split
 from ..operators.vectorizer import NerVectorizer, VectorizerParams, standard_vectorizer
 from ..functions.tokens import strip_bio_prefix, word_tokens
+from ..session import checkpoint
 from . import duck as D
 from .common import (SPLIT_SEED, SQL_FILTERED, SQL_SPLIT, SQL_TERMS, SQL_WORDS, documents, entity_vectorizer,
                      sql_counts, sql_weights)
@@ -102,9 +103,7 @@ def tfw2_bio_weights(spark, sf):
 
 @register("tfw3_tf_only_weights", sql_weights("double", weight="cnt / n_tokens"))
 def tfw3_tf_only_weights(spark, sf):
-    docs = documents(spark, sf)
-    m = entity_vectorizer("double").fit(docs)
-    out = m.transform(docs, use_idf=False)
+    out = entity_vectorizer("double").fit_transform(documents(spark, sf), use_idf=False)
     return out.select("doc_id", "term", r6("weight").alias("weight"))
 
 
@@ -150,9 +149,8 @@ def std1_standard_tfidf(spark, sf):
 
 @register("std2_standard_tf", f"WITH {SQL_WORDS} SELECT doc_id, term, cnt::DOUBLE AS tf FROM c")
 def std2_standard_tf(spark, sf):
-    v = standard_vectorizer(normalize=False)
-    docs = documents(spark, sf)
-    return v.fit(docs).transform(docs, use_idf=False).select("doc_id", "term", F.col("weight").alias("tf"))
+    out = standard_vectorizer(normalize=False).fit_transform(documents(spark, sf), use_idf=False)
+    return out.select("doc_id", "term", F.col("weight").alias("tf"))
 
 
 @register("std3_count_vectorizer", f"WITH {SQL_WORDS} SELECT doc_id, term, cnt FROM c")
@@ -242,12 +240,16 @@ SELECT 'double' AS state, count(*) AS n_features FROM dv, n WHERE cf >= 1 AND cf
 UNION ALL SELECT 'bio', count(*) FROM bv, n WHERE cf >= 1 AND cf <= n
 UNION ALL SELECT 'std', count(*) FROM sv, n WHERE df >= 1 AND df <= n""")
 def sta4_features_per_representation(spark, sf):
-    """STA-4: vocabulary size per representation (the target is not a feature)."""
+    """STA-4: vocabulary size per representation (the target is not a feature); documents are tagged once for both encodings."""
     docs = documents(spark, sf)
+    tagged = checkpoint(entity_vectorizer("double").tagged(docs))
+    tokenized = tagged.select("doc_id", F.transform("pairs", lambda p: p["token"]).alias("tokens"),
+                              F.transform("pairs", lambda p: p["tag"]).alias("tags"))
     out = None
-    for state, vec in (("double", entity_vectorizer("double")), ("bio", entity_vectorizer("bio")),
-                       ("std", standard_vectorizer())):
-        m = vec.fit(docs)
+    for state, vec, given in (("double", entity_vectorizer("double"), {"tokenized": tokenized}),
+                              ("bio", entity_vectorizer("bio"), {"tokenized": tokenized}),
+                              ("std", standard_vectorizer(), {"raw_documents": docs})):
+        m = vec.fit(**given)
         row = m.vocabulary.agg(F.count(F.lit(1)).alias("n_features")).select(
             F.lit(state).alias("state"), "n_features")
         out = row if out is None else out.unionByName(row)
