@@ -163,6 +163,42 @@ def test_pipeline_stages(spark, tmp_path):
         assert stage(spark, empty, SF).count() == 0
 
 
+def test_pipeline_on_odd_rows_by_definition(spark, tmp_path):
+    """Clashing names, nulls, empty and very long texts, ties and repeated rows through all stages."""
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    rng = random.Random(31)
+    rows = [(i, words(rng, 120, 3000) + f" call +1 (456) 555-21{10 + i} now", "en", f"s{i % 2}", 1) for i in range(20, 60)]
+    rows += [rows[0], (None, rows[1][1], "en", "s1", 1), (77, rows[2][1], None, None, None)] + odd_rows()
+    docs, seen = frame(spark, rows), {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = docs.collect()
+        out = stage(spark, docs, SF)
+        out.write.parquet(str(tmp_path / f"{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"{k}"))
+        seen[name] = (before, docs.collect())
+        if name != "packing":
+            assert docs.columns == frame(spark, rows[:1]).columns, name
+            assert len(seen[name][1]) <= len(before) and all(r.n_words == "other" for r in seen[name][1])
+    for name in ("language", "near_duplicates"):
+        was, now = seen[name]
+        assert {(r.doc_id, r.text) for r in now} <= {(r.doc_id, r.text) for r in was}
+    assert not any(r.text is None or not any(c.isalpha() for c in r.text) for r in seen["language"][1])
+    was, now = seen["near_duplicates"]
+    parts = {}                                       # by brute force: one row of each component
+    for k, _, component in slow_components([(k, r.text) for k, r in enumerate(was)]):
+        parts.setdefault(component, []).append(was[k].text)
+    assert len(now) == len(parts) and all(sum(r.text in texts for r in now) >= 1 for texts in parts.values())
+    assert sorted((r.doc_id for r in seen["personal_data"][1]), key=repr) == sorted((r.doc_id for r in now), key=repr)
+    assert not any("555-21" in r.text for r in seen["personal_data"][1])
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    tok.no_truncation()
+    tok.no_padding()
+    total = sum(len(tok.encode(r.text, add_special_tokens=False).ids) + 1 for r in seen["personal_data"][1])
+    assert sum(r.length for r in seen["packing"][1]) == total
+
+
 def test_language_stage_rejects_unlearnt_languages_and_letter_junk(spark):
     import corpus_pipeline
     rng = random.Random(23)
