@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import persist
+from ..session import checkpoint
 from .sampling import seeded_key
 
 
@@ -100,7 +100,7 @@ def knn(train: DataFrame, test: DataFrame, params: KnnParams, key: str = "id",
     tr = tr.withColumn("cell", F.array_position("_dp", F.array_min("_dp")).cast("int")) \
            .withColumn("_d", F.array_min("_dp")).drop("_dp")
     # read by the cell statistics and by both probe rounds
-    tr = persist(tr)
+    tr = checkpoint(tr)
     cells = tr.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("_d").alias("radius")).collect()
     info = {r["cell"]: (int(r["n"]), float(r["radius"])) for r in cells}
     buckets = {c: max(1, math.ceil(n / params.bucket_rows)) for c, (n, _) in info.items()}
@@ -136,7 +136,7 @@ def knn(train: DataFrame, test: DataFrame, params: KnnParams, key: str = "id",
         return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
     first_cells = F.transform(F.filter("_lb", lambda s: s["before"] < k), lambda s: s["cell"])
-    r1 = persist(top_k(probe(first_cells, q)))   # read for the k-th distance and the union
+    r1 = checkpoint(top_k(probe(first_cells, q)))   # read for the k-th distance and the union
     kth = r1.groupBy("q_id").agg(F.max("dist").alias("r"), F.count(F.lit(1)).alias("got"))
     q2 = q.join(kth, "q_id", "left")
     # round 2: every other cell whose lower bound does not exceed the k-th distance

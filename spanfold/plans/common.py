@@ -36,11 +36,6 @@ f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS fpos
       WHERE tok IS NOT NULL AND tok <> '')"""
 
 
-
-
-
-
-
 DOUBLE_TERM = "CASE WHEN tag = 'O' THEN tok ELSE tok || '_NE' END"
 # SQL: encoded terms (`e`) and per-document counts (`c`) for both encodings
 SQL_TERMS = {

@@ -210,8 +210,11 @@ def tok11_token_filter(spark, sf):
     """TOK-11 on the tagged tokens: placeholders, drop the rest, tags stay aligned."""
     v = entity_vectorizer("double")
     tagged = v.pipeline.tag(documents(spark, sf))
-    kept = F.filter(F.transform("pairs", lambda p, i: F.struct(
-        K.replace_token(p["token"]).alias("token"), p["tag"].alias("tag"), i.cast("bigint").alias("pos"))),
+    def row(p, i):
+        token, tag = K.token_filter_row(p["token"], p["tag"])
+        return F.struct(token.alias("token"), tag.alias("tag"), i.cast("bigint").alias("pos"))
+
+    kept = F.filter(F.transform("pairs", row),
         lambda x: x["token"].isNotNull() & (x["token"] != ""))
     rows = explode_rows(tagged, kept, "p", "doc_id")
     return rows.select("doc_id", "p.pos", "p.token", "p.tag")

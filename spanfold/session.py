@@ -10,7 +10,6 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -95,11 +94,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def persist(df: DataFrame) -> DataFrame:
-    """Cache a frame that feeds two actions; lost blocks are recomputed."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Use every core on small inputs: round-robin only when the input has
     fewer partitions than the default parallelism.
