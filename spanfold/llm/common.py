@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 from collections.abc import Callable, Iterator
 
@@ -27,11 +29,22 @@ def worker_cache(name, make: Callable):
     frees the one before, so operators run in turn do not add up their memory.
     """
     if name not in _held:
-        _held.clear()
+        if _held:
+            _held.clear()
+            give_back()
         _held[name] = make()
     return _held[name]
 
 
+def give_back() -> None:
+    """Returns freed memory of this process to the system, where its allocators can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def default_tokenizer(name: str) -> str:
     """Place of a public tokenizer file; a path can be given instead."""
     import public_tokenizers

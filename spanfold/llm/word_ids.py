@@ -21,10 +21,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import load_tokenizer, worker_cache
+from .common import give_back, load_tokenizer, worker_cache
 
-MAX_WORDS = 600_000
-MAX_IDS = 8_000_000
+MAX_WORDS = 400_000
+MAX_IDS = 4_000_000
 MARKS = b".,!?;:"
 _OLD = unicodedata.ucd_3_2_0
 
@@ -69,11 +69,15 @@ class WordIds:
 
     def _thin(self) -> None:
         """Starts anew with the words met more than once (with none if these are too many, too)."""
-        words, often = list(self.at), np.flatnonzero(self.met > 1)
+        often = np.flatnonzero(self.met > 1)
         ids, sizes = self._ids_of(often)
+        keep = np.zeros(len(self.at), bool)
+        keep[often] = True
+        words = [w for w, kept in zip(self.at, keep.tolist()) if kept]     # in the order of their numbers
         self._reset()
-        if len(often) <= MAX_WORDS // 2 and len(ids) <= MAX_IDS // 2:
-            self._keep([words[i] for i in often.tolist()], ids, np.cumsum(sizes))
+        if len(words) <= MAX_WORDS // 2 and len(ids) <= MAX_IDS // 2:
+            self._keep(words, ids, np.cumsum(sizes))
+        give_back()
 
     def _keep(self, words: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
         first = len(self.at)
