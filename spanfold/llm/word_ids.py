@@ -23,8 +23,8 @@ import pyarrow.compute as pc
 
 from .common import give_back, load_tokenizer, worker_cache
 
-MAX_WORDS = 400_000
-MAX_IDS = 4_000_000
+MAX_WORDS = 500_000
+MAX_IDS = 6_000_000
 MARKS = b".,!?;:"
 _OLD = unicodedata.ucd_3_2_0
 
