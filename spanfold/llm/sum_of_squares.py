@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import ID, TEXT, default_tokenizer, slices
+from .common import ID, SLICE_BYTES, TEXT, default_tokenizer, slices
 from .word_ids import WordIds
 
 
@@ -119,7 +119,7 @@ def pack(docs: DataFrame, length: int = 2048, end_id: int = 0, tokenizer: str |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, packer = WordIds.shared(path), SumOfSquares(length)
         number, rows, doc_type = TaskContext.get().partitionId() << 40, [], None
-        for part, _ in slices(batches):
+        for part, _ in slices(batches, limit=SLICE_BYTES // 2):
             doc_type = part.schema.field("doc_id").type
             ids, sizes = words.encode_column(part.column("text"), end_id)
             ids, at = ids.astype("<u4", copy=False), 0

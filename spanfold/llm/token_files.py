@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import sized_join
 from ..session import scratch_path
-from .common import ID, TEXT, default_tokenizer, partitions_of, slices
+from .common import ID, SLICE_BYTES, TEXT, default_tokenizer, partitions_of, slices
 from .word_ids import WordIds
 
 
@@ -42,7 +42,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 1, tokenizer: str | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part_no, start = WordIds.shared(file), TaskContext.get().partitionId(), 0
-        for part, _ in slices(batches):
+        for part, _ in slices(batches, limit=SLICE_BYTES // 2):
             ids, sizes = words.encode_column(part.column("text"), end_id)
             ends = np.cumsum(sizes)
             yield pa.RecordBatch.from_arrays(

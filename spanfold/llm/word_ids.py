@@ -174,7 +174,8 @@ class WordIds:
             fresh = [words[i] for i in new]
             self._learn(set(fresh))
             at[new] = np.fromiter(map(self.at.__getitem__, fresh), np.int64, len(fresh))
-        place = found.indices.to_numpy()
+        place = found.indices.to_numpy().astype(np.int64)
+        del raw, whole, lists, found
         if len(at):
             times = np.bincount(place, minlength=len(at))
             if len(self.at) > len(self.met):
@@ -192,4 +193,5 @@ class WordIds:
             with_ends[inside] = k
             k = with_ends
         ids, sizes = self._ids_of(k)
+        pa.default_memory_pool().release_unused()    # else the pool keeps what the column's pieces took
         return ids, np.diff(np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(counts)))])
