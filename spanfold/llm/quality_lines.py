@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import sized_join
 from ..session import checkpoint
-from .common import HOST, ID, TEXT, slices
+from .common import HOST, ID, TEXT, free_caches, slices
 
 SYMBOLS = b"#*$%&|<>"
 _LINE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", b"abcdefghijklmnopqrstuvwxyz000000000")
@@ -90,6 +90,7 @@ def line_table(docs: DataFrame) -> DataFrame:
                        F.xxhash64(TEXT).alias("tkey"), F.col(TEXT).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_caches()
         line = pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int64()), ("len", pa.int64())]))
         for part, texts in slices(batches):
             found = [measure(t) for t in texts]
@@ -155,6 +156,7 @@ def clean(docs: DataFrame, **limits) -> DataFrame:
     joined = docs.join(verdict, on).select(*docs.columns, "__gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_caches()
         for part, texts in slices(batches, TEXT):
             out = [without_lines(t, set(g)) if g else t for t, g in zip(texts, part.column("__gone").to_pylist())]
             at = part.schema.get_field_index(TEXT)

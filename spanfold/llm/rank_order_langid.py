@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..operators.joins import sized_join
-from .common import ID, LANG, TEXT, slices
+from .common import ID, LANG, TEXT, free_caches, slices
 
 UND = "und"
 _SPACE = 0x20
@@ -118,6 +118,7 @@ def learn(labelled: DataFrame, top: int = 300, sample_rows: int = 500) -> Profil
     sample = _sample(labelled, sample_rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_caches()
         for part, texts in slices(batches):
             sums: dict[str, list] = {}
             for lang, text in zip(part.column("lang").to_pylist(), texts):
@@ -149,6 +150,7 @@ def predict(docs: DataFrame, profiles: Profiles, names: tuple[str, str] = ("lang
     """``docs`` with two more columns: the predicted language and its score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_caches()
         for part, values in slices(batches, TEXT):
             found = [profiles.predict(t) for t in values]
             yield pa.RecordBatch.from_arrays(
