@@ -70,3 +70,25 @@ def test_cleaning_leaves_ascii_only(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     bad = T.CLEANER.apply(df, "text").where(F.col("text").rlike(r"[^\x00-\x7F]")).count()
     assert bad == 0
+
+
+def test_whitespace_runs_skip_single_blanks_and_guards_change_nothing(spark):
+    """The collapse matches only what changes; steps behind a guard give what their patterns give alone."""
+    texts = ["a b", " a  b ", "a\tb", "\n\n", " \t x  y", "", None, "a  b", "x amp; y #12; z", "x amp y", "1 < 2", "2 > 1", "a<b>c</b>",
+             "> <", "hééllo€", "it's", "it’s", "#aB#cD##", "x#y#Zz", "##", "#one#TWO", "a#b"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    c = F.col("t")
+    for got, want in ((T.collapse_whitespace(c), F.regexp_replace(c, T.WS_RUN, " ")),
+                      (T.add_missing_amps(c), F.regexp_replace(c, T.MISSING_AMP, "&$1")),
+                      (T.strip_tags(c), F.regexp_replace(c, T.HTML_TAG, "")),
+                      (T.remove_nonascii(c), F.regexp_replace(c, r"[^\x00-\x7F]", ""))):
+        assert df.where(~got.eqNullSafe(want)).count() == 0
+    assert spark.range(1).select(F.regexp_count(F.lit("one two  three\tfour"), F.lit(T.WS_TO_COLLAPSE))).first()[0] == 2
+
+
+def test_plain_words_keep_the_placeholder_rules(spark):
+    words = ["abc", "Abc", "http", "https", "httpx1", "http://a", "@me", "12", "1,2", "1.2", ":)", "a1", "a-b", "", None, "abc\n", "été", "HTTPx"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    got = [r[0] for r in df.select(K.replace_token(F.col("w"))).collect()]
+    assert got == ["abc", "Abc", "http", "<URL>", "<URL>", "<URL>", "<USER>", "<NUMBER>", "<NUMBER>", "<NUMBER>", "<EMOTE>", "a1", None, None, None,
+                   "abc\n", "été", "HTTPx"]
