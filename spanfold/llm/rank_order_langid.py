@@ -7,10 +7,8 @@ the sum over the document's n-grams of how far out of place each one stands
 in the profile (``top`` where it is absent).  The nearest language wins, ties
 by name.
 
-Profiles are learnt on at most about ``sample_rows`` labelled rows a language
-(a documented bound: rows whose hashed id falls below ``sample_rows / rows of
-the language``).  Prediction reads every document's whole text and nothing
-else.
+Profiles are learnt on every labelled row, and so are the least scores.
+Prediction reads every document's whole text and nothing else.
 
 Cases: null text, empty text or one without a letter gives ``und`` and score
 0; the same holds for every row when there is no labelled row; null languages
@@ -25,14 +23,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from ..operators.joins import sized_join
 from .common import ID, LANG, TEXT, free_caches, slices
 
 UND = "und"
+#: Parts of a language's n-grams that are ranked apart.
+BUCKETS = 64
 _SPACE = 0x20
 _FOLD: np.ndarray | None = None
 
@@ -103,20 +102,13 @@ class Profiles:
         return self.langs[best], float(1.0 - dist[best] / (self.top * len(doc)))
 
 
-def _sample(labelled: DataFrame, sample_rows: int) -> DataFrame:
-    """(lang, text) of at most about ``sample_rows`` labelled rows a language."""
-    rows = labelled.select(F.col(ID).alias("i"), F.col(TEXT).alias("text"), F.col(LANG).alias("lang")
-                           ).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    share = rows.groupBy("lang").agg((F.lit(float(sample_rows)) / F.count(F.lit(1))).alias("share"))
-    place = F.pmod(F.xxhash64(F.coalesce(F.col("i").cast("string"), F.lit(""))), F.lit(1 << 30))
-    return sized_join(rows.withColumn("place", place / F.lit(float(1 << 30))), share, "lang").where(
-        "place < share").select("lang", "text")
+def _labelled(labelled: DataFrame) -> DataFrame:
+    """(lang, text) of every row with both."""
+    return labelled.select(F.col(TEXT).alias("text"), F.col(LANG).alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
 
 
-def learn(labelled: DataFrame, top: int = 300, sample_rows: int = 500) -> Profiles:
-    """Profiles from the labelled rows (columns ``doc_id``, ``text``, ``lang``)."""
-    sample = _sample(labelled, sample_rows)
-
+def learn(labelled: DataFrame, top: int = 300) -> Profiles:
+    """Profiles from all labelled rows (columns ``text``, ``lang``)."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_caches()
         for part, texts in slices(batches):
@@ -130,11 +122,14 @@ def learn(labelled: DataFrame, top: int = 300, sample_rows: int = 500) -> Profil
                     [pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.int64()),
                      pa.array(total.astype(np.int64), pa.int64())], ["lang", "gram", "n"])
 
-    counts = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(
+    counts = _labelled(labelled).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(
         F.sum("n").alias("n"))
-    best = counts.groupBy("lang").agg(
+    # the best of each bucket first: no group holds more than its share of a language's n-grams
+    order = Window.partitionBy("lang", F.pmod(F.xxhash64("gram"), F.lit(BUCKETS))).orderBy(F.desc("n"), "gram")
+    few = counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top)
+    best = few.groupBy("lang").agg(
         F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "gram"))), 1, top).alias("g"))
-    # at most `top` n-grams a language come to the driver; the sample bounds the lists above
+    # at most `top` n-grams a language come to the driver
     table = {r["lang"]: [x["gram"] for x in r["g"]] for r in best.collect()}
     langs = sorted(table)
     grams = np.array(sorted({g for gs in table.values() for g in gs}), np.int64)
@@ -161,16 +156,16 @@ def predict(docs: DataFrame, profiles: Profiles, names: tuple[str, str] = ("lang
     return docs.mapInArrow(run, StructType([*docs.schema.fields, *more]))
 
 
-def least_scores(labelled: DataFrame, profiles: Profiles, sample_rows: int = 500, low: float = 0.01,
+def least_scores(labelled: DataFrame, profiles: Profiles, low: float = 0.01,
                  margin: float = 0.05, least_rows: int = 20) -> dict[str, float]:
     """For each language a score that its own documents hardly ever fall below.
 
-    From labelled rows that the profiles were not learnt on (at most about
-    ``sample_rows`` a language): the ``low`` quantile of the scores of rows
-    predicted as labelled, less its distance to the median (``margin`` at
+    From all labelled rows that the profiles were not learnt on: the ``low``
+    quantile of the scores (of six digits, so that their table is bounded) of
+    rows predicted as labelled, less its distance to the median (``margin`` at
     least).  A language with fewer than ``least_rows`` such rows has no entry.
     """
-    own = predict(_sample(labelled, sample_rows), profiles).where("lang = lang_pred")
+    own = predict(_labelled(labelled), profiles).where("lang = lang_pred").withColumn("score", F.round("score", 6))
     rows = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.percentile("score", F.lit(low)).alias("low"),
                                    F.percentile("score", F.lit(0.5)).alias("mid")).where(F.col("n") >= least_rows)
     return {r["lang"]: r["low"] - max(margin, r["mid"] - r["low"]) for r in rows.collect()}    # one row a language
@@ -181,8 +176,8 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col(ID).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def identify(docs: DataFrame, top: int = 300, sample_rows: int = 500) -> DataFrame:
+def identify(docs: DataFrame, top: int = 300) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document."""
-    profiles = learn(docs.where(~held_out()), top, sample_rows)
+    profiles = learn(docs.where(~held_out()), top)
     out = predict(docs.select(ID, TEXT), profiles)
     return out.select(ID, held_out().alias("held_out"), "lang_pred", "score")

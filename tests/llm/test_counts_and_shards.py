@@ -5,6 +5,8 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+
 import pytest
 from spanfold.llm import minimax_shards, quality_lines, rank_order_langid
 
@@ -188,3 +190,17 @@ def test_language_of_odd_rows(spark):
     assert rank_order_langid.identify(docs.limit(0)).count() == 0
     unlabelled = spark.createDataFrame([(1, "some words", None, None, None)], SCHEMA)
     assert rank_order_langid.identify(unlabelled).first().lang_pred == "und"
+
+
+def test_profiles_and_least_scores_use_every_labelled_row(spark):
+    """Grams found in one of many rows are in the profile, and the rows of a low score weigh in at their share."""
+    rows = [(k, "ab" if k % 300 else "z" + "qwxvu"[k // 300], "xx") for k in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles = rank_order_langid.learn(docs)
+    a, z = ord("a"), ord("z")
+    rank = dict(zip(profiles.grams.tolist(), profiles.ranks[0].tolist()))
+    assert rank[a] < rank[z] < profiles.top and len(rank) == 7 + 2 + 5 * 5
+    own = [r["score"] for r in rank_order_langid.predict(docs, profiles).where("lang = lang_pred").collect()]
+    low, mid = np.percentile(np.round(own, 6), [1, 50])
+    got = rank_order_langid.least_scores(docs, profiles)
+    assert abs(got["xx"] - (low - max(0.05, mid - low))) < 1e-9
