@@ -100,3 +100,15 @@ def test_macro_roc_curve_matches_interpolation(spark):
     exp = {round(x, 9): float(np.mean([np.interp(x, f, t) for f, t in curves.values()])) for x in xs}
     assert set(got) == set(exp)
     assert all(abs(got[x] - exp[x]) < 1e-9 for x in exp)
+
+
+def test_linear_models_are_fitted_in_one_task_a_core(spark, monkeypatch):
+    """However many partitions the rows come in: every task sends a sum as long as the coefficients at each step."""
+    from pyspark.ml.classification import LogisticRegression
+    seen, fit = [], LogisticRegression.fit
+    monkeypatch.setattr(LogisticRegression, "fit", lambda self, df: seen.append(df.rdd.getNumPartitions()) or fit(self, df))
+    df = spark.range(200).select("id", (F.col("id") % 2).cast("double").alias("label"),
+                                 F.array((F.col("id") % 2).cast("double"), F.lit(1.0)).alias("features")).repartition(50)
+    model = ML.fit_classifier("log", df, {"C": 1.0})
+    assert seen == [spark.sparkContext.defaultParallelism]
+    assert ML.predict(model, df, "id").where("prediction <> id % 2").count() == 0
