@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.vectorizer import VectorizerModel
+from ..session import discard
 
 
 def score_stream(spark: SparkSession, model: VectorizerModel, source_dir: str, schema,
@@ -21,9 +22,11 @@ def score_stream(spark: SparkSession, model: VectorizerModel, source_dir: str, s
               .parquet(source_dir))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        out = model.transform(batch.select("doc_id", "text"))
+        counted = model.counted(batch.select("doc_id", "text"))
+        out = model.weights(counted)
         # one folder per batch id, overwritten on a retry: the sink stays exactly-once
         out.write.mode("overwrite").parquet(f"{sink_dir}/batch_id={batch_id}")
+        discard(counted)
 
     q = (stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_dir)
          .trigger(availableNow=True).start())

@@ -3,6 +3,8 @@
 import os
 
 from pyspark.sql import functions as F
+import pytest
+
 from spanfold.operators.joins import sized_join, skew_safe_lookup, table_size
 from spanfold.session import checkpoint, discard, scale_conf
 
@@ -43,3 +45,14 @@ def test_left_lookup_keeps_rows_without_an_entry(spark):
         got = skew_safe_lookup(rows, table, "k", "n", 3, 32, max_rows=max_rows, how="left")
         assert sorted((r["i"], r["v"]) for r in got.collect() if r["i"] > 1) == [(2, 8), (3, None)]
         assert got.where("i = 1 AND v = 7").count() == 30
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_stored_rows_of_frequent_keys_stay_in_place(spark, how):
+    table = spark.createDataFrame([("a", 1, 2000), ("b", 2, 30), ("c", 3, 30), ("d", 4, 1)], "k string, v int, n long")
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(["a", "a", "b", "c", "d", "d", "z", None])], "k string, i int")
+    for most in (1, 2, 3, 10):
+        got = skew_safe_lookup(rows, table, "k", "n", 4, 2061, max_rows=most, how=how, stored=True)
+        assert got.columns == ["k", "i", "v", "n"]
+        expected = {(0, 1), (1, 1), (2, 2), (3, 3), (4, 4), (5, 4)} | ({(6, None), (7, None)} if how == "left" else set())
+        assert {(r.i, r.v) for r in got.collect()} == expected

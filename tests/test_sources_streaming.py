@@ -66,3 +66,18 @@ def test_stream_scores_equal_batch_transform(spark):
     got = {(r.doc_id, r.term): round(r.weight, 9) for r in read_scores(spark, sink).collect()}
     exp = {(r.doc_id, r.term): round(r.weight, 9) for r in model.transform(docs).collect()}
     assert got == exp
+
+
+def test_stored_weights_stay_in_place(spark, tmp_path):
+    """Reading a representation back shuffles distinct terms and ids only, and keeps documents without weights."""
+    path = str(tmp_path / "kept")
+    weights = spark.createDataFrame([(1, "a", .5), (1, "b", .5), (2, "a", 1.)], "doc_id long, term string, weight double")
+    targets = spark.createDataFrame([(1, "x"), (2, None), (3, "y"), (None, "z")], "doc_id long, TARGET string")
+    IO.save_representation(path, weights, targets, weights.select("term").distinct())
+    df = IO.read_representation(spark, path)
+    assert sorted(map(str, (tuple(r) for r in df.collect()))) == sorted(map(str, [
+        (1, "a", .5, "x"), (1, "b", .5, "x"), (2, "a", 1., None), (3, None, None, "y"), (None, None, None, "z")]))
+    assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    spark.createDataFrame([(9, "a", 1.)], "doc_id long, term string, weight double").write.mode("append").parquet(f"{path}/weights")
+    with pytest.raises(AssertionError):
+        IO.read_representation(spark, path)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanfold.operators.tagging import NullTagger
-from spanfold.operators.vectorizer import NerVectorizer, VectorizerParams, analyzer_tokens
+from spanfold.operators.vectorizer import NerVectorizer, VectorizerParams, analyzer_tokens, first_seen
 
 ROWS = [(0, "Alice met Bob in Paris".split(), "B-PER O B-PER O B-GPE".split()),
         (1, "Paris is in France".split(), "B-GPE O O B-GPE".split()),
@@ -162,3 +162,36 @@ def test_analyzer_uses_the_lexicon(spark):
     got = {r.doc_id: r.tokens for r in analyzer_tokens(vec, docs).collect()}
     assert got == {0: ["river", "stone", "river"], 1: []}
     assert {r.term for r in vec.pipeline.counts(vec.tagged(docs)).select("term").distinct().collect()} == {"river", "stone"}
+
+
+def test_weights_are_neither_shuffled_nor_sorted(spark):
+    """A broadcast vocabulary: one number a document is shuffled for the norms; the vocabulary's minimum is hashed."""
+    vec = NerVectorizer(tagger=NullTagger(), max_df=20)
+    plan = vec.fit_transform(_docs(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan
+    assert all("term" not in line for line in plan.splitlines() if " Exchange " in line)
+    counts = vec.pipeline.counts(vec.tagged(_docs(spark)))
+    least, _ = first_seen(counts.schema["doc_id"].dataType, True)
+    assert "SortAggregate" not in counts.groupBy("term").agg(least)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_seen_is_the_least_pair(spark):
+    low, high = -(1 << 63), (1 << 63) - 1
+    rows = [(d, f, t) for t, pairs in {"a": [(3, 9), (3, 4), (5, 0)], "b": [(low, 2), (None, 8), (None, 7)], "c": [(low, 6), (-1, 0)],
+                                       "d": [(high, (1 << 32) - 1)]}.items() for d, f in pairs]
+    df = spark.createDataFrame(rows, "doc_id bigint, first bigint, term string")
+    for built_in in (True, False):
+        least, read = first_seen(df.schema["doc_id"].dataType, built_in)
+        got = df.groupBy("term").agg(least.alias("x")).select("term", read(F.col("x")).alias("x"))
+        assert {r.term: tuple(r.x) for r in got.collect()} == {"a": (3, 4), "b": (None, 7), "c": (low, 6), "d": (high, (1 << 32) - 1)}
+
+
+@pytest.mark.parametrize("bound", [2, 10_000])
+def test_norms_of_null_and_repeated_ids(spark, bound):
+    """Rows of one id, null included, share a norm, whichever way the vocabulary is looked up."""
+    docs = spark.createDataFrame([(None, "red blue"), (None, "red"), (4, "red green"), (4, "blue green"), (5, "")],
+                                 "doc_id bigint, text string")
+    w = NerVectorizer(tagger=NullTagger(), max_df=20, broadcast_max_rows=bound).fit_transform(docs, use_idf=False).collect()
+    raw = {None: [("red", .5), ("blue", .5), ("red", 1.)], 4: [("red", .5), ("green", .5), ("blue", .5), ("green", .5)]}
+    expected = [(d, t, round(x / math.sqrt(sum(y * y for _, y in rows)), 9)) for d, rows in raw.items() for t, x in rows]
+    assert Counter((r.doc_id, r.term, round(r.weight, 9)) for r in w) == Counter(expected)
