@@ -56,6 +56,30 @@ def test_knn_exact_against_brute_force(spark):
             assert got[qid] == best
 
 
+def test_knn_in_blocks_with_null_and_repeated_keys(spark, monkeypatch):
+    """Both sides in several blocks, ties, copies, null keys and rows without a whole vector; k rows a query and block leave a task."""
+    monkeypatch.setattr(ML, "ROW_VALUES", 60)
+    monkeypatch.setattr(ML, "QUERY_VALUES", 14)
+    rnd = random.Random(9)
+    train = [(i % 90 if i % 30 else None, [float(rnd.randint(0, 4)) for _ in range(2)], rnd.randint(0, 2)) for i in range(120)]
+    test = [(1000 + i % 25 if i % 10 else None, [float(rnd.randint(0, 4)) for _ in range(2)]) for i in range(40)]
+    odd = [(7, None), (8, [1.0, None])]
+    tr = spark.createDataFrame([*train, *((i, v, 0) for i, v in odd)], "id long, features array<double>, label int")
+    te = spark.createDataFrame([*test, *odd], "id long, features array<double>")
+    for p in (1, 2):
+        near = ML.nearest(tr, te, ML.KnnParams(k=5, p=p))
+        pairs = [(r.q_id, r.t_id, r.dist) for r in near.collect()]
+        assert len(pairs) == 40 * 5 * 4                                       # 120 rows in 4 blocks of 30
+        got = {(r.id, r.label): r.score for r in ML.knn(tr, te, ML.KnnParams(k=5, p=p, weights="distance"))[1].collect()}
+        for qid in {q for q, _ in test}:
+            all_pairs = sorted((sum(abs(a - b) ** p for a, b in zip(qv, tv)) ** (1 / p), -1 if tid is None else tid)
+                               for q, qv in test if q == qid for tid, tv, _ in train)
+            mine = sorted((d, -1 if t is None else t) for q, t, d in pairs if q == qid)
+            assert [(round(d, 9), t) for d, t in mine[:5]] == [(round(d, 9), t) for d, t in all_pairs[:5]]
+            assert abs(sum(s for (i, _), s in got.items() if i == qid) - 1) < 1e-9
+        assert {i for i, _ in got} == {q for q, _ in test}
+
+
 def test_balanced_weights(spark):
     df = spark.createDataFrame([(0,), (0,), (0,), (1,)], "label int")
     got = {r.label: r.class_weight for r in ML.balanced_weights(df, "label").collect()}
