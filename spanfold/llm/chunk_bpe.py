@@ -11,6 +11,10 @@ side must come out as the chunk had it.  If not, the stretch is widened and
 encoded again until both sides agree exactly (at the latest when it is the whole
 text).  Decoding joins the tokens' bytes.
 
+A chunk not met before is cut at the same boundaries into units, whose ids in a
+row are its ids: a worker keeps the units it has met, too, and asks the library
+only for new ones, many in a line.  Joins are always encoded by the library.
+
 Cases: null is an empty text (no ids); repeated texts are chunks met before;
 texts without a boundary are encoded as a whole; the end-of-text string in a
 text becomes its special id, as the library does.
@@ -21,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +33,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ID, TEXT, default_tokenizer, load_tokenizer, slices, worker_cache
+from .word_ids import MAX_IDS, MAX_WORDS, WordIds
 
 CACHE_BYTES = 128 << 20
 WINDOW = 16
 #: A space or line feed alone between visible characters (ASCII, or of two bytes from U+00C0 on).
 _BREAK = re.compile(rb"(?:(?<=[!-~])|(?<=[\xc3-\xdf][\x80-\xbf]))[ \n](?=[!-~\xc3-\xdf])")
+#: A unit behind a boundary and before another one: alone and in a line of such units it has the same ids.
+_INNER = re.compile(rb"[ \n](?=[!-~\xc3-\xdf]).*(?:[!-~]|[\xc3-\xdf][\x80-\xbf])", re.DOTALL)
+_BYTE = np.arange(256)
+_SEEN = (_BYTE >= 0x21) & (_BYTE <= 0x7E)
+_LEAD, _TAIL, _SPACE = (_BYTE >= 0xC3) & (_BYTE <= 0xDF), (_BYTE & 0xC0) == 0x80, (_BYTE == 0x20) | (_BYTE == 0x0A)
 
 
 def _gear() -> np.ndarray:
@@ -70,6 +81,74 @@ def cut_points(raw: bytes, hashes: np.ndarray, bits: int, least: int) -> list[in
     return cuts
 
 
+def unit_starts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Places where the units of several parts in a row begin: the parts' own starts and ``_BREAK`` within them."""
+    at = np.flatnonzero(_SPACE[data])
+    ends = np.append(starts[1:], len(data))
+    part = np.searchsorted(starts, at, "right") - 1
+    at = at[(at > starts[part]) & (at + 1 < ends[part])]
+    before, after = data[at - 1], data[at + 1]
+    seen = _SEEN[before] | (_TAIL[before] & _LEAD[data[np.maximum(at - 2, 0)]])
+    return np.union1d(starts, at[seen & (_SEEN[after] | _LEAD[after])])
+
+
+class UnitIds(WordIds):
+    """Ids of parts by their units; keeps and bounds the units met as ``WordIds`` does its words."""
+
+    def __init__(self, tokenizer, size_of: np.ndarray):
+        self.tokenizer, self.size_of = tokenizer, size_of
+        self._reset()
+
+    def _learn(self, units: list[bytes]) -> None:
+        inner, whole = [], []
+        for u in units:
+            (inner if _INNER.fullmatch(u) else whole).append(u)
+        self._one_by_one(whole)
+        self._in_lines(inner)
+
+    def _in_lines(self, units: list[bytes], line: int = 500) -> None:
+        for k in range(0, len(units), 40 * line):
+            lines = [units[j:j + line] for j in range(k, min(len(units), k + 40 * line), line)]
+            found = self.tokenizer.encode_batch_fast([b"".join(x).decode("utf-8", "surrogatepass") for x in lines],
+                                                     add_special_tokens=False)
+            for some, e in zip(lines, found):
+                ids = np.array(e.ids, np.uint32)
+                reached = np.cumsum(self.size_of[ids])
+                ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)))
+                last = np.searchsorted(reached, ends)
+                if np.array_equal(reached[last], ends):
+                    self._keep(some, ids, last + 1)
+                else:
+                    self._one_by_one(some)
+
+    def parts(self, parts: list[bytes]) -> list[np.ndarray]:
+        """The ids of every part (none of them empty)."""
+        if not parts:
+            return []
+        if len(self.at) > MAX_WORDS or self.n_ids > MAX_IDS:
+            self._thin()
+        joined = b"".join(parts)
+        starts = np.cumsum([0, *map(len, parts)])
+        units = unit_starts(np.frombuffer(joined, np.uint8), starts[:-1])
+        bounds = np.append(units, len(joined))
+        offsets = pa.py_buffer(bounds.astype(np.int64))
+        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(units), [None, offsets, pa.py_buffer(joined)]).dictionary_encode()
+        distinct = found.dictionary.to_pylist()
+        at = np.fromiter(map(self.at.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(at < 0).tolist()
+        if new:
+            fresh = [distinct[i] for i in new]
+            self._learn(fresh)
+            at[new] = np.fromiter(map(self.at.__getitem__, fresh), np.int64, len(fresh))
+        place = found.indices.to_numpy()
+        if len(self.at) > len(self.met):
+            self.met = np.concatenate((self.met, np.zeros(len(self.at), np.int64)))
+        self.met[at] += np.bincount(place, minlength=len(at))
+        ids, sizes = self._ids_of(at[place])
+        ends = np.concatenate(([0], np.cumsum(sizes)))[np.searchsorted(units, starts[:-1])].tolist()
+        return [ids[a:b].copy() for a, b in zip(ends, [*ends[1:], len(ids)])]     # no view keeps the others
+
+
 class ChunkEncoder:
     def __init__(self, path: str, bits: int = 10, least: int = 256):
         self.tokenizer = load_tokenizer(path)
@@ -78,6 +157,7 @@ class ChunkEncoder:
         self.size_of = np.fromiter(map(len, self.bytes_of), np.int64, len(self.bytes_of))
         self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.start_of = np.cumsum(self.size_of) - self.size_of
+        self.units = UnitIds(self.tokenizer, self.size_of)
         self.cache: dict[bytes, np.ndarray] = {}
         self.cached = 0
         self.encoded_bytes = self.reused_bytes = self.repairs = self.widened = 0
@@ -108,7 +188,7 @@ class ChunkEncoder:
                     self.encoded_bytes += len(p)
             chunks.append((cuts, parts))
         new = list(fresh)
-        for p, ids in zip(new, self._library(new)):
+        for p, ids in zip(new, self.units.parts(new)):
             self.cache[p] = ids
             self.cached += len(p) * 3 + 200
         out: list[np.ndarray | None] = [None] * len(raws)

@@ -306,3 +306,33 @@ def test_token_files_round_trip(spark, tmp_path):
         assert col.has_offset_index
     assert {"RLE_DICTIONARY", "PLAIN_DICTIONARY"} & used["dictionary"] and "DELTA_BINARY_PACKED" in used["delta"]
     assert token_files.round_trip(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_chunks_are_encoded_by_units_met_once(monkeypatch):
+    """New texts of known words ask the library for joins only; whatever the units, ids are the library's."""
+    plain, _ = library("byte_bpe_50k.json")
+    enc = chunk_bpe.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"), bits=6, least=64)
+    rnd = random.Random(4)
+    some = ["l'\u00e9t\u00e9", "don't", "e\u0301", "x,", "<|endoftext|>", "a<|endoftext|>b", "\u6f22\u5b57", "1,234", "\u03a9\u0660",
+            *(f"word{i}" for i in range(60))]
+    odd = [" ", "  ", "\n", "\n\n ", "\t", "\u00a0", "\u2003", "\r\n", " \n", "\u3000"]
+    for gaps in ([" "], [" ", "\n"], odd, [" "] * 9 + odd):
+        texts = ["".join(rnd.choice(some) + rnd.choice(gaps) for _ in range(n)) for n in (1, 2, 30, 400)]
+        texts += [" ", "\n", " lead", "trail ", "\u00e9 \u00e9", None, ""]
+        assert [ids.tolist() for ids in enc.encode(texts)] == [plain(t) for t in texts]
+
+    enc = chunk_bpe.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    sent, tokenizer = [], enc.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, parts, **kw):
+            sent.extend(parts)
+            return tokenizer.encode_batch_fast(parts, **kw)
+
+    enc.tokenizer = enc.units.tokenizer = Counted()
+    for most in (500_000, 10):                                           # with few units kept, it starts anew
+        monkeypatch.setattr(chunk_bpe, "MAX_WORDS", most)
+        for _ in range(2):
+            text = "".join(f" {rnd.choice(some)}" for _ in range(20_000))
+            assert enc.encode([text])[0].tolist() == plain(text)
+    assert sum(map(len, sent)) < 0.2 * 4 * len(text) and enc.repairs
