@@ -136,3 +136,30 @@ def test_linear_models_are_fitted_in_one_task_a_core(spark, monkeypatch):
     model = ML.fit_classifier("log", df, {"C": 1.0})
     assert seen == [spark.sparkContext.defaultParallelism]
     assert ML.predict(model, df, "id").where("prediction <> id % 2").count() == 0
+
+
+def test_a_large_forest_is_fitted_and_read_a_few_trees_at_a_time(spark, monkeypatch):
+    """As many trees as asked for, never more nodes at once than the bound; the votes are those of all trees."""
+    from pyspark.ml.classification import RandomForestClassificationModel
+    from pyspark.ml.functions import vector_to_array
+    rnd = random.Random(6)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(4)], rnd.randint(0, 2)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, features array<double>, label int")
+    monkeypatch.setattr(ML, "FOREST_NODES", 600)
+    model = ML.fit_classifier("rf", df, {"n_estimators": 7, "random_state": 3})
+    groups = [RandomForestClassificationModel.load(p) for p in model.paths]
+    assert sum(g.getNumTrees for g in groups) == 7 and len(groups) < 7
+    assert all(g.totalNumNodes <= 660 for g in groups) and sum(g.totalNumNodes for g in groups) > 600
+    data = df.withColumn("_fv", ML.as_vector(df, "features"))
+    votes = {}
+    for g in groups:
+        for r in g.transform(data).collect():
+            votes[r.id] = [a + b for a, b in zip(votes.get(r.id, [0.0] * 3), r.rawPrediction)]
+    found = model.transform(data).select("id", "label", vector_to_array("probability").alias("p"), "prediction").collect()
+    assert len(found) == 200
+    for r in found:
+        assert all(abs(a - b / 7) < 1e-9 for a, b in zip(r.p, votes[r.id]))
+        assert r.prediction == max(range(3), key=lambda c: (votes[r.id][c], -c))
+    assert sum(r.prediction == r.label for r in found) > 190
+    monkeypatch.undo()
+    assert ML.fit_classifier("rf", df, {"n_estimators": 7, "random_state": 3}).getNumTrees == 7     # all at once
