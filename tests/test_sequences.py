@@ -139,3 +139,21 @@ def test_fit_does_not_shuffle_documents(spark):
     assert "hashpartitioning(doc_id" not in plan
     counts = {(r["doc_id"], r["term"]): r["cnt"] for r in v.pipeline.counts(v.tagged(docs.where("doc_id = 1"))).collect()}
     assert counts == {(1, "b"): 1, (1, "c"): 1}
+
+
+@pytest.mark.parametrize("bound", [2_000_000, 0])
+def test_documents_are_not_shuffled_for_lemmas(spark, bound):
+    """Entries come to the tokens in their documents, whether the lexicon is broadcast or not; empty documents stay."""
+    from spanfold.operators.lexicon import with_entries
+    texts = {1: "cats sat on cats", 2: "", 3: "no hits here", None: "dogs"}
+    docs = spark.createDataFrame([(d, t) for d, t in texts.items()], "doc_id long, t string").repartition(3).select(
+        "doc_id", F.lit(9).alias("n_tokens"), F.expr(
+            "transform(filter(split(t, ' '), x -> x <> ''), x -> struct(x AS token, 'O' AS tag))").alias("pairs"))
+    lexicon = spark.createDataFrame([("cats", "cat"), ("dogs", "dog")], "form string, lemma string")
+    out = with_entries(docs, lexicon, bound)
+    got = {r["doc_id"]: [(x["token"], x["entries"] and x["entries"][0]["lemma"]) for x in r["s"]] for r in out.collect()}
+    assert got == {1: [("cats", "cat"), ("sat", None), ("on", None), ("cats", "cat")], 2: [],
+                   3: [("no", None), ("hits", None), ("here", None)], None: [("dogs", "dog")]}
+    if bound:
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" not in plan and "broadcast" in plan
