@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.vectorizer import VectorizerModel
-from ..session import discard
+from ..session import discard, write_table
 
 
 def score_stream(spark: SparkSession, model: VectorizerModel, source_dir: str, schema,
@@ -25,7 +25,7 @@ def score_stream(spark: SparkSession, model: VectorizerModel, source_dir: str, s
         counted = model.counted(batch.select("doc_id", "text"))
         out = model.weights(counted)
         # one folder per batch id, overwritten on a retry: the sink stays exactly-once
-        out.write.mode("overwrite").parquet(f"{sink_dir}/batch_id={batch_id}")
+        write_table(out, f"{sink_dir}/batch_id={batch_id}", "overwrite")
         discard(counted)
 
     q = (stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_dir)

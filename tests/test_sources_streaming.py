@@ -81,3 +81,23 @@ def test_stored_weights_stay_in_place(spark, tmp_path):
     spark.createDataFrame([(9, "a", 1.)], "doc_id long, term string, weight double").write.mode("append").parquet(f"{path}/weights")
     with pytest.raises(AssertionError):
         IO.read_representation(spark, path)
+
+
+def test_a_large_table_arrives_in_as_many_files_as_it_is_read(spark, monkeypatch):
+    """Batches of several files, no shuffle of the texts into four; the scores are those of the batch query."""
+    import glob
+
+    from spanfold.plans import q_data, q_vectors
+    real, seen = q_data.score_stream, {}
+
+    def score(spark, model, src, schema, sink, ckpt, **kw):
+        seen.update(files=len(glob.glob(f"{src.removeprefix('file:')}/*.parquet")), **kw)
+        real(spark, model, src, schema, sink, ckpt, **kw)
+        seen["batches"] = len(glob.glob(f"{sink.removeprefix('file:')}/batch_id=*"))
+    docs = spark.createDataFrame([(d, f"Paris river stone {'word' + str(d % 5)} NATO") for d in range(45)], "doc_id long, text string").repartition(9)
+    monkeypatch.setattr(q_data, "score_stream", score)
+    for q in (q_data, q_vectors):
+        monkeypatch.setattr(q, "documents", lambda spark, sf: docs)
+    got = {(r["doc_id"], r["term"], r["weight"]) for r in q_data.stream_score_documents(spark, "").collect()}
+    assert seen == {"files": 9, "max_files_per_trigger": 3, "batches": 3}
+    assert got == {(r["doc_id"], r["term"], r["weight"]) for r in q_vectors.tfw2_double_weights(spark, "").collect()}
